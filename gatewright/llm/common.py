@@ -56,3 +56,13 @@ def durable(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
     return df.checkpoint()
+
+
+def stay_only(docs: DataFrame, stay: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that stay (did, th) names. Of repeated rows of one doc_id and text, any one."""
+    full = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"),
+        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("th"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+    )
+    return full.join(stay, ["did", "th"]).groupBy("did", "th").agg(F.first("row").alias("row")).select("row.*")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.llm.cdc import cuts
-from gatewright.llm.common import NULL_ID, durable, ints, keyed, public_id, rows
+from gatewright.llm.common import durable, ints, keyed, public_id, rows, stay_only
 
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Chunks of 1 to 16 kB, 4 kB beyond the least on average.
@@ -122,11 +122,4 @@ def exact_dedup(docs: DataFrame, name: Name = digest) -> DataFrame:
 
     Of repeated rows of one doc_id and text, any one stays.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    full = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"),
-        F.xxhash64(text).alias("th"),
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-    )
-    stay = exact_groups(docs, name).where("kept").select("did", "th")
-    return full.join(stay, ["did", "th"]).groupBy("did", "th").agg(F.first("row").alias("row")).select("row.*")
+    return stay_only(docs, exact_groups(docs, name).where("kept").select("did", "th"))

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from gatewright.llm.common import table
 from gatewright.llm.exact_dedup import exact_groups
 from gatewright.llm.line_dedup import line_dedup
+from gatewright.llm.packing import pack_documents
+from gatewright.llm.pii import find_pii
+from gatewright.llm.quality import fit_quality, learns_from, score_quality
+from gatewright.llm.simhash import near_components
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,9 +61,44 @@ WITH bare AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM ranked
 """
 
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), with_ids=False)
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"), ["doc_id"], with_text=False)
+    return found.select("row.doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+#: Scores below it are rejected.
+QUALITY_BOUND = 0.3
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = score_quality(docs, model).select("row.doc_id", (~learns_from("row.doc_id")).alias("held_out"), "score")
+    return scored.withColumn("predicted", (F.col("score") >= QUALITY_BOUND).cast("int"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_packing": op3_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_pii": op6_pii,
+    "op7_quality": op7_quality,
+    "op9_simhash": op9_simhash,
 }
 ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
