@@ -51,3 +51,35 @@ def cuts(texts: list[bytes], bits: int, least: int, most: int) -> list[list[int]
             own.append(size)
         out.append(own)
     return out
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of x[i : i + width] for each i that has so many, by doubling."""
+    reach = 1
+    while 2 * reach <= width:
+        x = np.minimum(x[:-reach], x[reach:])
+        reach *= 2
+    return np.minimum(x[: len(x) - (width - reach)], x[width - reach :]) if width > reach else x
+
+
+def least_cuts(texts: list[bytes], radius: int) -> list[np.ndarray]:
+    """For each text the ends of its chunks: after a byte whose gear hash is below all others within `radius` bytes, and the end.
+
+    A cut needs `radius` bytes after it and `radius` + WINDOW before it in its text, and sees no
+    others, so equal passages are cut alike inside. Chunks are over `radius` long and about twice
+    that on average; there is no longest chunk, and so no cut that depends on where a text starts.
+    """
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    where = np.empty(0, np.int64)
+    if len(data) > 2 * radius + 1:
+        h = gear(data)
+        least = sliding_min(h, radius)
+        middle = np.arange(radius, len(data) - radius)
+        where = middle[(h[middle] < least[: len(middle)]) & (h[middle] < least[radius + 1 :][: len(middle)])]
+    of = np.searchsorted(ends, where, "right")
+    fits = (where - (ends - sizes)[of] >= radius + WINDOW) & (ends[of] - where > radius)
+    where, of = where[fits] + 1, of[fits]
+    first, last = np.searchsorted(of, np.arange(len(texts))), np.searchsorted(of, np.arange(len(texts)), "right")
+    return [np.append(where[i:j] - (end - size), size) if size else where[:0] for size, end, i, j in zip(sizes.tolist(), ends.tolist(), first.tolist(), last.tolist())]

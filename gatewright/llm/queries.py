@@ -12,9 +12,11 @@ from gatewright.llm.common import table
 from gatewright.llm.exact_dedup import exact_groups
 from gatewright.llm.line_dedup import line_dedup
 from gatewright.llm.packing import pack_documents
+from gatewright.llm.phrases import fingerprint_documents
 from gatewright.llm.pii import find_pii
 from gatewright.llm.quality import fit_quality, learns_from, score_quality
 from gatewright.llm.simhash import near_components
+from gatewright.llm.substring_dedup import substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,6 +82,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"), ["doc_id"], with_text=False)
     return found.select("row.doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
@@ -96,6 +103,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= QUALITY_BOUND).cast("int"))
 
 
+def op8_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
 
@@ -104,9 +115,11 @@ QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_bpe": op2_bpe,
     "op3_packing": op3_packing,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_pii": op6_pii,
     "op7_quality": op7_quality,
+    "op8_phrases": op8_phrases,
     "op9_simhash": op9_simhash,
 }
 ORACLES: dict[str, str] = {
