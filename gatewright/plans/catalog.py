@@ -1,6 +1,8 @@
-"""Every query of the library by name, with its SQL."""
+"""Every query of the library by name, with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from gatewright.plans.oracles import ORACLES
+from gatewright.plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
