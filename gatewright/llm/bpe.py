@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.llm.common import rows
+from gatewright.session import in_arrow
 
 LONGEST = 256
 #: Words a worker remembers, and words a recursive query takes at most.
@@ -181,4 +182,4 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
     given = docs.select(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kind = given.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return given.mapInArrow(lambda it: _encode(it, path, pattern, with_ids), schema + ", ids array<int>, decoded binary" * with_ids)
+    return in_arrow(given, lambda it: _encode(it, path, pattern, with_ids), schema + ", ids array<int>, decoded binary" * with_ids)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from gatewright.llm.cdc import cuts
 from gatewright.llm.common import durable, ints, keyed, public_id, rows, stay_only
+from gatewright.session import in_arrow
 
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Chunks of 1 to 16 kB, 4 kB beyond the least on average.
@@ -85,7 +86,7 @@ def verified_salt(base: DataFrame, name: Name = digest) -> int:
     """The first salt under which different chunks have different names, found by comparing their bytes."""
     salt = 0
     while True:
-        named = base.select("text").mapInArrow(lambda it, s=salt: _named_chunks(it, s, name), "name binary, chunk binary")
+        named = in_arrow(base.select("text"), lambda it, s=salt: _named_chunks(it, s, name), "name binary, chunk binary")
         found = named.repartition("name").sortWithinPartitions("name").mapInArrow(_clashes, "clashes long").agg(F.sum("clashes")).first()[0]
         if not found:
             return salt
@@ -102,7 +103,7 @@ def exact_groups(docs: DataFrame, name: Name = digest) -> DataFrame:
     """
     base = keyed(docs).withColumn("n_chars", F.length("text"))
     salt = verified_salt(base, name)
-    recipes = durable(base.mapInArrow(lambda it: _recipes(it, salt, name), "did long, th long, n_chars int, recipe binary, text_sha256 string"))
+    recipes = durable(in_arrow(base, lambda it: _recipes(it, salt, name), "did long, th long, n_chars int, recipe binary, text_sha256 string"))
     # Repeated rows of one doc_id and text meet here: as many as the input repeats one id.
     rows_of = recipes.groupBy("did", "th", "n_chars", "recipe", "text_sha256").agg(F.count(F.lit(1)).alias("copies"))
     best = F.max(F.struct("n_chars", (-1 - F.col("did")).alias("order"), "th"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.llm.common import ints, keyed, public_id, rows
+from gatewright.session import in_arrow
 
 BLANKS = b" \t\n\x0b\x0c\r"
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -52,7 +53,7 @@ def _line_hashes(batches, least: int, distinct: bool):
 
 
 def _hashes(docs: DataFrame, least: int, distinct: bool) -> DataFrame:
-    return docs.mapInArrow(lambda it: _line_hashes(it, least, distinct), "did long, th long, pos int, h1 long, h2 long")
+    return in_arrow(docs, lambda it: _line_hashes(it, least, distinct), "did long, th long, pos int, h1 long, h2 long")
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:

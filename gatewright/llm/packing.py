@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.llm.common import rows
+from gatewright.session import in_arrow
 
 #: Texts of these characters only are split alike by both libraries, whatever their Unicode tables.
 PLAIN = re.compile("[\t\n\r\x20-\x7e¡-ɏ]*")
@@ -181,6 +182,6 @@ def pack_documents(
     null doc_id is kept; repeated rows are documents of their own; extra columns are ignored.
     """
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return given.mapInArrow(
+    return in_arrow(given, 
         lambda it: _pack(it, path, window, smallest, buffer, step_tokens, end_id, with_ids), SCHEMA + ", ids array<int>" * with_ids
     )

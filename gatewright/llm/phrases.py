@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.llm.common import ints, keyed, public_id
+from gatewright.session import in_arrow
 
 U = np.uint64
 #: Powers of an odd number, for the place of a symbol in its phrase.
@@ -211,15 +212,15 @@ def fingerprint_documents(docs: DataFrame, buckets: int | None = None, with_text
     spark = docs.sparkSession
     n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = sorted({int(x) for x in base.approxQuantile("did", [i / n for i in range(1, n)], 0.2 / n)})
-    ids = base.select("did").mapInArrow(lambda it: _buckets(it, bounds), "bucket long, did long")
+    ids = in_arrow(base.select("did"), lambda it: _buckets(it, bounds), "bucket long, did long")
     least = dict(ids.groupBy("bucket").agg(F.min("did")).collect())  # one row a bucket
     order = sorted(least)
     guests = {least[b]: a for a, b in zip(order, order[1:])}
     first, last = (least[order[0]], order[-1]) if order else (0, 0)
-    dealt = base.mapInArrow(lambda it: _dealt(it, bounds, guests, first, last), "did long, th long, text string, bucket long, guest int")
+    dealt = in_arrow(base, lambda it: _dealt(it, bounds, guests, first, last), "did long, th long, text string, bucket long, guest int")
     sorted_rows = dealt.repartition("bucket").sortWithinPartitions("bucket", "guest", "did", "th")
     schema = "did long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    out = sorted_rows.mapInArrow(lambda it: _fingerprints(it, with_text), schema + ", edited string" * with_text)
+    out = in_arrow(sorted_rows, lambda it: _fingerprints(it, with_text), schema + ", edited string" * with_text)
     return out.select(public_id().alias("doc_id"), *[c for c in out.columns if c != "did"])
 
 

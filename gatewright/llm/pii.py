@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.llm.common import rows
+from gatewright.session import in_arrow
 
 #: Kinds in the order that breaks ties of start; the last is the field's alone.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -399,4 +400,4 @@ def find_pii(docs: DataFrame, names: list[str] | None = None, with_text: bool =
     given = docs.select(row.alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kind = given.schema["row"].dataType.simpleString()
     schema = f"row {kind}, n_email long, n_ip long, n_card long, n_phone long, base string, spans string"
-    return given.mapInArrow(lambda it: _pii(it, w, with_text), schema + ", clean string" * with_text)
+    return in_arrow(given, lambda it: _pii(it, w, with_text), schema + ", clean string" * with_text)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.llm.common import rows
+from gatewright.session import in_arrow
 
 #: What a rule can ask of a text; each is 0 for an empty text.
 STATS = (
@@ -57,7 +58,7 @@ def with_stats(docs: DataFrame, names: list[str] | None = None) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in names or docs.columns])
     given = docs.select(row.alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kind = given.schema["row"].dataType.simpleString()
-    return given.mapInArrow(_with_stats, f"row {kind}, stats struct<{', '.join(f'{s}: double' for s in STATS)}>")
+    return in_arrow(given, _with_stats, f"row {kind}, stats struct<{', '.join(f'{s}: double' for s in STATS)}>")
 
 
 Condition = tuple[int, bool, float]  # statistic, whether it is above the bound, the bound

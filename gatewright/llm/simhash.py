@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from gatewright.llm.common import durable, ints, keyed, public_id, rows, stay_only
 from gatewright.llm.components import components
+from gatewright.session import in_arrow
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED = 42
@@ -95,7 +96,7 @@ def near_groups(docs: DataFrame, width: int = 3) -> DataFrame:
     has fingerprint 0 and links like any other. A null doc_id counts as the smallest id.
     Repeated rows are rows of their own. Extra columns are ignored.
     """
-    found = durable(keyed(docs).mapInArrow(lambda it: _fingerprints(it, width), "did long, th long, fp long"))
+    found = durable(in_arrow(keyed(docs), lambda it: _fingerprints(it, width), "did long, th long, fp long"))
     smallest = found.groupBy("fp").agg(F.min("did").alias("least"))
     roots = components(links(smallest.select("fp")))
     named = smallest.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gatewright.llm.cdc import least_cuts
 from gatewright.llm.common import ints, keyed, public_id, rows, shared_elsewhere
+from gatewright.session import in_arrow
 
 #: Bytes on either side of a cut among which its hash is least: chunks of 65 bytes on average.
 RADIUS = 32
@@ -111,7 +112,7 @@ def substring_dedup(docs: DataFrame, radius: int = RADIUS, shortest: int = SHORT
     A code point cut in two by a removed run is removed whole. Extra columns are ignored.
     """
     base = keyed(docs)
-    found = base.select("did", "text").mapInArrow(lambda it: _digests(it, radius), "did long, h1 long, h2 long")
+    found = in_arrow(base.select("did", "text"), lambda it: _digests(it, radius), "did long, h1 long, h2 long")
     drops = shared_elsewhere(found).groupBy("did").agg(F.collect_list(F.struct("h1", "h2")).alias("drop"))
     out = base.select("did", "text").join(drops, "did", "left").mapInArrow(
         lambda it: _reassembled(it, radius, shortest), "did long, n_bytes long, n_removed long, n_spans long, kept_text string"
