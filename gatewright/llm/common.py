@@ -68,18 +68,19 @@ def stay_only(docs: DataFrame, stay: DataFrame) -> DataFrame:
     return full.join(stay, ["did", "th"]).groupBy("did", "th").agg(F.first("row").alias("row")).select("row.*")
 
 
-#: Parts that the holders of one key are dealt to, so that a key in a third of all rows is no single task's.
-SALTS = 32
+def skew_join(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined to keys (each once) on the named whole-number columns, of which one value may hold a third of all rows.
 
-
-def salted_join(rows: DataFrame, keys: DataFrame, on: list[str], salts: int = SALTS) -> DataFrame:
-    """rows joined to keys (one row each at most) on the named columns; the rows of a key are dealt by did to `salts` parts."""
-    many = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("did"), F.lit(salts)).cast("int")).join(many, [*on, "salt"]).drop("salt")
+    The sides meet on altered keys, so both are shuffled for the join itself, whatever dealt them
+    out before; that is when adaptive execution can split the tasks of a hot key.
+    """
+    altered = [F.col(c).bitwiseXOR(F.lit(1)).alias(f"_{c}") for c in on]
+    mine, theirs = rows.select("*", *altered), keys.select(*[c for c in keys.columns if c not in on], *altered)
+    return mine.join(theirs, [f"_{c}" for c in on]).drop(*[f"_{c}" for c in on])
 
 
 def shared_elsewhere(found: DataFrame) -> DataFrame:
     """Of (did, h1, h2): those whose digest a smaller did holds too, each once a did."""
     keepers = found.groupBy("h1", "h2").agg(F.min("did").alias("keeper"), F.max("did").alias("other"))
     shared = keepers.where("keeper < other").select("h1", "h2", "keeper")
-    return salted_join(found, shared, ["h1", "h2"]).where("did > keeper").select("did", "h1", "h2")
+    return skew_join(found, shared, ["h1", "h2"]).where("did > keeper").select("did", "h1", "h2")

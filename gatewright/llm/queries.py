@@ -15,6 +15,7 @@ from gatewright.llm.packing import pack_documents
 from gatewright.llm.phrases import fingerprint_documents
 from gatewright.llm.pii import find_pii
 from gatewright.llm.quality import fit_quality, learns_from, score_quality
+from gatewright.llm.repeats import remove_repeats
 from gatewright.llm.simhash import near_components
 from gatewright.llm.substring_dedup import substring_dedup
 
@@ -111,6 +112,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_bpe": op2_bpe,
@@ -121,6 +126,7 @@ QUERIES: dict[str, Query] = {
     "op7_quality": op7_quality,
     "op8_phrases": op8_phrases,
     "op9_simhash": op9_simhash,
+    "op10_repeats": op10_repeats,
 }
 ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
