@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatewright.llm.common import ints, keyed, public_id, rows
+from gatewright.llm.common import ints, keyed, public_id, rows, skew_join
 from gatewright.session import in_arrow
 
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -74,8 +74,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
         .select("h1", "h2", "keeper")
     )
     drops = (
-        _hashes(base, min_chars, False)
-        .join(common, ["h1", "h2"])
+        skew_join(_hashes(base, min_chars, False), common, ["h1", "h2"])
         .where(F.col("did") < F.col("keeper"))
         .groupBy("did", "th")
         .agg(F.collect_set("pos").alias("drop"))
