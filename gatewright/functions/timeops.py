@@ -93,7 +93,8 @@ def align(
     if isinstance(df.schema[acceptance].dataType, T.TimestampNTZType):
         raise ValueError(f"{acceptance} has no time zone; state one before aligning")
     sessions = session_table(calendar, embargo_days, clip).withColumnRenamed("effective", "_effective")
-    day = F.greatest(effective_date(F.col(acceptance)), F.lit(CALENDAR_FLOOR).cast("date"))
+    day = effective_date(F.col(acceptance))
+    day = F.when(day.isNotNull(), F.greatest(day, F.lit(CALENDAR_FLOOR).cast("date")))
     return df.withColumn("_effective", day).join(sessions, "_effective", "left").drop("_effective")
 
 
