@@ -211,7 +211,9 @@ def fingerprint_documents(docs: DataFrame, buckets: int | None = None, with_text
     base = keyed(docs)
     spark = docs.sparkSession
     n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted({int(x) for x in base.approxQuantile("did", [i / n for i in range(1, n)], 0.2 / n)})
+    shares = [i / n for i in range(1, n)]
+    found = base.approxQuantile("did", shares, 0.2 / n) if shares else []
+    bounds = sorted({min(int(x), 2**63 - 1) for x in found})
     ids = in_arrow(base.select("did"), lambda it: _buckets(it, bounds), "bucket long, did long")
     least = dict(ids.groupBy("bucket").agg(F.min("did")).collect())  # one row a bucket
     order = sorted(least)
