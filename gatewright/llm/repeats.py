@@ -28,6 +28,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,23 +73,34 @@ class Names:
 
 
 class Phrases:
-    """Runs of windows of one text that share a trigger: trigger, and least and greatest offset of it in them."""
+    """Runs of windows of texts that share a trigger: their text, trigger, and least and greatest offset of it in them.
 
-    def __init__(self, text: bytes, length: int):
-        self.data, self.length, self.n = np.frombuffer(text, np.uint8), length, len(text)
+    The texts lie one behind the other in `data`; places are counted there, and windows do not
+    leave their text.
+    """
+
+    def __init__(self, texts: list[bytes], length: int):
+        self.data, self.length = np.frombuffer(b"".join(texts), np.uint8), length
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.ends = np.cumsum(sizes)
+        self.begins = self.ends - sizes
+        self.salt = mix(np.arange(len(texts), dtype=U) + U(1))
         width = length - WINDOW + 1
         parts = []
-        starts = self.n - length + 1
+        starts = len(self.data) - length + 1
         for i in range(0, max(0, starts), AT_ONCE):
             h = gear(self.data[i : min(i + AT_ONCE, starts) + length - 1])[WINDOW - 1 :]
             place = np.arange(len(h), dtype=U)
             least = sliding_min((h.astype(U) << U(32)) | (U(0xFFFFFFFF) - place), width)
             parts.append((U(0xFFFFFFFF) - (least & U(0xFFFFFFFF))).astype(np.int64) + i)
         trigger = np.concatenate(parts) if parts else np.empty(0, np.int64)
+        inside = np.concatenate([np.arange(b, e - length + 1) for b, e in zip(self.begins.tolist(), self.ends.tolist()) if e - b >= length] or [np.empty(0, np.int64)])
+        trigger = trigger[inside]
         first = np.flatnonzero(np.diff(trigger, prepend=-1))
         self.trigger = trigger[first]
-        self.high = self.trigger - first  # offset of the trigger in the first window of the run
-        self.low = self.trigger - (np.append(first[1:], len(trigger)) - 1)
+        self.high = self.trigger - inside[first]  # offset of the trigger in the first window of the run
+        self.low = self.trigger - inside[np.append(first[1:], len(trigger))[: len(first)] - 1]
+        self.text = np.searchsorted(self.ends, self.trigger, "right")
         self._names: dict[int, Names] = {}
 
     def names(self, which: int) -> Names:
@@ -106,46 +118,60 @@ class Phrases:
             out.append((run, np.full(len(run), k), name))
         return tuple(np.concatenate(x) for x in zip(*out))
 
-    def blocks(self, known: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(trigger, low, high, inner, outer1, outer2) of blocks of SUB offsets in halves whose name is known to repeat.
+    def blocks(self, known: "Known", outers: int = 1) -> tuple[np.ndarray, ...]:
+        """(text, trigger, low, high, inner, outer...) of blocks of SUB offsets in halves whose name is known to repeat.
 
         low and high are the offsets of the run in the block; the outer names are 0 where the outer string leaves the text.
         """
         half = (self.length - WINDOW) // 2 // SUB * SUB
         run, k, name = self.halves()
-        good = np.isin(name, known)
+        good = known.has(self, self.text[run], name)
         run, k = run[good], k[good]
         low = np.maximum(self.low[run], k * half)
         high = np.minimum(self.high[run], np.where(k == 0, half - 1, self.length))
         first, count = low // SUB, high // SUB - low // SUB + 1
         at = np.repeat(np.arange(len(run)), count)
         block = first[at] + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-        trigger, low, high = self.trigger[run][at], np.maximum(low[at], block * SUB), np.minimum(high[at], block * SUB + SUB - 1)
+        text, trigger = self.text[run][at], self.trigger[run][at]
+        low, high = np.maximum(low[at], block * SUB), np.minimum(high[at], block * SUB + SUB - 1)
         inner = self.names(0).of(trigger - block * SUB, self.length - SUB + 1, 16 + block)
         begin = trigger - (block * SUB + SUB - 1)
-        fits = (begin >= 0) & (begin + self.length + SUB - 1 <= self.n)
+        fits = (begin >= self.begins[text]) & (begin + self.length + SUB - 1 <= self.ends[text])
         outer = []
-        for which in (0, 1):
+        for which in range(outers):
             o = np.zeros(len(begin), U)
             o[fits] = self.names(which).of(begin[fits], self.length + SUB - 1, 64 + block[fits])
             outer.append(np.where(fits & (o == 0), U(1), o))
-        return trigger, low, high, inner, *outer
+        return text, trigger, low, high, inner, *outer
 
-    def windows(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.names(0).of(starts, self.length, 0), self.names(1).of(starts, self.length, 0)
+    def windows(self, starts: np.ndarray, outers: int = 2) -> list[np.ndarray]:
+        return [self.names(which).of(starts, self.length, 0) for which in range(outers)]
 
+    def distinct(self, text: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each distinct key of each text first stands, and 1 or, if it stands there more often, 2."""
+        _, first, count = np.unique(keys + self.salt[text], return_index=True, return_counts=True)
+        return first, np.minimum(count, 2)
 
-def _spread(trigger: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Starts of the windows of blocks."""
-    count = high - low + 1
-    at = np.repeat(np.arange(len(count)), count)
-    return (trigger - high)[at] + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
 
+class Known:
+    """Sets of names, one for each text."""
+
+    def __init__(self, part: pa.RecordBatch, name: str):
+        lists = part.column(part.schema.get_field_index(name))
+        lists = lists.fill_null([]) if lists.null_count else lists
+        self.sizes, self.names = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy().view(U)
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each distinct key first stands, and 1 or, if it stands more often, 2."""
-    _, first, count = np.unique(keys, return_index=True, return_counts=True)
-    return first, np.minimum(count, 2)
+    def has(self, phrases: Phrases, text: np.ndarray, names: np.ndarray) -> np.ndarray:
+        if not len(self.names):
+            return np.zeros(len(names), bool)
+        return np.isin(names + phrases.salt[text], self.names + np.repeat(phrases.salt, self.sizes))
+
+
+def _spread(text: np.ndarray, trigger: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts and starts of the windows of blocks."""
+    count = high - low + 1
+    at = np.repeat(np.arange(len(count)), count)
+    return text[at], (trigger - high)[at] + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
 
 
 def _block_key(inner: np.ndarray, outer: np.ndarray) -> np.ndarray:
@@ -153,87 +179,81 @@ def _block_key(inner: np.ndarray, outer: np.ndarray) -> np.ndarray:
     return np.where(outer == 0, inner, outer)
 
 
-def _emit(columns: dict[str, list[np.ndarray]], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
-    arrays = []
-    for name, kind in kinds.items():
-        x = np.concatenate(columns[name]) if columns[name] else np.empty(0, np.int64)
-        arrays.append(pa.array(x.view(np.int64) if x.dtype == U else x, kind))
-    return pa.RecordBatch.from_arrays(arrays, list(kinds))
+#: Bytes of text taken at a time.
+BYTES = 300_000
 
 
-LONG = pa.int64()
+def _parts(batch: pa.RecordBatch):
+    """Slices of a batch of some BYTES of text, with the texts."""
+    size = pc.coalesce(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0).to_numpy(zero_copy_only=False)
+    of = np.cumsum(size) // BYTES
+    cut = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), batch.num_rows]
+    for i, j in zip(cut, cut[1:]):
+        if j > i:
+            yield from rows(batch.slice(i, j - i), j - i)
+
+
+def _longs(*columns: np.ndarray) -> list[pa.Array]:
+    return [pa.array(c.view(np.int64) if c.dtype == U else c.astype(np.int64)) for c in columns]
 
 
 def _half_rows(batches, length: int):
     """(did, h, c): names of halves, each once a text, with 2 if it is there more often."""
-    kinds = {"did": LONG, "h": LONG, "c": LONG}
     for batch in batches:
-        for part, texts in rows(batch):
-            out = {k: [] for k in kinds}
-            for did, text in zip(ints(part, "did"), texts):
-                if len(text) >= length:
-                    name = Phrases(text, length).halves()[2]
-                    first, count = _distinct(name)
-                    for k, v in (("did", np.full(len(first), did)), ("h", name[first]), ("c", count)):
-                        out[k].append(v)
-            yield _emit(out, kinds)
-
-
-def _known(part: pa.RecordBatch, name: str) -> list[np.ndarray]:
-    column = part.column(part.schema.get_field_index(name))
-    return [x.values.to_numpy().view(U) if x.is_valid else np.empty(0, U) for x in column]
+        for part, texts in _parts(batch):
+            phrases = Phrases(texts, length)
+            run, _, name = phrases.halves()
+            text = phrases.text[run]
+            first, count = phrases.distinct(text, name)
+            did = np.array(ints(part, "did"), np.int64)[text[first]]
+            yield pa.RecordBatch.from_arrays(_longs(did, name[first], count), ["did", "h", "c"])
 
 
 def _block_rows(batches, length: int):
     """(did, inner, o1, o2, c) of blocks in repeated halves, each once a text."""
-    kinds = {k: LONG for k in ("did", "inner", "o1", "o2", "c")}
     for batch in batches:
-        for part, texts in rows(batch):
-            out = {k: [] for k in kinds}
-            for did, text, halves in zip(ints(part, "did"), texts, _known(part, "halves")):
-                *_, inner, o1, o2 = Phrases(text, length).blocks(halves)
-                first, count = _distinct(_block_key(inner, o1))
-                for k, v in (("did", np.full(len(first), did)), ("inner", inner[first]), ("o1", o1[first]), ("o2", o2[first]), ("c", count)):
-                    out[k].append(v)
-            yield _emit(out, kinds)
+        for part, texts in _parts(batch):
+            phrases = Phrases(texts, length)
+            text, _, _, _, inner, o1, o2 = phrases.blocks(Known(part, "halves"), 2)
+            first, count = phrases.distinct(text, _block_key(inner, o1))
+            did = np.array(ints(part, "did"), np.int64)[text[first]]
+            yield pa.RecordBatch.from_arrays(_longs(did, inner[first], o1[first], o2[first], count), ["did", "inner", "o1", "o2", "c"])
 
 
 def _window_rows(batches, length: int):
     """(did, h1, h2, c, open): windows of open blocks, each once a text; and of blocks this text speaks for, with 2."""
-    kinds = {"did": LONG, "h1": LONG, "h2": LONG, "c": LONG, "open": pa.bool_()}
     for batch in batches:
-        for part, texts in rows(batch):
-            out = {k: [] for k in kinds}
-            for did, text, halves, opened, spoken in zip(ints(part, "did"), texts, _known(part, "halves"), _known(part, "opened"), _known(part, "spoken")):
-                phrases = Phrases(text, length)
-                trigger, low, high, inner, o1, _ = phrases.blocks(halves)
-                key = _block_key(inner, o1)
-                for known, is_open in ((opened, True), (spoken, False)):
-                    here = np.isin(key, known)
-                    if here.any():
-                        h1, h2 = phrases.windows(_spread(trigger[here], low[here], high[here]))
-                        first, count = _distinct(h1)
-                        for k, v in (("did", np.full(len(first), did)), ("h1", h1[first]), ("h2", h2[first]), ("c", count if is_open else np.full(len(first), 2)), ("open", np.full(len(first), is_open))):
-                            out[k].append(v)
-            yield _emit(out, kinds)
-
-
-def repeated_mask(text: bytes, length: int, halves: np.ndarray, settled: np.ndarray, opened: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Which bytes of a text are covered by repeated windows."""
-    phrases = Phrases(text, length)
-    trigger, low, high, inner, o1, _ = phrases.blocks(halves)
+        for part, texts in _parts(batch):
+            phrases = Phrases(texts, length)
+            text, trigger, low, high, inner, o1 = phrases.blocks(Known(part, "halves"))
+            key = _block_key(inner, o1)
+            for name in ("opened", "spoken"):
+                here = Known(part, name).has(phrases, text, key)
+                of, starts = _spread(text[here], trigger[here], low[here], high[here])
+                h1, h2 = phrases.windows(starts)
+                first, count = phrases.distinct(of, h1)
+                did = np.array(ints(part, "did"), np.int64)[of[first]]
+                is_open = np.full(len(first), name == "opened")
+                yield pa.RecordBatch.from_arrays([*_longs(did, h1[first], h2[first], np.where(is_open, count, 2)), pa.array(is_open)], ["did", "h1", "h2", "c", "open"])
+
+
+def repeated_bytes(texts: list[bytes], length: int, part: pa.RecordBatch) -> list[np.ndarray]:
+    """Which bytes of each text are covered by repeated windows."""
+    phrases = Phrases(texts, length)
+    text, trigger, low, high, inner, o1 = phrases.blocks(Known(part, "halves"))
     key = _block_key(inner, o1)
-    here = np.isin(key, settled)
-    starts = [_spread(trigger[here], low[here], high[here])]
-    here = np.isin(key, opened)
-    if here.any() and len(windows):
-        left = _spread(trigger[here], low[here], high[here])
-        starts.append(left[np.isin(phrases.windows(left)[0], windows)])
-    edge = np.zeros(len(text) + 1, np.int64)
-    starts = np.unique(np.concatenate(starts))
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + length, -1)
-    return np.cumsum(edge[:-1]) > 0
+    here = Known(part, "settled").has(phrases, text, key)
+    starts = _spread(text[here], trigger[here], low[here], high[here])[1]
+    here = Known(part, "opened").has(phrases, text, key)
+    of, left = _spread(text[here], trigger[here], low[here], high[here])
+    left = left[Known(part, "windows").has(phrases, of, phrases.windows(left, 1)[0])]
+    edge = np.zeros(len(phrases.data) + 1, np.int32)
+    edge[starts] += 1  # each start is there once
+    edge[left] += 1
+    edge[starts + length] -= 1
+    edge[left + length] -= 1
+    covered = np.cumsum(edge[:-1]) > 0
+    return [covered[b:e] for b, e in zip(phrases.begins.tolist(), phrases.ends.tolist())]
 
 
 RESULT = "did long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -248,7 +268,7 @@ def _result(texts: list[bytes], masks: list, did: list, with_bytes: bool) -> pa.
             removed.append(int(mask.sum()))
             spans.append(int(mask[0]) + int(np.count_nonzero(mask[1:] & ~mask[:-1])))
             kept.append(np.frombuffer(text, np.uint8)[~mask].tobytes())
-    arrays = [pa.array(did, LONG), pa.array([len(t) for t in texts], LONG), pa.array(removed, LONG), pa.array(spans, LONG), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+    arrays = [*(pa.array(x, pa.int64()) for x in (did, [len(t) for t in texts], removed, spans)), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
     return pa.RecordBatch.from_arrays(arrays + [pa.array(kept, pa.binary())] * with_bytes, [f.split()[0] for f in RESULT.split(", ")] + ["kept"] * with_bytes)
 
 
@@ -267,10 +287,8 @@ def _sorted_out(batches, with_bytes: bool):
 
 def _final(batches, length: int, with_bytes: bool):
     for batch in batches:
-        for part, texts in rows(batch):
-            known = [_known(part, n) for n in ("halves", "settled", "opened", "windows")]
-            masks = [repeated_mask(t, length, *k) for t, *k in zip(texts, *known)]
-            yield _result(texts, masks, ints(part, "did"), with_bytes)
+        for part, texts in _parts(batch):
+            yield _result(texts, repeated_bytes(texts, length, part), ints(part, "did"), with_bytes)
 
 
 def _shared_folder(df: DataFrame) -> str:
@@ -293,20 +311,32 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = Tru
     repeats. Extra columns are ignored; a null doc_id is kept.
     """
     assert length >= 4 * SUB + WINDOW
-    base = keyed(docs).select("did", "text")
-    halves = in_arrow(base, lambda it: _half_rows(it, length), "did long, h long, c long")
-    common = halves.groupBy("h").agg(F.sum("c").alias("n")).where("n > 1").select("h")
-    suspects = durable(skew_join(halves.select("did", "h"), common, ["h"]).groupBy("did").agg(F.collect_set("h").alias("halves")))
-    _drop_shuffles(docs)
-
     stage = _shared_folder(docs)
-    schema = RESULT + ", kept binary" * with_bytes
-    joined = base.join(suspects, "did", "left")
-    in_arrow(joined, lambda it: _sorted_out(it, with_bytes), schema + ", text string, halves array<long>").write.parquet(stage)
+    _stage_suspects(keyed(docs).select("did", "text"), length, with_bytes, stage)
     _drop_shuffles(docs)
     staged = docs.sparkSession.read.parquet(stage)
     texts = staged.where("text IS NOT NULL").select("did", "text", "halves")
+    told = _settle_blocks(texts, length)
+    _drop_shuffles(docs)
+    found = _settle_windows(texts, told, length)
+    _drop_shuffles(docs)
+    last = texts.join(told.drop("spoken"), "did", "left").join(found, "did", "left")
+    out = in_arrow(last, lambda it: _final(it, length, with_bytes), RESULT + ", kept binary" * with_bytes)
+    out = out.unionByName(staged.where("text IS NULL").drop("text", "halves"))
+    return out.select(public_id().alias("doc_id"), *[c for c in out.columns if c != "did"])
+
+
+def _stage_suspects(base: DataFrame, length: int, with_bytes: bool, path: str) -> None:
+    """Write every row: done if it has no repeated half, else with its text and the names of those."""
+    halves = in_arrow(base, lambda it: _half_rows(it, length), "did long, h long, c long")
+    common = halves.groupBy("h").agg(F.sum("c").alias("n")).where("n > 1").select("h")
+    suspects = skew_join(halves.select("did", "h"), common, ["h"]).groupBy("did").agg(F.collect_set("h").alias("halves"))
+    schema = RESULT + ", kept binary" * with_bytes + ", text string, halves array<long>"
+    in_arrow(base.join(suspects, "did", "left"), lambda it: _sorted_out(it, with_bytes), schema).write.parquet(path)
+
 
+def _settle_blocks(texts: DataFrame, length: int) -> DataFrame:
+    """(did, settled, opened, spoken): names of blocks that repeat as a whole, that remain open, and that this did speaks for."""
     blocks = in_arrow(texts, lambda it: _block_rows(it, length), "did long, inner long, o1 long, o2 long, c long")
     outer = blocks.groupBy("inner", "o1", "o2").agg(F.sum("c").alias("n"), F.min("did").alias("speaker"))
     inner = outer.groupBy("inner").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
@@ -316,21 +346,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = Tru
     )
     key = F.when(F.col("o1") != 0, F.col("o1")).otherwise(F.col("inner"))
     facts = skew_join(blocks.drop("c"), state, ["inner", "o1", "o2"]).withColumn("key", key)
-    told = durable(
+    return durable(
         facts.groupBy("did").agg(
             F.collect_set(F.when(F.col("whole"), F.col("key"))).alias("settled"),
             F.collect_set(F.when(~F.col("whole"), F.col("key"))).alias("opened"),
             F.collect_set(F.when(F.col("speaker") == F.col("did"), F.col("key"))).alias("spoken"),
         )
     )
-    _drop_shuffles(docs)
 
-    some = told.where("size(opened) > 0 OR size(spoken) > 0")
-    windows = in_arrow(texts.join(some.drop("settled"), "did"), lambda it: _window_rows(it, length), "did long, h1 long, h2 long, c long, open boolean")
-    again = windows.groupBy("h1", "h2").agg(F.sum("c").alias("n"), F.bool_or("open").alias("asked")).where("n > 1 AND asked").select("h1", "h2")
-    found = durable(skew_join(windows.where("open").select("did", "h1", "h2"), again, ["h1", "h2"]).groupBy("did").agg(F.collect_set("h1").alias("windows")))
-    _drop_shuffles(docs)
 
-    last = texts.join(told.drop("spoken"), "did", "left").join(found, "did", "left")
-    out = in_arrow(last, lambda it: _final(it, length, with_bytes), schema).unionByName(staged.where("text IS NULL").drop("text", "halves"))
-    return out.select(public_id().alias("doc_id"), *[c for c in out.columns if c != "did"])
+def _settle_windows(texts: DataFrame, told: DataFrame, length: int) -> DataFrame:
+    """(did, windows): names of windows of open blocks that repeat."""
+    some = told.where("size(opened) > 0 OR size(spoken) > 0").drop("settled")
+    windows = in_arrow(texts.join(some, "did"), lambda it: _window_rows(it, length), "did long, h1 long, h2 long, c long, open boolean")
+    again = windows.groupBy("h1", "h2").agg(F.sum("c").alias("n"), F.bool_or("open").alias("asked")).where("n > 1 AND asked").select("h1", "h2")
+    open_ones = windows.where("open").select("did", "h1", "h2")
+    return durable(skew_join(open_ones, again, ["h1", "h2"]).groupBy("did").agg(F.collect_set("h1").alias("windows")))
