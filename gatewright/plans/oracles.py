@@ -175,6 +175,9 @@ SELECT alignment, count(*)::BIGINT AS n, count(*) FILTER (WHERE gap < 0)::BIGINT
 FROM g GROUP BY alignment""",
     "align_acceptance": f"WITH {FILINGS} SELECT accession, ticker, signal_date FROM aligned",
     "pit_gap_rows": f"WITH {FILINGS} SELECT accession, round({GAP}, 6) AS gap FROM aligned",
+    "filing_index_summary": """
+SELECT count(*)::BIGINT AS n_rows, count(DISTINCT event_id)::BIGINT AS n_documents, count(DISTINCT user_id)::BIGINT AS n_tickers, min(ts)::DATE AS first_date, max(ts)::DATE AS last_date
+FROM events WHERE ts::DATE BETWEEN DATE '2024-01-03' AND DATE '2024-01-20'""",
     "annual_gap_flags": """
 WITH w AS (SELECT o_orderkey, o_orderdate, lag(o_orderkey) OVER p AS prev_o_orderkey, lag(o_orderdate) OVER p AS prev FROM orders WINDOW p AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
 SELECT o_orderkey, prev_o_orderkey, datesub('day', prev, o_orderdate)::BIGINT AS gap_days, coalesce(datesub('day', prev, o_orderdate) BETWEEN 250 AND 550, FALSE) AS gap_ok FROM w""",
@@ -182,6 +185,7 @@ SELECT o_orderkey, prev_o_orderkey, datesub('day', prev, o_orderdate)::BIGINT AS
     "doc_norms": f"WITH {COUNTS} SELECT doc_id, sum(n * n)::BIGINT AS norm2 FROM counts GROUP BY doc_id",
     "lazy_cosine": f"WITH {COUNTS}, {DOC_PAIRS}, {COSINES} SELECT a, b, score FROM scored",
     "lazy_build": f"WITH {LAZY} SELECT ticker, accession, prev_accession, period_end, signal_date, score, extraction_failed, failure_reason, gap_days, gap_ok FROM built",
+    "lazy_usable": f"WITH {LAZY} SELECT ticker, accession, signal_date, score FROM built WHERE NOT extraction_failed AND gap_ok",
     "signal_diagnostics": f"""
 WITH {LAZY} SELECT count(*)::BIGINT AS n_filings, count(DISTINCT accession)::BIGINT AS n_documents, count(*) FILTER (WHERE prev_accession IS NULL)::BIGINT AS n_first_filing_no_prior,
   round(avg(section_failed::INTEGER), 6) AS section_failure_rate, round(avg(extraction_failed::INTEGER), 6) AS pair_failure_rate, count(*) FILTER (WHERE NOT gap_ok)::BIGINT AS gap_rejected,
@@ -220,6 +224,12 @@ cov AS (SELECT symbol FROM win GROUP BY symbol HAVING count(DISTINCT date) / (SE
 SELECT symbol, median(value) AS median_adv FROM adv
 WHERE date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' AND symbol::BIGINT % 10 <> 3 AND symbol IN (SELECT symbol FROM kinds WHERE quoteType = 'EQUITY') AND symbol IN (SELECT symbol FROM cov)
 GROUP BY symbol ORDER BY median(value) DESC, symbol LIMIT 20""",
+    "former_tickers": f"""
+WITH {MEMBERSHIP} SELECT c_custkey::VARCHAR AS ticker, DATE '1995-09-01' AS date, 'cik' || symbol AS cik FROM customer
+LEFT JOIN membership ON symbol = c_custkey::VARCHAR AND valid_from <= DATE '1995-09-01' AND (valid_to IS NULL OR valid_to >= DATE '1995-09-01')""",
+    "wide_to_long": "SELECT l_shipdate::DATE AS date, l_returnflag AS symbol, sum(l_quantity) AS value FROM lineitem WHERE l_quantity > 30 GROUP BY ALL",
+    "momentum_lines": """
+SELECT o_orderdate::DATE AS date, CASE WHEN o_orderkey % 50 <> 7 THEN (o_orderkey % 1000) / 100.0::DOUBLE END AS mom FROM orders WHERE o_orderkey % 10 NOT IN (3, 4)""",
     "sector_map": f"WITH {KINDS} SELECT symbol, sector FROM kinds",
     "factor_join": f"WITH {DAILY} SELECT date, mkt_rf, mom, ret FROM a JOIN b USING (date)",
     "missing_symbols": "SELECT DISTINCT p_partkey::VARCHAR AS symbol FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-03-01')",

@@ -19,7 +19,8 @@ from gatewright.operators.signals import cosine_distance, novelty, tone
 from gatewright.plans import gates
 from gatewright.plans.ledger import GENESIS, link_check, trial_counts
 from gatewright.plans.verdict import fold, give_ups
-from gatewright.sources.filings import BLOCK, unpack
+from gatewright.sources.filings import BLOCK, accepted_between, index_summary, unpack
+from gatewright.sources.market import from_wide, parse_momentum
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -77,6 +78,11 @@ def annual_gap_flags(spark, sf_dir):
     return with_gap(before, "at", "prev_at").select("o_orderkey", "prev_o_orderkey", "gap_days", "gap_ok")
 
 
+@query
+def filing_index_summary(spark, sf_dir):
+    return index_summary(accepted_between(filings(spark, sf_dir), "2024-01-03", "2024-01-20"))
+
+
 # Documents as texts: ticker is the source, order is doc_id, a filing a day.
 
 
@@ -119,6 +125,12 @@ def lazy_build(spark, sf_dir):
     return rounded(scored_documents(spark, sf_dir).select(*names), "score", digits=9)
 
 
+@query
+def lazy_usable(spark, sf_dir):
+    rows = scored_documents(spark, sf_dir)
+    return rounded(rows.where(~F.col("extraction_failed") & F.col("gap_ok")).select("ticker", "accession", "signal_date", "score"), "score", digits=9)
+
+
 @query
 def signal_diagnostics(spark, sf_dir):
     return rounded(diagnostics(scored_documents(spark, sf_dir)), "section_failure_rate", "pair_failure_rate", "score_mean", "score_std")
@@ -267,6 +279,30 @@ def supplier_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return member, kinds
 
 
+@query
+def former_tickers(spark, sf_dir):
+    names = membership(spark, sf_dir).select(F.col("symbol").alias("ticker"), F.concat(F.lit("cik"), "symbol").alias("cik"), "valid_from", "valid_to")
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("ticker"), F.lit("1995-09-01").cast("date").alias("date"))
+    return panel.former_tickers(asked, names)
+
+
+@query
+def wide_to_long(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").where("l_quantity > 30")
+    wide = rows.groupBy(F.col("l_shipdate").cast("date").alias("date")).pivot("l_returnflag", ["A", "N", "R"]).agg(F.sum("l_quantity"))
+    return from_wide(wide)
+
+
+@query
+def momentum_lines(spark, sf_dir):
+    """Order values as a factor file: two fields with a date of eight digits, among headers, short dates and missing codes."""
+    k = F.col("o_orderkey")
+    day = F.date_format("o_orderdate", "yyyyMMdd")
+    value = F.when(k % 50 == 7, "-99.99").otherwise((k % 1000).cast("string"))
+    line = F.when(k % 10 == 3, F.concat(F.lit("x"), day, F.lit(","), value)).when(k % 10 == 4, F.concat(day, F.lit(","), value, F.lit(",1"))).otherwise(F.concat(day, F.lit(",  "), value))
+    return parse_momentum(table(spark, sf_dir, "orders").select(line.alias("value")))
+
+
 @query
 def liquid_universe(spark, sf_dir):
     member, kinds = supplier_tables(spark, sf_dir)

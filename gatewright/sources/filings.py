@@ -116,3 +116,12 @@ def build_report(outcomes: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("accession").alias("n_documents"), F.count_distinct("ticker").alias("n_tickers"),
         F.count_if(F.col("error").isNull()).alias("done"), F.count_if(F.col("error").isNotNull()).alias("failed"),
     )
+
+
+def index_summary(index: DataFrame, date: str = "acceptance_datetime") -> DataFrame:
+    """One row: rows, documents and tickers of an index, and its first and last date."""
+    day = F.col(date).cast("date")
+    return index.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("accession").alias("n_documents"), F.count_distinct("ticker").alias("n_tickers"),
+        F.min(day).alias("first_date"), F.max(day).alias("last_date"),
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gatewright.operators.lazy_prices import Signal
 from gatewright.plans import gates, runlog
-from gatewright.plans.ledger import BrokenChain, Ledger, TooFewTrials, Trial, canonical, check_chain, hash_of, link_check, trial_counts
+from gatewright.plans.ledger import BrokenChain, Ledger, TooFewTrials, Trial, canonical, check_chain, hash_of, link_check, read_ledger, trial_counts
 from gatewright.plans.verdict import GATE_ORDER, Context, MissingGate, Step, Verdict, fold, give_ups, run_gauntlet
 
 
@@ -99,6 +99,9 @@ def test_ledger_as_a_table(spark, ledger):
     assert tuple(trial_counts(flat).first()) == ("f", 3, 3, pytest.approx(1.0))
     assert tuple(link_check(df, F.col("entry_hash")).first()) == (6, None)
     assert tuple(link_check(df.withColumn("prev_hash", F.when(F.col("index") == 4, "x").otherwise(F.col("prev_hash"))), F.col("entry_hash")).first()) == (6, 4)
+    assert sorted(map(str, read_ledger(spark, str(ledger.path)).select("index", "amends", "outcome", "trial.params", "entry_hash").collect())) == sorted(
+        map(str, df.select("index", "amends", "outcome", "trial.params", "entry_hash").collect())
+    )
     assert trial().fingerprint() == trial().fingerprint() != trial(n=1).fingerprint()
     check_chain([])
 
