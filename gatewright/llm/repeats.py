@@ -22,8 +22,10 @@ Decisions rest on 128 bits; the coarse filters, where a clash costs work only, o
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -298,8 +300,14 @@ def _shared_folder(df: DataFrame) -> str:
 
 
 def _drop_shuffles(df: DataFrame) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, before the next stage writes its own.
+
+    Python's references go first; the gateway hands them to the JVM a moment later.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)
+        df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = True) -> DataFrame:
