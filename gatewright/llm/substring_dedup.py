@@ -19,10 +19,10 @@ from gatewright.llm.cdc import least_cuts
 from gatewright.llm.common import ints, keyed, public_id, rows, shared_elsewhere
 from gatewright.session import in_arrow
 
-#: Bytes on either side of a cut among which its hash is least: chunks of 65 bytes on average.
-RADIUS = 32
-#: Bytes of the shortest run of chunks that is dropped.
-SHORTEST = 60
+#: Bytes on either side of a cut among which its hash is least: chunks of 49 bytes on average.
+RADIUS = 24
+#: Bytes of the shortest run of chunks that is dropped: a passage of fifty words has over twice as many, a stock line fewer.
+SHORTEST = 120
 
 
 def chunk_digests(texts: list[bytes], radius: int = RADIUS) -> list[tuple[list[int], list[bytes]]]:
