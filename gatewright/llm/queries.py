@@ -116,6 +116,30 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
 
 
+#: Every string of 400 bytes by its MD5; slow (a row a byte), but a check on whole small tables.
+OP10_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes FROM documents
+), starts AS (
+  SELECT doc_id, i, md5_number(h[i + 1 : i + 400]) AS w FROM (SELECT doc_id, h, unnest(range(n_bytes - 399)) AS i FROM texts WHERE n_bytes >= 400)
+), twice AS (
+  SELECT doc_id, i FROM starts WHERE w IN (SELECT w FROM starts GROUP BY w HAVING count(*) > 1)
+), spans AS (
+  SELECT doc_id, i, i - coalesce(lag(i) OVER o, -1000) > 400 AS opens, least(coalesce(lead(i) OVER o, i + 400) - i, 400) AS fresh FROM twice WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), removed AS (
+  SELECT doc_id, sum(fresh)::BIGINT AS n_removed, count(*) FILTER (WHERE opens)::BIGINT AS n_spans FROM spans GROUP BY doc_id
+), runs AS (
+  SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM (SELECT doc_id, i, sum(opens::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM spans) GROUP BY ALL
+), gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER o, 0) AS a, a AS b FROM runs WINDOW o AS (PARTITION BY doc_id ORDER BY a)
+  UNION ALL SELECT r.doc_id, max(b), any_value(n_bytes) FROM runs r JOIN texts t ON t.doc_id = r.doc_id GROUP BY r.doc_id
+), kept AS (
+  SELECT g.doc_id, string_agg(hex(h[a + 1 : b]), '' ORDER BY a) AS h FROM gaps g JOIN texts t ON t.doc_id = g.doc_id GROUP BY g.doc_id
+)
+SELECT t.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(unhex(k.h), t.h)) AS kept_sha256
+FROM texts t LEFT JOIN removed r ON r.doc_id = t.doc_id LEFT JOIN kept k ON k.doc_id = t.doc_id
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_bpe": op2_bpe,
@@ -131,4 +155,5 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
     "op5_exact_dedup": OP5_SQL,
+    "op10_repeats": OP10_SQL,
 }
