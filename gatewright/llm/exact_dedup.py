@@ -108,7 +108,9 @@ def exact_groups(docs: DataFrame, name: Name = digest) -> DataFrame:
     rows_of = recipes.groupBy("did", "th", "n_chars", "recipe", "text_sha256").agg(F.count(F.lit(1)).alias("copies"))
     best = F.max(F.struct("n_chars", (-1 - F.col("did")).alias("order"), "th"))
     groups = rows_of.groupBy("recipe").agg(best.alias("best"), F.sum("copies").alias("group_size"))
-    out = rows_of.join(groups, "recipe").select(
+    # On a longer key both sides are shuffled for the join itself, so that a recipe with very many rows can be split.
+    longer = lambda df: df.withColumn("key", F.concat("recipe", F.lit(bytearray(b".")))).drop("recipe")
+    out = longer(rows_of).join(longer(groups), "key").select(
         "did", "th", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
         (-1 - F.col("best.order")).alias("keep"), F.col("best.th").alias("keep_th"), "group_size", "text_sha256",
     )
