@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatewright.llm.common import durable
+from gatewright.llm.common import durable, skew_join
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -16,7 +16,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     """
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else links
     least = ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    moved = ends.join(least, "a")
+    moved = skew_join(ends, least, ["a"])
     if large:
         out = moved.where("b > a").select(F.col("b").alias("x"), F.col("m").alias("y"))
     else:

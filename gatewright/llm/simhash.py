@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatewright.llm.common import durable, ints, keyed, public_id, rows, stay_only
+from gatewright.llm.common import durable, ints, keyed, public_id, rows, skew_join, stay_only
 from gatewright.llm.components import components
 from gatewright.session import in_arrow
 
@@ -101,7 +101,7 @@ def near_groups(docs: DataFrame, width: int = 3) -> DataFrame:
     roots = components(links(smallest.select("fp")))
     named = smallest.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
-    return found.join(named.join(least, "root").select("fp", "component"), "fp")
+    return found.join(skew_join(named, least, ["root"]).select("fp", "component"), "fp")
 
 
 def hex_of(fp: Column) -> Column:
