@@ -60,7 +60,10 @@ def token_ids(text: str, path: str) -> np.ndarray:
     """Ids of text by the tokenizer file at path, without added special tokens."""
     fast = _fast(path)
     if fast is not None and PLAIN.fullmatch(text) and not any(s in text for s in _special(path)):
-        return fast.encode_to_numpy(text, disallowed_special=())
+        try:
+            return fast.encode_to_numpy(text, disallowed_special=())
+        except ValueError:  # its pattern runs out of stack on very long runs of blanks
+            pass
     return np.array(_slow(path).encode(text, add_special_tokens=False).ids, np.uint32)
 
 

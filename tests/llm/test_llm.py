@@ -160,7 +160,7 @@ def test_packing(spark, rows):
 def test_fast_ids_are_used_only_where_both_libraries_agree():
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert packing._special(path) == ("<|endoftext|>",)
-    for t in ("plain text, naïve", "a <|endoftext|> b", "漢字", "x\x85y", ""):
+    for t in ("plain text, naïve", "a <|endoftext|> b", "漢字", "x\x85y", "", " " * 1_000_000 + "a"):
         assert packing.token_ids(t, path).tolist() == Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids
 
 
