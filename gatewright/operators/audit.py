@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatewright.functions.timeops import align, fractional_days, utc_instant
@@ -15,20 +15,45 @@ def gap_rows(aligned: DataFrame, signal_date: str = "signal_date", acceptance: s
     return aligned.withColumn("gap", fractional_days(utc_instant(aligned, signal_date, at_close=True), utc_instant(aligned, acceptance)))
 
 
+def exact_median(rows: DataFrame, by: list[str], value: str, width: float) -> DataFrame:
+    """(by..., median): the exact median of a number in each group; nulls are left out.
+
+    No task holds a group. Equal values are counted, counts are summed over buckets of `width`,
+    and only the buckets that hold the two middle ranks are put in order.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.withColumn("_b", F.floor(F.col(value) / width))
+    group, ordered = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_b")
+    sums = counts.groupBy(*by, "_b").agg(F.sum("_c").alias("_s"))
+    laid = sums.select(*by, "_b", "_s", (F.sum("_s").over(ordered) - F.col("_s")).alias("_before"), F.sum("_s").over(group).alias("_n"))
+    laid = laid.withColumns({"_low": F.floor((F.col("_n") - 1) / 2), "_high": F.floor(F.col("_n") / 2)})
+    middle = laid.where((F.col("_before") <= F.col("_high")) & (F.col("_before") + F.col("_s") > F.col("_low"))).drop("_s", "_n")
+    inside = counts.join(middle, [*by, "_b"])
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*by, "_b").orderBy(value))
+    placed = inside.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_c"))
+    at = lambda rank: F.max(F.when((F.col("_from") <= F.col(rank)) & (F.col(rank) < F.col("_upto")), F.col(value)))
+    return placed.groupBy(*by).agg(((at("_low") + at("_high")) / 2).alias("median"))
+
+
 def audit(aligned: DataFrame, by: tuple[str, ...] = (), embargo_days: float = DEFAULT_EMBARGO_DAYS, **columns: str) -> DataFrame:
     """Per group: n, n_impossible (before publication), n_lookahead (within the embargo of elapsed days), pct_lookahead, median and least gap.
 
-    A row without a gap counts in n only. The median is exact.
+    A row without a gap counts in n only. The median is exact. Groups are those of non-null `by`.
     """
+    keys = list(by) or ["_all"]
+    rows = gap_rows(aligned, **columns)
+    rows = rows if by else rows.withColumn("_all", F.lit(0))
     late = F.count_if(F.col("gap") < embargo_days)
-    return gap_rows(aligned, **columns).groupBy(*by).agg(
+    counts = (rows.groupBy(*keys) if by else rows.groupBy()).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("gap") < 0).alias("n_impossible"),
         late.alias("n_lookahead"),
         F.try_divide(late * 100.0, F.count(F.lit(1))).alias("pct_lookahead"),
-        F.median("gap").alias("median_gap_days"),
         F.min("gap").alias("min_gap_days"),
     )
+    counts = counts if by else counts.withColumn("_all", F.lit(0))
+    medians = exact_median(rows.select(*keys, "gap"), keys, "gap", 1 / 24).withColumnRenamed("median", "median_gap_days")
+    return counts.join(medians, keys, "left").select(*by, "n", "n_impossible", "n_lookahead", "pct_lookahead", "median_gap_days", "min_gap_days")
 
 
 def twin_audit(filings: DataFrame, calendar: DataFrame, embargo_days: int = DEFAULT_EMBARGO_DAYS) -> DataFrame:

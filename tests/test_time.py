@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gatewright.functions.timeops import align, session_table, utc_instant, weekdays, whole_days
-from gatewright.operators.audit import audit, gap_rows, twin_audit
+from gatewright.operators.audit import audit, exact_median, gap_rows, twin_audit
 from gatewright.operators.documents import gap_ok
 
 Q1 = [(date(2023, 1, 1), date(2023, 3, 31))]
@@ -120,3 +120,14 @@ def test_annual_gap(spark, days, good):
 def test_days_are_elapsed_not_midnights(spark):
     df = spark.sql("SELECT TIMESTAMP'2023-01-02 01:00:00' AS b, TIMESTAMP'2023-01-01 23:00:00' AS a")
     assert df.select(whole_days(F.col("b"), F.col("a")), whole_days(F.col("a"), F.col("b"))).first()[:] == (0, -1)
+
+
+def test_exact_median(spark):
+    import random
+    from statistics import median
+
+    r = random.Random(2)
+    groups = {"a": [r.choice([-1.5, 0.0, 0.01, 2.0, 2.0, r.random()]) for _ in range(200)], "b": [3.0] * 7, "c": [1.0, 2.0], "d": [-0.001, 0.001, 100.0], "e": [None]}
+    df = spark.createDataFrame([(k, v) for k, own in groups.items() for v in own], "k string, v double")
+    got = {x.k: x.median for x in exact_median(df, ["k"], "v", 1 / 24).collect()}
+    assert got == {k: median(own) for k, own in groups.items() if k != "e"}
