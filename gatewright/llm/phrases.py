@@ -210,7 +210,7 @@ def fingerprint_documents(docs: DataFrame, buckets: int | None = None, with_text
     """
     base = keyed(docs)
     spark = docs.sparkSession
-    n = buckets or 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or min(16 * int(spark.conf.get("spark.sql.shuffle.partitions")), 20_000)
     shares = [i / n for i in range(1, n)]
     found = base.approxQuantile("did", shares, 0.2 / n) if shares else []
     bounds = sorted({min(int(x), 2**63 - 1) for x in found})
