@@ -15,6 +15,7 @@ import base64
 import hashlib
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from gatewright.session import in_arrow
 
 LONGEST = 256
 #: Words a worker remembers, and words a recursive query takes at most.
-REMEMBERED, AT_ONCE = 400_000, 50_000
+REMEMBERED, AT_ONCE = 800_000, 50_000
 #: White space as tiktoken's regex library has it; Python's \s holds U+001C to U+001F as well.
 SPACES = r"\t-\r \x85\xa0  -     　"
 
@@ -51,10 +52,34 @@ WITH RECURSIVE t(w, pos, tok, after, next, step) AS (
 ), last AS (SELECT w, max(step) AS step FROM t GROUP BY w)
 SELECT w, list(tok ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS hex
 FROM (SELECT t.w, t.pos, t.tok, v.hex FROM t JOIN last USING (w, step) JOIN vocabulary v ON v.tok = t.tok)
-GROUP BY w
+GROUP BY w ORDER BY w
 """
 
 
+class Lists:
+    """A growing row of lists of numbers, one behind the other."""
+
+    def __init__(self, kind: type):
+        self.flat, self.start, self.size = np.empty(1 << 16, kind), np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
+        self.n = self.used = 0
+
+    def append(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while self.n + len(sizes) > len(self.size):
+            self.start, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.size))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.start[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.n : self.n + len(sizes)] = sizes
+        self.used, self.n = self.used + len(flat), self.n + len(sizes)
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of that number one behind the other, and where each ends."""
+        size = self.size[which]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.start[which] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 class Coder:
     """Encodes and decodes words by the ranks in a file of `base64 rank` lines."""
 
@@ -80,26 +105,34 @@ class Coder:
         self.db.register("m", merges), self.db.register("v", vocabulary)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM m; CREATE TABLE vocabulary AS SELECT * FROM v")
         self.db.unregister("m"), self.db.unregister("v")
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.forget()
 
-    def _contract(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """Ids (little-endian) and decoded bytes of words, in one recursive query."""
-        sizes = np.array([len(w) for w in words])
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}  # word -> its number in the lists
+        self.ids, self.decoded = Lists(np.uint32), Lists(np.uint8)
+
+    def _remember(self, words: list[str], ids: np.ndarray, n_ids: np.ndarray, decoded: bytes, n_bytes: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.ids.append(ids, n_ids)
+        self.decoded.append(np.frombuffer(decoded, np.uint8), n_bytes)
+
+    def _contract(self, words: list[str]) -> None:
+        """Ids and decoded bytes of distinct words, in one recursive query."""
+        raw = [w.encode() for w in words]
+        sizes = np.array([len(w) for w in raw])
         which = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         pos = (np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-        tokens = pa.table({"w": which, "pos": pos, "tok": self.single[np.frombuffer(b"".join(words), np.uint8)]})
+        tokens = pa.table({"w": which, "pos": pos, "tok": self.single[np.frombuffer(b"".join(raw), np.uint8)]})
         self.db.register("words", tokens)
         got = self.db.sql(CONTRACT).to_arrow_table().combine_chunks()
         self.db.unregister("words")
-        ids = got["ids"].combine_chunks()
-        flat, ends = ids.flatten().to_numpy().astype("<u4").tobytes(), (ids.value_lengths().to_numpy().cumsum() * 4).tolist()
-        out: list = [None] * len(words)
-        for w, i, j, decoded in zip(got["w"].to_pylist(), [0, *ends], ends, got["hex"].to_pylist()):
-            out[w] = (flat[i:j], bytes.fromhex(decoded))
-        return out
-
-    def _contract_long(self, word: bytes) -> tuple[bytes, bytes]:
+        ids, hexes = got["ids"].combine_chunks(), got["hex"].to_pylist()
+        n_bytes = np.fromiter(map(len, hexes), np.int64, len(hexes)) // 2
+        self._remember(words, ids.flatten().to_numpy(), ids.value_lengths().to_numpy(), bytes.fromhex("".join(hexes)), n_bytes)
+
+    def _contract_long(self, text: str) -> None:
         """The same contractions, leftmost pair of least rank first, from a heap."""
+        word = text.encode()
         tok = self.single[np.frombuffer(word, np.uint8)].tolist()
         n, get = len(tok), self.pairs.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -119,35 +152,42 @@ class Coder:
             if (h := before[i]) >= 0 and (r := get((tok[h], rank))) is not None:
                 heappush(heap, (r, h))
         ids = [t for t in tok if t is not None]
-        return np.array(ids, "<u4").tobytes(), b"".join(map(self.bytes.__getitem__, ids))
+        self._remember([text], np.array(ids, np.uint32), np.array([len(ids)]), b"".join(map(self.bytes.__getitem__, ids)), np.array([len(word)]))
 
     def learn(self, words: set[str]) -> None:
-        new: list[tuple[str, bytes]] = []
+        tokens: list[str] = []
+        new: list[str] = []
         for word in words:
-            raw = word.encode()
-            if (rank := self.ranks.get(raw)) is not None:
-                self.known[word] = (rank.to_bytes(4, "little"), self.bytes[rank])
-            elif len(raw) > LONGEST:
-                self.known[word] = self._contract_long(raw)
+            if word.encode() in self.ranks:
+                tokens.append(word)
+            elif 4 * len(word) > LONGEST and len(word.encode()) > LONGEST:
+                self._contract_long(word)
             else:
-                new.append((word, raw))
+                new.append(word)
+        raw = [w.encode() for w in tokens]
+        self._remember(tokens, np.array([self.ranks[r] for r in raw], np.uint32), np.ones(len(raw), np.int64), b"".join(raw), np.array([len(r) for r in raw], np.int64))
         for i in range(0, len(new), AT_ONCE):
-            part = new[i : i + AT_ONCE]
-            self.known.update(zip((w for w, _ in part), self._contract([r for _, r in part])))
+            self._contract(new[i : i + AT_ONCE])
 
-    def code(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids (little-endian, unsigned, 32 bits each) and decoded bytes of each text."""
+    def code(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and decoded bytes of each text."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.forget()
         split = [self.pattern.findall(t) for t in texts]
         new = set().union(*split) - self.known.keys()
         if new:
             self.learn(new)
+        return [both for i in range(0, len(split), 64) for both in self._joined(split[i : i + 64])]
+
+    def _joined(self, split: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        last = np.cumsum([0, *map(len, split)])
+        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, last[-1])
         out = []
-        for words in split:
-            both = list(map(self.known.__getitem__, words))
-            out.append((b"".join([x[0] for x in both]), b"".join([x[1] for x in both])))
-        return out
+        for lists in (self.ids, self.decoded):
+            flat, ends = lists.take(number)
+            at = np.concatenate([[0], ends])[last].tolist()
+            out.append([flat[i:j] for i, j in zip(at, at[1:])])
+        return list(zip(*out))
 
 
 @lru_cache(2)
@@ -161,13 +201,13 @@ def _encode(batches, path: str, pattern: str, with_ids: bool):
         for part, texts in rows(batch, 1024):
             got = own.code([t.decode() for t in texts])
             arrays = [
-                part.column(0), pa.array([len(i) // 4 for i, _ in got], pa.int64()),
-                pa.array([hashlib.sha256(i).hexdigest() for i, _ in got]), pa.array([hashlib.sha256(d).hexdigest() for _, d in got]),
+                part.column(0), pa.array([len(i) for i, _ in got], pa.int64()),
+                pa.array([hashlib.sha256(i.astype("<u4", copy=False)).hexdigest() for i, _ in got]), pa.array([hashlib.sha256(d).hexdigest() for _, d in got]),
             ]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                flat = np.frombuffer(b"".join(i for i, _ in got), "<u4").astype(np.int32)
-                arrays += [pa.ListArray.from_arrays(np.cumsum([0, *(len(i) // 4 for i, _ in got)]).astype(np.int32), flat), pa.array([d for _, d in got], pa.binary())]
+                flat = np.concatenate([i for i, _ in got]).astype(np.int32)
+                arrays += [pa.ListArray.from_arrays(np.cumsum([0, *(len(i) for i, _ in got)]).astype(np.int32), flat), pa.array([d.tobytes() for _, d in got], pa.binary())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
