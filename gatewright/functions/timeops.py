@@ -58,17 +58,18 @@ def session_table(calendar: DataFrame, embargo_days: int, clip: bool = False) ->
     """
     sessions = calendar.select(F.col("d").cast("date").alias("d")).where("d IS NOT NULL").distinct()
     ordered = Window.orderBy("d")
-    last = Window.orderBy("d").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    whole = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     target = F.lead("d", embargo_days).over(ordered)
     if clip:
-        target = F.coalesce(target, F.last("d").over(last))
+        target = F.coalesce(target, F.max("d").over(whole))
     placed = sessions.select("d", target.alias("target"))
     days = placed.agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a IS NOT NULL").select(
         F.explode(F.sequence(F.least("a", F.lit(CALENDAR_FLOOR).cast("date")), F.col("b"))).alias("effective")
     )
     here = F.when(F.col("d").isNotNull(), F.struct("d", "target"))
     found = days.join(placed, F.col("effective") == F.col("d"), "left")
-    following = F.first(here, ignorenulls=True).over(Window.orderBy("effective").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # Backwards in time, the session seen last is the next one; a frame that grows costs one step a date.
+    following = F.last(here, ignorenulls=True).over(Window.orderBy(F.desc("effective")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return found.select("effective", following.alias("s")).select("effective", F.col("s.target").alias("signal_date"))
 
 
