@@ -63,7 +63,10 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def least_cuts(texts: list[bytes], radius: int) -> list[np.ndarray]:
-    """For each text the ends of its chunks: after a byte whose gear hash is below all others within `radius` bytes, and the end.
+    """For each text the ends of its chunks: after a byte whose gear hash is the least within `radius` bytes, and the end.
+
+    Of equal least hashes, which repeat with the text, each is a cut that lies over `radius` after
+    the cut before: periodic text is cut at one place of its period, into equal chunks.
 
     A cut needs `radius` bytes after it and `radius` + WINDOW before it in its text, and sees no
     others, so equal passages are cut alike inside. Chunks are over `radius` long and about twice
@@ -77,9 +80,17 @@ def least_cuts(texts: list[bytes], radius: int) -> list[np.ndarray]:
         h = gear(data)
         least = sliding_min(h, radius)
         middle = np.arange(radius, len(data) - radius)
-        where = middle[(h[middle] < least[: len(middle)]) & (h[middle] < least[radius + 1 :][: len(middle)])]
+        where = middle[(h[middle] <= least[: len(middle)]) & (h[middle] <= least[radius + 1 :][: len(middle)])]
     of = np.searchsorted(ends, where, "right")
     fits = (where - (ends - sizes)[of] >= radius + WINDOW) & (ends[of] - where > radius)
     where, of = where[fits] + 1, of[fits]
+    close = np.flatnonzero((np.diff(where) <= radius) & (np.diff(of) == 0)) + 1
+    if len(close):
+        stays, last, before = np.ones(len(where), bool), 0, -1
+        for k in close.tolist():
+            last = last if k - 1 == before else where[k - 1]
+            stays[k] = where[k] - last > radius
+            last, before = where[k] if stays[k] else last, k
+        where, of = where[stays], of[stays]
     first, last = np.searchsorted(of, np.arange(len(texts))), np.searchsorted(of, np.arange(len(texts)), "right")
     return [np.append(where[i:j] - (end - size), size) if size else where[:0] for size, end, i, j in zip(sizes.tolist(), ends.tolist(), first.tolist(), last.tolist())]

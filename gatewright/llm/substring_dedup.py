@@ -3,8 +3,8 @@
 Cuts stand where a gear rolling hash is least within a radius, so they move with the text and an
 insertion changes the chunks around it only. Chunks are known by a 128-bit digest. A digest in
 several documents stays in the smallest doc_id that holds it; of repeats in one document the
-first stays. Runs of dropped chunks shorter than a bound are kept, so that a phrase which two
-documents share by chance is left alone.
+first stays. Runs of dropped chunks that are short in bytes and in words are kept, so that a phrase
+which two documents share by chance is left alone.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from gatewright.session import in_arrow
 RADIUS = 24
 #: Bytes of the shortest run of chunks that is dropped: a passage of fifty words has over twice as many, a stock line fewer.
 SHORTEST = 120
+#: Words of a run that is dropped however few bytes it has: what is left of fifty short words once both ends are lost to cuts that see other bytes.
+FEWEST = 10
 
 
 def chunk_digests(texts: list[bytes], radius: int = RADIUS) -> list[tuple[list[int], list[bytes]]]:
@@ -52,21 +54,22 @@ def _digests(batches, radius: int):
             yield pa.RecordBatch.from_arrays([pa.array(did, pa.int64()), *map(pa.array, _as_longs(digests))], ["did", "h1", "h2"])
 
 
-def kept_ranges(ends: list[int], digests: list[bytes], shared: set[bytes], radius: int, shortest: int) -> list[tuple[int, int]]:
-    """Byte ranges that stay: all but runs, of `shortest` bytes or more, of chunks that are shared or were met before in the text."""
+def kept_ranges(text: bytes, ends: list[int], digests: list[bytes], shared: set[bytes], radius: int, shortest: int, fewest: int) -> list[tuple[int, int]]:
+    """Byte ranges that stay: all but runs, of `shortest` bytes or `fewest` words or more, of chunks that are shared or were met before in the text."""
     kept, seen, start, run = [], set(), 0, None
+    goes = lambda i, j: j - i >= shortest or len(text[i:j].split()) >= fewest
     for h, i, j in zip(digests, [0, *ends], ends):
         if h in shared or h in seen:
             run = i if run is None else run
         else:
-            if run is not None and i - run >= shortest:
+            if run is not None and goes(run, i):
                 kept.append((start, run))
                 start = i
             run = None
         if j - i > radius:
             seen.add(h)
     size = ends[-1] if ends else 0
-    if run is not None and size - run >= shortest:
+    if run is not None and goes(run, size):
         return [*kept, (start, run)]
     return [*kept, (start, size)]
 
@@ -83,14 +86,14 @@ def _whole(text: bytes, i: int, j: int) -> tuple[int, int]:
     return i, k
 
 
-def _reassembled(batches, radius: int, shortest: int):
+def _reassembled(batches, radius: int, shortest: int, fewest: int):
     for batch in batches:
         for part, texts in rows(batch):
             at = part.schema.get_field_index("drop")
             size, removed, spans, kept = [], [], [], []
             for text, (ends, digests), drop in zip(texts, chunk_digests(texts, radius), part.column(at).to_pylist()):
                 shared = {np.array([x["h1"], x["h2"]], np.int64).tobytes() for x in drop or ()}
-                ranges = [_whole(text, i, j) for i, j in kept_ranges(ends, digests, shared, radius, shortest)]
+                ranges = [_whole(text, i, j) for i, j in kept_ranges(text, ends, digests, shared, radius, shortest, fewest)]
                 ranges = [(i, j) for i, j in ranges if i < j]
                 left = b"".join([text[i:j] for i, j in ranges])
                 size.append(len(text))
@@ -104,7 +107,7 @@ def _reassembled(batches, radius: int, shortest: int):
             )
 
 
-def substring_dedup(docs: DataFrame, radius: int = RADIUS, shortest: int = SHORTEST) -> DataFrame:
+def substring_dedup(docs: DataFrame, radius: int = RADIUS, shortest: int = SHORTEST, fewest: int = FEWEST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_text of each row of docs (doc_id, text, ...), in UTF-8 bytes.
 
     A null or empty text stays empty. Repeated rows of one doc_id count as one holder of their
@@ -115,6 +118,6 @@ def substring_dedup(docs: DataFrame, radius: int = RADIUS, shortest: int = SHORT
     found = in_arrow(base.select("did", "text"), lambda it: _digests(it, radius), "did long, h1 long, h2 long")
     drops = shared_elsewhere(found).groupBy("did").agg(F.collect_list(F.struct("h1", "h2")).alias("drop"))
     out = base.select("did", "text").join(drops, "did", "left").mapInArrow(
-        lambda it: _reassembled(it, radius, shortest), "did long, n_bytes long, n_removed long, n_spans long, kept_text string"
+        lambda it: _reassembled(it, radius, shortest, fewest), "did long, n_bytes long, n_removed long, n_spans long, kept_text string"
     )
     return out.select(public_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_text")
