@@ -190,7 +190,7 @@ def parallel_arrays_inline(spark, sf_dir):
     block = lambda r: F.struct(*[r[n].alias(n) for n in names]).cast(BLOCK)  # noqa: E731  an array of structs, turned into arrays
     feed = rows.select(
         F.col("o_custkey").cast("string").alias("ticker"), F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("cik"),
-        block(F.slice("r", 1, 5)).alias("recent"), F.array(block(F.slice("r", 6, 10_000))).alias("overflow"),
+        block(F.slice("r", 1, 5)).alias("recent"), F.array(block(F.slice("r", F.lit(6), F.size("r")))).alias("overflow"),
     )
     return unpack(feed, ["F", "O"]).select("cik", "ticker", "form", "accession", "period_end", "filing_date", "primary_document")
 
