@@ -109,6 +109,37 @@ def isolation_forest(cells: DataFrame, features: list[str], key: list[str], tree
     return x.mapInPandas(score, f"{kinds}, anomaly double")
 
 
+def isolation_features(cells: DataFrame) -> DataFrame:
+    """cells (symbol, month, ret, volume, px, shares) with move (|ret| over its deviation in the 21 rows before) and share_change."""
+    w = Window.partitionBy("symbol").orderBy("month")
+    moved = cells.withColumns({"vol": F.stddev_samp("ret").over(w.rowsBetween(-21, -1)), "share_change": F.try_divide("shares", F.lag("shares").over(w)) - 1})
+    return moved.withColumn("move", F.try_divide(F.abs("ret"), "vol")).drop("vol")
+
+
+def material_flags(scores: DataFrame, flags: DataFrame, n: int = 10) -> DataFrame:
+    """(month, symbol, flagged) of flags: flagged stays only where the cell changes its symbol's decile.
+
+    scores: (month, symbol, score), each once. flags: (month, symbol, flagged, clean), clean being
+    the score without the cell, null if there is none. Each cell is judged with all other scores as
+    they are; one whose symbol loses its score, or has one only through the cell, changes a decile.
+    """
+    own = scores.where("score IS NOT NULL").select("month", "symbol", "score")
+    asked = flags.join(own, ["month", "symbol"], "left").withColumn("clean", F.col("clean").cast("double"))
+    # Both kinds of rows in one order: a clean score's rank is the number of scores before it.
+    both = own.select("month", "symbol", F.col("score").cast("double").alias("at"), F.lit(1).alias("counts")).unionByName(
+        asked.where("flagged AND clean IS NOT NULL").select("month", "symbol", F.col("clean").alias("at"), F.lit(0).alias("counts"))
+    )
+    month = Window.partitionBy("month")
+    placed = both.withColumns({"before": F.sum("counts").over(month.orderBy("at", "symbol", "counts").rowsBetween(Window.unboundedPreceding, 0)) - F.col("counts"), "size": F.sum("counts").over(month)})
+    moved = placed.where("counts = 0").select("month", "symbol", "before", "size")
+    judged = asked.join(moved, ["month", "symbol"], "left").join(deciles(own, n).select("month", "symbol", "decile"), ["month", "symbol"], "left")
+    rank = F.col("before") - (F.col("score") < F.col("clean")).cast("int")
+    q, r = F.floor(F.col("size") / n), F.col("size") % n
+    tile = F.when(rank < r * (q + 1), F.floor(rank / (q + 1))).otherwise(r + F.floor(F.try_divide(rank - r * (q + 1), q))) + 1
+    changes = ~F.when(F.col("clean").isNull(), F.lit(None)).when(F.col("score").isNull(), F.lit(-1)).otherwise(tile).eqNullSafe(F.col("decile"))
+    return judged.select("month", "symbol", (F.coalesce("flagged", F.lit(False)) & changes).alias("flagged"))
+
+
 def flagged_exposure(weights: DataFrame, flags: DataFrame) -> DataFrame:
     """The share of absolute weight (date, symbol, weight) on flagged cells (date, symbol, flagged)."""
     held = weights.join(flags, ["date", "symbol"], "left")

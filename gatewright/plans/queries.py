@@ -459,8 +459,9 @@ def integrity_rules(spark, sf_dir):
 
 @query
 def isolation_scores(spark, sf_dir):
-    cells = monthly(spark, sf_dir).select("symbol", "month", "ret", "volume", "px")
-    return gates.isolation_forest(cells, ["ret", "volume", "px"], ["symbol", "month"])
+    """The tables have no shares outstanding: the quantity of the month stands in for them."""
+    cells = monthly(spark, sf_dir).select("symbol", "month", "ret", "volume", "px", F.col("volume").alias("shares"))
+    return gates.isolation_forest(gates.isolation_features(cells), ["ret", "volume", "move", "px", "share_change"], ["symbol", "month"])
 
 
 @query
