@@ -2,10 +2,11 @@
 
 Each task reads its documents, encodes them and packs as it goes, so nothing is shuffled and
 memory is bounded by a buffer. Whole windows of the longest context leave at once. What is left
-of a document is routed to the smallest tier (a power of two) that holds it. A tier's pieces
-open its windows, longest tier first; gaps are filled with the longest pieces of shorter tiers
-that fit, and at last with the head of a cut piece. Windows are then dealt to step groups of
-equal token count so that attention work (the sum of squared lengths) is even.
+of a document waits in one pool. The longest piece opens a window of its tier (a power of two),
+at the end of a task one of the longest context; gaps are filled with the longest pieces that
+fit, and at last with the head of a cut piece. So most windows are of the longest context. Windows
+are then dealt to step groups of equal token count so that attention work (the sum of squared
+lengths) is even.
 """
 
 from __future__ import annotations
