@@ -1,12 +1,17 @@
 """Byte-level BPE by DuckDB recursion in each partition.
 
-A text is split into words by the pattern; a word that is a token is done. The others, each
-distinct one once, become rows (word, position, token). A recursive query joins neighbours to
-the merge table and contracts the leftmost pair of least rank in each word, until no word has a
-pair left. An ordered aggregation turns ids back into bytes. A worker remembers words, so a
-frequent word costs one look-up. A step of the recursion rewrites the whole word, so words of
-over LONGEST bytes, where that would take quadratic time, contract the same pairs in the same
-order from a heap.
+A text is split into words by the pattern; a word that is a token is done, as in the library. The
+others, each distinct one once, become rows (word, position, token, and the rank of the pair with
+the next token by the merge table). A recursive query contracts the leftmost pair of least rank in
+each word, and looks up the two pairs that are new, until no word has a pair left. A recursion
+keeps what each of its steps made, so it runs in strides of STEPS steps, of which only the last
+state goes on, over words of at most some BYTES together: memory is bounded for words of any length.
+
+A worker remembers the ids of words, so a frequent word costs one look-up. Texts are decoded from
+their ids alone, by an ordered aggregation over the bytes of the tokens.
+
+A step visits each token of a word once, so a word of n bytes costs time in proportion to n * n.
+Words of over LONGEST bytes contract the same pairs in the same order from a heap.
 """
 
 from __future__ import annotations
@@ -26,33 +31,49 @@ from pyspark.sql import functions as F
 from gatewright.llm.common import rows
 from gatewright.session import in_arrow
 
-LONGEST = 256
-#: Words a worker remembers, and words a recursive query takes at most.
-REMEMBERED, AT_ONCE = 800_000, 50_000
+LONGEST = 4096
+#: Steps of one recursive query, bytes of words and number of tokens to decode that one takes.
+STEPS, BYTES, TOKENS = 16, 250_000, 1_000_000
+#: Words, and ids and characters of words, that a worker remembers.
+REMEMBERED, HELD = 800_000, 16_000_000
 #: White space as tiktoken's regex library has it; Python's \s holds U+001C to U+001F as well.
 SPACES = r"\t-\r \x85\xa0  -     　"
 
-CONTRACT = """
-WITH RECURSIVE t(w, pos, tok, after, next, step) AS (
-  SELECT w, pos, tok, lead(tok) OVER o, lead(pos) OVER o, 0 FROM words WINDOW o AS (PARTITION BY w ORDER BY pos)
+PAIRED = """
+CREATE OR REPLACE TABLE state AS
+SELECT s.*, m.rank
+FROM (SELECT w, pos, tok, lead(pos) OVER o AS next, lead(tok) OVER o AS after FROM words WINDOW o AS (PARTITION BY w ORDER BY pos)) s
+LEFT JOIN merges m ON m.a = s.tok AND m.b = s.after
+"""
+
+CONTRACTED = f"""
+CREATE OR REPLACE TABLE state AS
+WITH RECURSIVE t(w, pos, tok, next, after, rank, step) AS (
+  SELECT w, pos, tok, next, after, rank, 0 FROM state
   UNION ALL
   (
-    WITH best AS (
-      SELECT w, min(rank::BIGINT * 1024 + pos) AS best, arg_min(next, rank::BIGINT * 1024 + pos) AS gone
-      FROM t JOIN merges m ON m.a = t.tok AND m.b = t.after GROUP BY w
-    ), found AS (
-      SELECT b.w AS own, (best % 1024)::INTEGER AS place, (best // 1024)::INTEGER AS rank, gone, r.after AS new_after, r.next AS new_next
-      FROM best b JOIN t r ON r.w = b.w AND r.pos = gone
+    WITH best AS MATERIALIZED (
+      SELECT w, (min(k) % 65536)::INTEGER AS place, (min(k) // 65536)::INTEGER AS made, arg_min(next, k) AS gone
+      FROM (SELECT w, next, rank::BIGINT * 65536 + pos AS k FROM t WHERE rank IS NOT NULL AND step < {STEPS}) GROUP BY w
+    ), met AS MATERIALIZED (
+      SELECT b.w, place, made, gone, max(r.next) FILTER (r.pos = gone) AS beyond, max(r.after) FILTER (r.pos = gone) AS follows,
+             max(r.tok) FILTER (r.next = place) AS leads
+      FROM best b JOIN t r ON r.w = b.w WHERE r.pos = gone OR r.next = place GROUP BY ALL
+    ), found AS MATERIALIZED (
+      SELECT met.*, x.rank AS rank_made, y.rank AS rank_before
+      FROM met LEFT JOIN merges x ON x.a = made AND x.b = follows LEFT JOIN merges y ON y.a = leads AND y.b = made
     )
-    SELECT w, pos, CASE WHEN pos = place THEN rank ELSE tok END,
-           CASE WHEN pos = place THEN new_after WHEN next = place THEN rank ELSE after END,
-           CASE WHEN pos = place THEN new_next ELSE next END, step + 1
-    FROM t JOIN found ON w = own WHERE pos <> gone
+    SELECT t.w, pos, CASE WHEN pos = place THEN made ELSE tok END, CASE WHEN pos = place THEN beyond ELSE next END,
+           CASE WHEN pos = place THEN follows WHEN next = place THEN made ELSE after END,
+           CASE WHEN pos = place THEN rank_made WHEN next = place THEN rank_before ELSE rank END, step + 1
+    FROM t JOIN found f ON t.w = f.w WHERE pos <> gone
   )
 ), last AS (SELECT w, max(step) AS step FROM t GROUP BY w)
-SELECT w, list(tok ORDER BY pos) AS ids, string_agg(hex, '' ORDER BY pos) AS hex
-FROM (SELECT t.w, t.pos, t.tok, v.hex FROM t JOIN last USING (w, step) JOIN vocabulary v ON v.tok = t.tok)
-GROUP BY w ORDER BY w
+SELECT t.* EXCLUDE (step) FROM t JOIN last ON t.w = last.w AND t.step = last.step
+"""
+
+DECODED = """
+SELECT d, string_agg(hex, '' ORDER BY pos) AS hex FROM ids JOIN vocabulary USING (tok) GROUP BY d ORDER BY d
 """
 
 
@@ -98,7 +119,7 @@ class Coder:
                 a, b = get(token[:i]), get(token[i:])
                 if a is not None and b is not None:
                     self.pairs[a, b] = rank
-        self.db = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": "300MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": "400MB", "temp_directory": ""})
         a, b = np.array(list(self.pairs), np.int32).reshape(-1, 2).T
         merges = pa.table({"a": a.copy(), "b": b.copy(), "rank": np.fromiter(self.pairs.values(), np.int32, len(self.pairs))})
         vocabulary = pa.table({"tok": pa.array(list(self.bytes), pa.int32()), "hex": [t.hex() for t in self.bytes.values()]})
@@ -109,26 +130,46 @@ class Coder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}  # word -> its number in the lists
-        self.ids, self.decoded = Lists(np.uint32), Lists(np.uint8)
+        self.ids, self.chars = Lists(np.uint32), 0
 
-    def _remember(self, words: list[str], ids: np.ndarray, n_ids: np.ndarray, decoded: bytes, n_bytes: np.ndarray) -> None:
+    def _remember(self, words: list[str], ids: np.ndarray, n_ids: np.ndarray) -> None:
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
         self.ids.append(ids, n_ids)
-        self.decoded.append(np.frombuffer(decoded, np.uint8), n_bytes)
+        self.chars += sum(map(len, words))
 
     def _contract(self, words: list[str]) -> None:
-        """Ids and decoded bytes of distinct words, in one recursive query."""
+        """Ids of distinct words by recursive queries."""
         raw = [w.encode() for w in words]
         sizes = np.array([len(w) for w in raw])
         which = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         pos = (np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
         tokens = pa.table({"w": which, "pos": pos, "tok": self.single[np.frombuffer(b"".join(raw), np.uint8)]})
         self.db.register("words", tokens)
-        got = self.db.sql(CONTRACT).to_arrow_table().combine_chunks()
+        self.db.execute(PAIRED)
         self.db.unregister("words")
-        ids, hexes = got["ids"].combine_chunks(), got["hex"].to_pylist()
-        n_bytes = np.fromiter(map(len, hexes), np.int64, len(hexes)) // 2
-        self._remember(words, ids.flatten().to_numpy(), ids.value_lengths().to_numpy(), bytes.fromhex("".join(hexes)), n_bytes)
+        while self.db.execute("SELECT count(rank) FROM state").fetchall()[0][0]:
+            self.db.execute(CONTRACTED)
+        ids = self.db.sql("SELECT list(tok ORDER BY pos) AS ids FROM state GROUP BY w ORDER BY w").to_arrow_table().combine_chunks()["ids"].combine_chunks()
+        self._remember(words, ids.flatten().to_numpy(), ids.value_lengths().to_numpy())
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The bytes of lists of ids that lie one behind the other and end at `ends`."""
+        sizes = np.diff(ends, prepend=0)
+        out: list[bytes] = []
+        cut = [0, *(np.flatnonzero(np.diff(ends // TOKENS)) + 1).tolist(), len(ends)]
+        for x, y in zip(cut, cut[1:]):
+            if y == x:
+                continue
+            low, high = int(ends[x] - sizes[x]), int(ends[y - 1])
+            own = np.repeat(np.arange(y - x, dtype=np.int32), sizes[x:y])
+            self.db.register("ids", pa.table({"d": own, "pos": np.arange(high - low, dtype=np.int32), "tok": ids[low:high].astype(np.int32)}))
+            got = self.db.sql(DECODED).to_arrow_table()
+            self.db.unregister("ids")
+            part = [b""] * (y - x)
+            for d, text in zip(got["d"].to_pylist(), got["hex"].to_pylist()):
+                part[d] = bytes.fromhex(text)
+            out += part
+        return out
 
     def _contract_long(self, text: str) -> None:
         """The same contractions, leftmost pair of least rank first, from a heap."""
@@ -152,7 +193,7 @@ class Coder:
             if (h := before[i]) >= 0 and (r := get((tok[h], rank))) is not None:
                 heappush(heap, (r, h))
         ids = [t for t in tok if t is not None]
-        self._remember([text], np.array(ids, np.uint32), np.array([len(ids)]), b"".join(map(self.bytes.__getitem__, ids)), np.array([len(word)]))
+        self._remember([text], np.array(ids, np.uint32), np.array([len(ids)]))
 
     def learn(self, words: set[str]) -> None:
         tokens: list[str] = []
@@ -164,30 +205,25 @@ class Coder:
                 self._contract_long(word)
             else:
                 new.append(word)
-        raw = [w.encode() for w in tokens]
-        self._remember(tokens, np.array([self.ranks[r] for r in raw], np.uint32), np.ones(len(raw), np.int64), b"".join(raw), np.array([len(r) for r in raw], np.int64))
-        for i in range(0, len(new), AT_ONCE):
-            self._contract(new[i : i + AT_ONCE])
-
-    def code(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids and decoded bytes of each text."""
-        if len(self.known) > REMEMBERED:
+        self._remember(tokens, np.array([self.ranks[w.encode()] for w in tokens], np.uint32), np.ones(len(tokens), np.int64))
+        end = np.cumsum([len(w.encode()) for w in new]) // BYTES if new else np.empty(0, np.int64)
+        cut = [0, *(np.flatnonzero(np.diff(end)) + 1).tolist(), len(new)]
+        for i, j in zip(cut, cut[1:]):
+            if j > i:
+                self._contract(new[i:j])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one behind the other, and where each text's end."""
+        if len(self.known) > REMEMBERED or self.chars + self.ids.used > HELD:
             self.forget()
         split = [self.pattern.findall(t) for t in texts]
         new = set().union(*split) - self.known.keys()
         if new:
             self.learn(new)
-        return [both for i in range(0, len(split), 64) for both in self._joined(split[i : i + 64])]
-
-    def _joined(self, split: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
         last = np.cumsum([0, *map(len, split)])
         number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, last[-1])
-        out = []
-        for lists in (self.ids, self.decoded):
-            flat, ends = lists.take(number)
-            at = np.concatenate([[0], ends])[last].tolist()
-            out.append([flat[i:j] for i, j in zip(at, at[1:])])
-        return list(zip(*out))
+        flat, ends = self.ids.take(number)
+        return flat, np.concatenate([[0], ends])[last[1:]]
 
 
 @lru_cache(2)
@@ -195,21 +231,33 @@ def coder(path: str, pattern: str) -> Coder:
     return Coder(path, pattern)
 
 
+#: Characters of text coded at a time.
+CHARACTERS = 2_000_000
+
+
 def _encode(batches, path: str, pattern: str, with_ids: bool):
     own = coder(path, pattern)
     for batch in batches:
-        for part, texts in rows(batch, 1024):
-            got = own.code([t.decode() for t in texts])
-            arrays = [
-                part.column(0), pa.array([len(i) for i, _ in got], pa.int64()),
-                pa.array([hashlib.sha256(i.astype("<u4", copy=False)).hexdigest() for i, _ in got]), pa.array([hashlib.sha256(d).hexdigest() for _, d in got]),
-            ]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                flat = np.concatenate([i for i, _ in got]).astype(np.int32)
-                arrays += [pa.ListArray.from_arrays(np.cumsum([0, *(len(i) for i, _ in got)]).astype(np.int32), flat), pa.array([d.tobytes() for _, d in got], pa.binary())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+        for part, raw in rows(batch, 256):
+            texts = [t.decode() for t in raw]
+            of = np.cumsum([len(t) for t in texts]) // CHARACTERS
+            cut = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(texts)]
+            for x, y in zip(cut, cut[1:]):
+                if y == x:
+                    continue
+                ids, ends = own.encode(texts[x:y])
+                decoded = own.decode(ids, ends)
+                sizes = np.diff(ends, prepend=0)
+                told = ids.astype("<u4", copy=False)
+                arrays = [
+                    part.column(0).slice(x, y - x), pa.array(sizes, pa.int64()),
+                    pa.array([hashlib.sha256(told[e - n : e]).hexdigest() for e, n in zip(ends.tolist(), sizes.tolist())]), pa.array([hashlib.sha256(d).hexdigest() for d in decoded]),
+                ]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    arrays += [pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), ids.astype(np.int32)), pa.array(decoded, pa.binary())]
+                    names += ["ids", "decoded"]
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> DataFrame:

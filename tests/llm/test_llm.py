@@ -111,6 +111,25 @@ def test_bpe_equals_the_library_and_returns_the_bytes(spark, rows):
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256, tuple(r.ids), bytes(r.decoded)) for r in got) == want
 
 
+def test_bpe_words_of_all_lengths_and_decoding_from_ids(monkeypatch):
+    """Words about as long as the bounds of a stride and of a recursion; a wrong id decodes to other bytes."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    own = bpe.Coder(path, public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    monkeypatch.setattr(bpe, "BYTES", 3000)
+    monkeypatch.setattr(bpe, "TOKENS", 50)
+    r = random.Random(4)
+    texts = ["".join(r.choice(a) for _ in range(n)) for n in (1, 15, 16, 17, 18, 250, 900) for a in ("etaoinshr", "a", "漢字語文éß", "0123456789", "\U0001f600!?")]
+    texts += ["", "a" * 4096, "b" * 4097, *("".join(r.choice("etaoinshrdlu") for _ in range(250)) for _ in range(100))]
+    ids, ends = own.encode(texts)
+    lists = [ids[i:j].tolist() for i, j in zip([0, *ends], ends)]
+    assert lists == [library.encode_ordinary(t) for t in texts]
+    assert own.decode(ids, ends) == [t.encode() for t in texts]
+    wrong = ids.copy()
+    wrong[0] += 1
+    assert own.decode(wrong, ends)[0] != texts[0].encode() and own.decode(wrong, ends)[1:] == [t.encode() for t in texts[1:]]
+
+
 # 3
 
 
