@@ -50,11 +50,21 @@ def ints(part: pa.RecordBatch, name: str) -> list:
     return part.column(part.schema.get_field_index(name)).to_pylist()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder: a lost executor costs no more than a new read."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors see. Only a session on one machine may go without a setting of it."""
+    home = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if home is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        home = tempfile.mkdtemp()
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        spark.sparkContext.setCheckpointDir(home)
+    return home.rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df, written to the shared checkpoint folder at once: a lost executor costs no more than a new read."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -490,3 +490,23 @@ def test_components_of_long_chains(spark):
 
 def test_extra_columns_survive(spark, rows):
     assert exact_dedup(frame(spark, rows).withColumn("drop", F.lit(1))).select("drop", "row", "fp").distinct().count() == 1
+
+
+def test_repeats_of_known_lengths(spark):
+    """Of planted passages just those of 400 bytes or more go, alone or on either side of a shorter one."""
+    r = random.Random(77)
+    text = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    plants = {n: text(n) for n in (271, 330, 394, 399, 400, 401, 520, 900)}
+    given, want = [], {}
+    for n, plant in plants.items():
+        for _ in range(3):
+            # The byte beside a plant differs from one text to the next, so that no match outgrows it.
+            edge = chr(33 + len(given))
+            want[len(given)] = n if n >= 400 else 0
+            given.append((len(given), text(r.randint(50, 700)) + edge + plant + edge + text(r.randint(50, 700))))
+    short, long = plants[399], plants[400]
+    want[len(given)] = 400
+    given.append((len(given), "A" + short + "B" + long + "C"))
+    found = remove_repeats(frame(spark, given + [(None, plants[900] + f"\n{i}") for i in range(200)])).collect()
+    assert {x.doc_id: x.n_removed for x in found if x.doc_id is not None} == want
+    assert {x.n_removed for x in found if x.doc_id is None} == {901, 902, 903}
