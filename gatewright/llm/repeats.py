@@ -7,14 +7,14 @@ suffixes would tell (which starts have a neighbour with LENGTH bytes in common)
 whole groups of windows by names (hashes) of strings around their trigger, counted over the
 corpus, from coarse to fine:
 
-0. strings of 144 bytes about finer triggers (anchors), of which each string of 255 bytes holds
-   one that depends on its own bytes alone; if such a one in a window is unique, so is the window;
+0. the string common to all windows of half a phrase; if it is unique, so are they;
 1. for SUB windows at a time, the string common to them (inner) and the string that spans them
    (outer): a unique inner string settles them as unique, a repeated outer one as repeated;
 2. the windows that remain, one by one, against each other and against one copy of every outer
    string that was settled as repeated and has an inner string in common with them.
 
-So unique text costs a row an anchor, repeated text one more for each SUB windows, and only the surroundings of edits are looked at byte by byte. Every count combines on the map
+So unique text costs two rows a phrase, repeated text two a phrase and two for each SUB windows,
+and only the surroundings of edits are looked at byte by byte. Every count combines on the map
 side and every join lets Spark split a skewed key: a passage that is everywhere is in no single task.
 
 Counts over the corpus rest on 128 bits; repeats within one text, the look-up of what was counted, and
@@ -72,8 +72,12 @@ class Names:
         return mix(h ^ mix(np.atleast_1d(np.asarray(tag, U)) + U(size << 8)))
 
 
-class Texts:
-    """Texts one behind the other in `data`; places are counted there, and windows of `length` bytes do not leave their text."""
+class Phrases:
+    """Runs of windows of texts that share a trigger: their text, trigger, and least and greatest offset of it in them.
+
+    The texts lie one behind the other in `data`; places are counted there, and windows do not
+    leave their text.
+    """
 
     def __init__(self, texts: list[bytes], length: int):
         self.data, self.length = np.frombuffer(b"".join(texts), np.uint8), length
@@ -81,85 +85,55 @@ class Texts:
         self.ends = np.cumsum(sizes)
         self.begins = self.ends - sizes
         self.salt = mix(np.arange(len(texts), dtype=U) + U(1))
-        # Of an anchor: starts among which its trigger has the least hash, and its bytes before and from the trigger.
-        share = min(length, LENGTH)
-        self.among, self.before, self.after = share * 28 // 100, share * 15 // 100, share * 21 // 100
-        self._names: dict[int, Names] = {}
-
-    def names(self, which: int) -> Names:
-        if which not in self._names:
-            self._names[which] = Names(self.data, which)
-        return self._names[which]
-
-    def _triggers(self, width: int) -> np.ndarray:
-        """For each start, the last place of the least hash among the `width` places from there."""
+        width = length - WINDOW + 1
         parts = []
-        starts = len(self.data) - WINDOW + 1 - width + 1
+        starts = len(self.data) - length + 1
         for i in range(0, max(0, starts), AT_ONCE):
-            h = gear(self.data[i : min(i + AT_ONCE, starts) + width + WINDOW - 2])[WINDOW - 1 :]
+            h = gear(self.data[i : min(i + AT_ONCE, starts) + length - 1])[WINDOW - 1 :]
             place = np.arange(len(h), dtype=U)
             least = sliding_min((h.astype(U) << U(32)) | (U(0xFFFFFFFF) - place), width)
             parts.append((U(0xFFFFFFFF) - (least & U(0xFFFFFFFF))).astype(np.int64) + i)
-        return np.concatenate(parts) if parts else np.empty(0, np.int64)
-
-    def _inside(self, before: int, size: int) -> np.ndarray:
-        """Places with so many bytes of their text before, `size` with those from there on."""
-        spans = [np.arange(b + before, e - size + before + 1) for b, e in zip(self.begins.tolist(), self.ends.tolist()) if e - b >= size]
-        return np.concatenate(spans) if spans else np.empty(0, np.int64)
-
-    def anchors(self) -> tuple[np.ndarray, ...]:
-        """(text, trigger, first, last, name) of each anchor; first and last are the places from which its trigger has the least hash."""
-        inside = self._inside(self.before, self.among + self.before + self.after - 1)
-        trigger = self._triggers(self.among)[inside] if len(inside) else inside
-        text = np.searchsorted(self.ends, inside, "right")
-        first = np.flatnonzero((np.diff(trigger, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
-        last = np.append(first[1:], len(trigger))[: len(first)] - 1
-        name = self.names(0).of(trigger[first] - self.before, self.before + self.after, 7)
-        return text[first], trigger[first], inside[first], inside[last], name
-
-    def likely(self, known: "Known") -> np.ndarray:
-        """Of each place whether a window starts there all of whose anchors are known to repeat."""
-        text, _, first, last, name = self.anchors()
-        good = known.has(self, text, name)
-        start = np.flatnonzero(good & ~np.concatenate([[False], good[:-1] & (text[1:] == text[:-1])])[: len(good)])
-        stop = np.flatnonzero(good & ~np.concatenate([good[1:] & (text[1:] == text[:-1]), [False]])[: len(good)])
-        begin, end = first[start] - self.before, last[stop] - (self.length - self.among - self.after)
-        whole = end > begin
-        return _covered(begin[whole], end[whole], len(self.data))
-
-    def distinct(self, text: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each distinct key of each text first stands, and 1 or, if it stands there more often, 2."""
-        _, first, count = np.unique(keys + self.salt[text], return_index=True, return_counts=True)
-        return first, np.minimum(count, 2)
-
-class Phrases(Texts):
-    """Runs of windows that share a trigger: their text, trigger, and least and greatest offset of it in them."""
-
-    def __init__(self, texts: list[bytes], length: int):
-        super().__init__(texts, length)
-        trigger = self._triggers(length - WINDOW + 1)
-        inside = self._inside(0, length)
+        trigger = np.concatenate(parts) if parts else np.empty(0, np.int64)
+        inside = np.concatenate([np.arange(b, e - length + 1) for b, e in zip(self.begins.tolist(), self.ends.tolist()) if e - b >= length] or [np.empty(0, np.int64)])
         trigger = trigger[inside]
         first = np.flatnonzero(np.diff(trigger, prepend=-1))
         self.trigger = trigger[first]
         self.high = self.trigger - inside[first]  # offset of the trigger in the first window of the run
         self.low = self.trigger - inside[np.append(first[1:], len(trigger))[: len(first)] - 1]
         self.text = np.searchsorted(self.ends, self.trigger, "right")
+        self._names: dict[int, Names] = {}
+
+    def names(self, which: int) -> Names:
+        if which not in self._names:
+            self._names[which] = Names(self.data, which)
+        return self._names[which]
+
+    def halves(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(run, half, name): for each run and half of the offsets that it has, the string common to all windows of that half."""
+        half = (self.length - WINDOW) // 2 // SUB * SUB
+        out = []
+        for k, (a, b) in enumerate(((0, half - 1), (half, self.length - WINDOW))):
+            run = np.flatnonzero((self.low <= b) & (self.high >= a))
+            name = self.names(0).of(self.trigger[run] - a, self.length - (b - a), k)
+            out.append((run, np.full(len(run), k), name))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
     def blocks(self, known: "Known", outers: int = 1) -> tuple[np.ndarray, ...]:
-        """(text, trigger, low, high, inner, outer...) of blocks of SUB offsets with a start that is likely to repeat.
+        """(text, trigger, low, high, inner, outer...) of blocks of SUB offsets in halves whose name is known to repeat.
 
         low and high are the offsets of the run in the block; the outer names are 0 where the outer string leaves the text.
         """
-        first = self.low // SUB
-        count = self.high // SUB - first + 1
-        at = np.repeat(np.arange(len(first)), count)
+        half = (self.length - WINDOW) // 2 // SUB * SUB
+        run, k, name = self.halves()
+        good = known.has(self, self.text[run], name)
+        run, k = run[good], k[good]
+        low = np.maximum(self.low[run], k * half)
+        high = np.minimum(self.high[run], np.where(k == 0, half - 1, self.length))
+        first, count = low // SUB, high // SUB - low // SUB + 1
+        at = np.repeat(np.arange(len(run)), count)
         block = first[at] + np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-        low, high = np.maximum(self.low[at], block * SUB), np.minimum(self.high[at], block * SUB + SUB - 1)
-        so_far = np.concatenate([[0], np.cumsum(self.likely(known))])
-        some = so_far[self.trigger[at] - low + 1] > so_far[self.trigger[at] - high]
-        at, block, low, high = at[some], block[some], low[some], high[some]
-        text, trigger = self.text[at], self.trigger[at]
+        text, trigger = self.text[run][at], self.trigger[run][at]
+        low, high = np.maximum(low[at], block * SUB), np.minimum(high[at], block * SUB + SUB - 1)
         inner = self.names(0).of(trigger - block * SUB, self.length - SUB + 1, 16 + block)
         begin = trigger - (block * SUB + SUB - 1)
         fits = (begin >= self.begins[text]) & (begin + self.length + SUB - 1 <= self.ends[text])
@@ -173,13 +147,10 @@ class Phrases(Texts):
     def windows(self, starts: np.ndarray, outers: int = 2) -> list[np.ndarray]:
         return [self.names(which).of(starts, self.length, 0) for which in range(outers)]
 
-
-def _covered(begin: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
-    """Which of so many places lie in a range."""
-    edge = np.zeros(size + 1, np.int32)
-    np.add.at(edge, begin, 1)
-    np.add.at(edge, end, -1)
-    return np.cumsum(edge[:-1]) > 0
+    def distinct(self, text: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each distinct key of each text first stands, and 1 or, if it stands there more often, 2."""
+        _, first, count = np.unique(keys + self.salt[text], return_index=True, return_counts=True)
+        return first, np.minimum(count, 2)
 
 
 class Known:
@@ -190,7 +161,7 @@ class Known:
         lists = lists.fill_null([]) if lists.null_count else lists
         self.sizes, self.names = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy().view(U)
 
-    def has(self, phrases: Texts, text: np.ndarray, names: np.ndarray) -> np.ndarray:
+    def has(self, phrases: Phrases, text: np.ndarray, names: np.ndarray) -> np.ndarray:
         if not len(self.names):
             return np.zeros(len(names), bool)
         return np.isin(names + phrases.salt[text], self.names + np.repeat(phrases.salt, self.sizes))
@@ -226,23 +197,24 @@ def _longs(*columns: np.ndarray) -> list[pa.Array]:
     return [pa.array(c.view(np.int64) if c.dtype == U else c.astype(np.int64)) for c in columns]
 
 
-def _anchor_rows(batches, length: int):
-    """(rid, h, c): names of anchors, each once a text, with 2 if it is there more often."""
+def _half_rows(batches, length: int):
+    """(rid, h, c): names of halves, each once a text, with 2 if it is there more often."""
     for batch in batches:
         for part, texts in _parts(batch):
-            phrases = Texts(texts, length)
-            text, _, _, _, name = phrases.anchors()
+            phrases = Phrases(texts, length)
+            run, _, name = phrases.halves()
+            text = phrases.text[run]
             first, count = phrases.distinct(text, name)
             rid = np.array(ints(part, "rid"), np.int64)[text[first]]
             yield pa.RecordBatch.from_arrays(_longs(rid, name[first], count), ["rid", "h", "c"])
 
 
 def _block_rows(batches, length: int):
-    """(rid, inner, o1, o2, c) of blocks with a likely start, each once a text."""
+    """(rid, inner, o1, o2, c) of blocks in repeated halves, each once a text."""
     for batch in batches:
         for part, texts in _parts(batch):
             phrases = Phrases(texts, length)
-            text, _, _, _, inner, o1, o2 = phrases.blocks(Known(part, "anchors"), 2)
+            text, _, _, _, inner, o1, o2 = phrases.blocks(Known(part, "halves"), 2)
             first, count = phrases.distinct(text, _block_key(inner, o1))
             rid = np.array(ints(part, "rid"), np.int64)[text[first]]
             yield pa.RecordBatch.from_arrays(_longs(rid, inner[first], o1[first], o2[first], count), ["rid", "inner", "o1", "o2", "c"])
@@ -253,7 +225,7 @@ def _window_rows(batches, length: int):
     for batch in batches:
         for part, texts in _parts(batch):
             phrases = Phrases(texts, length)
-            text, trigger, low, high, inner, o1 = phrases.blocks(Known(part, "anchors"))
+            text, trigger, low, high, inner, o1 = phrases.blocks(Known(part, "halves"))
             key = _block_key(inner, o1)
             for name in ("opened", "spoken"):
                 here = Known(part, name).has(phrases, text, key)
@@ -268,15 +240,19 @@ def _window_rows(batches, length: int):
 def repeated_bytes(texts: list[bytes], length: int, part: pa.RecordBatch) -> list[np.ndarray]:
     """Which bytes of each text are covered by repeated windows."""
     phrases = Phrases(texts, length)
-    text, trigger, low, high, inner, o1 = phrases.blocks(Known(part, "anchors"))
+    text, trigger, low, high, inner, o1 = phrases.blocks(Known(part, "halves"))
     key = _block_key(inner, o1)
     here = Known(part, "settled").has(phrases, text, key)
     starts = _spread(text[here], trigger[here], low[here], high[here])[1]
     here = Known(part, "opened").has(phrases, text, key)
     of, left = _spread(text[here], trigger[here], low[here], high[here])
     left = left[Known(part, "windows").has(phrases, of, phrases.windows(left, 1)[0])]
-    all_starts = np.concatenate([starts, left])
-    covered = _covered(all_starts, all_starts + length, len(phrases.data))
+    edge = np.zeros(len(phrases.data) + 1, np.int32)
+    edge[starts] += 1  # each start is there once
+    edge[left] += 1
+    edge[starts + length] -= 1
+    edge[left + length] -= 1
+    covered = np.cumsum(edge[:-1]) > 0
     return [covered[b:e] for b, e in zip(phrases.begins.tolist(), phrases.ends.tolist())]
 
 
@@ -296,21 +272,16 @@ def _result(texts: list[bytes], masks: list, did: list, with_bytes: bool) -> pa.
     return pa.RecordBatch.from_arrays(arrays + [pa.array(kept, pa.binary())] * with_bytes, [f.split()[0] for f in RESULT.split(", ")] + ["kept"] * with_bytes)
 
 
-def _sorted_out(batches, length: int, with_bytes: bool):
-    """Texts without a likely window are done; of the others the text goes on."""
+def _sorted_out(batches, with_bytes: bool):
+    """Texts without a repeated half are done; of the others the text goes on."""
     for batch in batches:
-        for part, texts in _parts(batch):
-            anchors = part.column(part.schema.get_field_index("anchors"))
-            told = np.flatnonzero(anchors.is_valid().to_numpy(zero_copy_only=False))
-            some = Texts([texts[i] for i in told], length)
-            so_far = np.concatenate([[0], np.cumsum(some.likely(Known(part.take(pa.array(told)), "anchors")))])
-            suspect = np.zeros(len(texts), bool)
-            suspect[told[so_far[some.ends] > so_far[some.begins]]] = True
+        for part, texts in rows(batch):
+            halves = part.column(part.schema.get_field_index("halves"))
+            suspect = halves.is_valid().to_pylist()
             done = _result(texts, [None] * len(texts), ints(part, "did"), with_bytes)
             text = pa.array([t.decode() if s else None for t, s in zip(texts, suspect)], pa.string())
-            kept = pc.if_else(pa.array(suspect), anchors, pa.scalar(None, anchors.type))
             rid = part.column(part.schema.get_field_index("rid"))
-            yield pa.RecordBatch.from_arrays([*done.columns, rid, text, kept], [*done.schema.names, "rid", "text", "anchors"])
+            yield pa.RecordBatch.from_arrays([*done.columns, rid, text, halves], [*done.schema.names, "rid", "text", "halves"])
 
 
 def _final(batches, length: int, with_bytes: bool):
@@ -333,22 +304,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = Tru
     key = F.when(F.col("did") == NULL_ID, F.col("th")).otherwise(F.col("did")).alias("rid")
     _stage_suspects(keyed(docs).select("did", key, "text"), length, with_bytes, stage)
     staged = docs.sparkSession.read.parquet(stage)
-    texts = staged.where("text IS NOT NULL").select("did", "rid", "text", "anchors")
+    texts = staged.where("text IS NOT NULL").select("did", "rid", "text", "halves")
     told = _settle_blocks(texts, length)
     found = _settle_windows(texts, told, length)
     last = texts.join(told.drop("spoken"), "rid", "left").join(found, "rid", "left")
     out = in_arrow(last, lambda it: _final(it, length, with_bytes), RESULT + ", kept binary" * with_bytes)
-    out = out.unionByName(staged.where("text IS NULL").drop("rid", "text", "anchors"))
+    out = out.unionByName(staged.where("text IS NULL").drop("rid", "text", "halves"))
     return out.select(public_id().alias("doc_id"), *[c for c in out.columns if c != "did"])
 
 
 def _stage_suspects(base: DataFrame, length: int, with_bytes: bool, path: str) -> None:
-    """Write every row: done if no window of it is likely to repeat, else with its text and the names of its repeated anchors."""
-    anchors = in_arrow(base, lambda it: _anchor_rows(it, length), "rid long, h long, c long")
-    common = anchors.groupBy("h").agg(F.sum("c").alias("n")).where("n > 1").select("h")
-    repeated = skew_join(anchors.select("rid", "h"), common, ["h"]).groupBy("rid").agg(F.collect_set("h").alias("anchors"))
-    schema = RESULT + ", kept binary" * with_bytes + ", rid long, text string, anchors array<long>"
-    in_arrow(base.join(repeated, "rid", "left"), lambda it: _sorted_out(it, length, with_bytes), schema).write.parquet(path)
+    """Write every row: done if it has no repeated half, else with its text and the names of those."""
+    halves = in_arrow(base, lambda it: _half_rows(it, length), "rid long, h long, c long")
+    common = halves.groupBy("h").agg(F.sum("c").alias("n")).where("n > 1").select("h")
+    suspects = skew_join(halves.select("rid", "h"), common, ["h"]).groupBy("rid").agg(F.collect_set("h").alias("halves"))
+    schema = RESULT + ", kept binary" * with_bytes + ", rid long, text string, halves array<long>"
+    in_arrow(base.join(suspects, "rid", "left"), lambda it: _sorted_out(it, with_bytes), schema).write.parquet(path)
 
 
 def _settle_blocks(texts: DataFrame, length: int) -> DataFrame:
