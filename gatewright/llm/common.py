@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,10 +63,23 @@ def shared_folder(spark: SparkSession) -> str:
     return home.rstrip("/")
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Spark deletes the shuffle files of a query that is planned and run here as soon as its result is written."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df, written to the shared checkpoint folder at once: a lost executor costs no more than a new read."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with shuffles_freed(df.sparkSession):
+        return df.select("*").checkpoint()
 
 
 def stay_only(docs: DataFrame, stay: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.llm.cdc import WINDOW, gear, sliding_min
-from gatewright.llm.common import NULL_ID, durable, ints, keyed, public_id, rows, shared_folder, skew_join
+from gatewright.llm.common import NULL_ID, durable, ints, keyed, public_id, rows, shared_folder, shuffles_freed, skew_join
 from gatewright.llm.phrases import mix
 from gatewright.session import in_arrow
 
@@ -302,7 +302,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_bytes: bool = Tru
     stage = f"{shared_folder(docs.sparkSession)}/repeats-{uuid.uuid4().hex}"
     # Rows without an id go by their text, so that they are not one key. What is told of a key holds wherever its text stands.
     key = F.when(F.col("did") == NULL_ID, F.col("th")).otherwise(F.col("did")).alias("rid")
-    _stage_suspects(keyed(docs).select("did", key, "text"), length, with_bytes, stage)
+    with shuffles_freed(docs.sparkSession):
+        _stage_suspects(keyed(docs).select("did", key, "text"), length, with_bytes, stage)
     staged = docs.sparkSession.read.parquet(stage)
     texts = staged.where("text IS NOT NULL").select("did", "rid", "text", "halves")
     told = _settle_blocks(texts, length)
