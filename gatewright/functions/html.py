@@ -96,7 +96,7 @@ class _Visible(HTMLParser):
 def visible_text(html: str) -> str:
     """The text a browser would paint; ValueError for a blank page, never an empty stand-in."""
     if not html or not html.strip():
-        raise ValueError("empty document")
+        raise ValueError("nothing to parse: the page is blank")
     parser = _Visible()
     parser.feed(DECLARATION.sub("", html, count=1))
     parser.close()

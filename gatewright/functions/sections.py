@@ -46,7 +46,7 @@ def _of(blocks: Column, label: str) -> Column:
 def extract(df: DataFrame, text: str, name: str, out: str) -> DataFrame:
     """df with `out`: struct<text, failed, reason> of one section of the text column (null text: no heading)."""
     if name not in BOUNDS:
-        raise KeyError(f"unknown section {name!r}; known: {sorted(BOUNDS)}")
+        raise KeyError(f"no bounds for section {name!r}, only for {', '.join(sorted(BOUNDS))}")
     label, followers = BOUNDS[name]
     body = F.coalesce(F.col(text), F.lit(""))
     starts = F.transform(_of(F.col("_b"), label), lambda b: b["off"] + F.length(F.regexp_extract(b["t"], _heading(label), 0)))

@@ -21,8 +21,12 @@ def exact_median(rows: DataFrame, by: list[str], value: str, width: float) -> Da
     No task holds a group. Equal values are counted, counts are summed over buckets of `width`,
     and only the buckets that hold the two middle ranks are put in order.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    counts = counts.withColumn("_b", F.floor(F.col(value) / width))
+    return median_of_counts(rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c")), by, value, width)
+
+
+def median_of_counts(counts: DataFrame, by: list[str], value: str, width: float) -> DataFrame:
+    """exact_median of rows that are counted already: counts (by..., value, _c), each value once in its group."""
+    counts = counts.where(F.col(value).isNotNull()).withColumn("_b", F.floor(F.col(value) / width))
     group, ordered = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_b")
     sums = counts.groupBy(*by, "_b").agg(F.sum("_c").alias("_s"))
     laid = sums.select(*by, "_b", "_s", (F.sum("_s").over(ordered) - F.col("_s")).alias("_before"), F.sum("_s").over(group).alias("_n"))
@@ -43,16 +47,15 @@ def audit(aligned: DataFrame, by: tuple[str, ...] = (), embargo_days: float = DE
     keys = list(by) or ["_all"]
     rows = gap_rows(aligned, **columns)
     rows = rows if by else rows.withColumn("_all", F.lit(0))
-    late = F.count_if(F.col("gap") < embargo_days)
-    counts = (rows.groupBy(*keys) if by else rows.groupBy()).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("gap") < 0).alias("n_impossible"),
-        late.alias("n_lookahead"),
-        F.try_divide(late * 100.0, F.count(F.lit(1))).alias("pct_lookahead"),
-        F.min("gap").alias("min_gap_days"),
+    # Rows are aligned and counted by gap once; that exchange serves the counts and the median.
+    counted = rows.groupBy(*keys, "gap").agg(F.count(F.lit(1)).alias("_c"))
+    of = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("_c"))), F.lit(0))
+    n, late = F.coalesce(F.sum("_c"), F.lit(0)), of(F.col("gap") < embargo_days)
+    counts = (counted.groupBy(*keys) if by else counted.groupBy()).agg(
+        n.alias("n"), of(F.col("gap") < 0).alias("n_impossible"), late.alias("n_lookahead"), F.try_divide(late * 100.0, n).alias("pct_lookahead"), F.min("gap").alias("min_gap_days")
     )
     counts = counts if by else counts.withColumn("_all", F.lit(0))
-    medians = exact_median(rows.select(*keys, "gap"), keys, "gap", 1 / 24).withColumnRenamed("median", "median_gap_days")
+    medians = median_of_counts(counted, keys, "gap", 1 / 24).withColumnRenamed("median", "median_gap_days")
     return counts.join(medians, keys, "left").select(*by, "n", "n_impossible", "n_lookahead", "pct_lookahead", "median_gap_days", "min_gap_days")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewright import schemas
-from gatewright.functions.html import html_to_text
+from gatewright.functions.html import PARSER_VERSION
 from gatewright.operators import panel
 from gatewright.operators.audit import twin_audit
 from gatewright.operators.documents import first_per
@@ -101,20 +101,29 @@ def _build(spark: SparkSession, args, get: Callable[[str], bytes], record) -> No
     resolved, _ = src.resolve(top.select(F.col("symbol").alias("ticker")), known)
     index, errors = fetch_index(spark, resolved, get, args.start, args.end, tuple(x.strip() for x in args.forms.split(",")))
     src.write_index(index, f"{out}/index")
-    record.output(f"{out}/index")
+    record["outputs"].append(f"{out}/index")
     index = spark.read.parquet(f"{out}/index")
     if not args.no_text:
         try:
             store = read_parquet(spark, f"{out}/pages", schemas.PAGES)
         except src.SourceMissing:
             store = spark.createDataFrame([], schemas.PAGES)
-        errors |= fetch_pages(spark, index, store, get, f"{out}/pages")
-        texts = html_to_text(read_parquet(spark, f"{out}/pages", schemas.PAGES), "accession", "html")
-        texts.write.mode("overwrite").parquet(f"{out}/texts")
-        record.output(f"{out}/texts")
+        missed = fetch_pages(spark, index, store, get, f"{out}/pages")
+        try:
+            held = read_parquet(spark, f"{out}/texts", schemas.STORED_TEXTS)
+        except src.SourceMissing:
+            held = spark.createDataFrame([], schemas.STORED_TEXTS)
+        # Pages whose text this version of the parser has written are not parsed again.
+        src.add_texts(read_parquet(spark, f"{out}/pages", schemas.PAGES), held, f"{out}/texts")
+        record["outputs"].append(f"{out}/texts")
+        errors |= missed
+        stored = spark.read.schema(schemas.STORED_TEXTS).parquet(f"{out}/texts").where(F.col("parser_version") == PARSER_VERSION).select("accession").distinct()
+        outcomes = index.select("ticker", "accession").join(stored.withColumn("there", F.lit(True)), "accession", "left")
+        told = src.build_report(outcomes.select("ticker", "accession", F.when(F.col("there").isNull(), "no text").alias("error"))).first()
+        print(", ".join(f"{k} {v}" for k, v in told.asDict().items()))
     for name, why in sorted(errors.items()):
         print(f"failed: {name}: {why}")
-    print(index.agg(F.count(F.lit(1)), F.count_distinct("accession"), F.count_distinct("ticker")).first())
+    print(", ".join(f"{k} {v}" for k, v in src.index_summary(index).first().asDict().items()))
 
 
 def parser() -> argparse.ArgumentParser:
@@ -145,7 +154,7 @@ def main(argv: list[str] | None = None, get: Callable[[str], bytes] | None = Non
             text = pit_report(audit_index(read_parquet(spark, f"{args.out}/index", schemas.FILINGS), read_parquet(spark, f"{args.lake}/prices.parquet", schemas.PANEL)))
             target = Path(args.out) / "pit_check.md"
             target.write_text(text)
-            record.output(target)
+            record["outputs"].append(str(target))
             print(text)
 
 

@@ -6,7 +6,6 @@ import math
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +29,7 @@ def pit_gate(panel, signal, context: Context, embargo_days: float = 1) -> Step:
     share = 0.0 if r.pct_lookahead is None else r.pct_lookahead
     days = lambda x: "none" if x is None else f"{x:.1f} d"
     detail = f"{r.n_lookahead} of {r.n} rows within the embargo ({share:.1f} %), {r.n_impossible} before publication; gaps: median {days(r.median_gap_days)}, least {days(r.min_gap_days)}"
-    return Step("pit", None, r.n_lookahead == 0, detail)
+    return Step("pit", r.n_lookahead == 0, detail)
 
 
 # Integrity.
@@ -183,17 +182,30 @@ def sector_neutral(scores: DataFrame) -> DataFrame:
 def neutralised(scores: DataFrame, exposures: list[str]) -> DataFrame:
     """scores (month, symbol, score, exposures...) with the residual of a least-squares fit on the exposures, month by month.
 
-    A month is one group: a cross-section of symbols, whatever the length of history.
+    Means and covariances of a month are aggregates; only they, one row a month, are solved in
+    Python. Exposures that depend on each other share their weight, as by the pseudo-inverse.
     """
-    kinds = ", ".join(f"{c} {t}" for c, t in scores.select("month", "symbol").dtypes)
-
-    def residual(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.column_stack([np.ones(len(pdf)), *(pdf[e].to_numpy(float) for e in exposures)])
-        y = pdf["score"].to_numpy(float)
-        return pdf[["month", "symbol"]].assign(score=y - x @ np.linalg.lstsq(x, y, rcond=None)[0])
+    k = range(len(exposures))
+    x = [F.col(e).cast("double").alias(e) for e in exposures]
+    clean = scores.dropna(subset=["score", *exposures]).select("month", "symbol", F.col("score").cast("double").alias("score"), *x)
+    pairs = [(i, j) for i in k for j in k if i <= j]
+    known = clean.groupBy("month").agg(
+        F.avg("score").alias("y"), *[F.avg(e).alias(f"m{i}") for i, e in enumerate(exposures)],
+        *[F.covar_pop(exposures[i], exposures[j]).alias(f"c{i}_{j}") for i, j in pairs], *[F.covar_pop(e, "score").alias(f"y{i}") for i, e in enumerate(exposures)],
+    )
+
+    def solved(batches):
+        for pdf in batches:
+            square = np.zeros((len(pdf), len(k), len(k)))
+            for i, j in pairs:
+                square[:, i, j] = square[:, j, i] = pdf[f"c{i}_{j}"]
+            b = np.einsum("nij,nj->ni", np.linalg.pinv(square, hermitian=True), pdf[[f"y{i}" for i in k]].to_numpy(float).reshape(len(pdf), len(k)))
+            level = pdf["y"] - (b * pdf[[f"m{i}" for i in k]].to_numpy(float).reshape(b.shape)).sum(1)
+            yield pdf[["month"]].assign(level=level, b=list(b))
 
-    clean = scores.dropna(subset=["score", *exposures]).select("month", "symbol", "score", *exposures)
-    return clean.groupBy("month").applyInPandas(residual, f"{kinds}, score double")
+    fits = known.mapInPandas(solved, f"month {scores.schema['month'].dataType.simpleString()}, level double, b array<double>")
+    fitted = sum((F.col("b")[i] * F.col(e) for i, e in enumerate(exposures)), F.col("level"))
+    return clean.join(fits, "month").select("month", "symbol", (F.col("score") - fitted).alias("score"))
 
 
 def hac_regression(series: DataFrame, y: str, xs: list[str], lags: int = 5, date: str = "date") -> dict[str, tuple[float, float, float]]:
@@ -208,7 +220,11 @@ def hac_regression(series: DataFrame, y: str, xs: list[str], lags: int = 5, date
     sums = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(a) * F.col(b)).alias(f"x{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names)], *[F.sum(F.col(a) * F.col("_y")).alias(f"y{i}") for i, a in enumerate(names)]).first()
     if sums["n"] <= k:
         raise Refused(f"{sums['n']} rows cannot fit {k} coefficients")
-    inverse = np.linalg.inv(np.array([[sums[f"x{i}_{j}"] for j in range(k)] for i in range(k)]))
+    products = np.array([[sums[f"x{i}_{j}"] for j in range(k)] for i in range(k)])
+    scale = np.sqrt(np.diag(products))
+    if not scale.all() or np.linalg.cond(products / np.outer(scale, scale)) > 1e12:
+        raise Refused(f"{', '.join(xs)} depend on each other or on the constant")
+    inverse = np.linalg.inv(products)
     beta = inverse @ np.array([sums[f"y{i}"] for i in range(k)])
     fitted = sum((F.lit(float(b)) * F.col(c) for b, c in zip(beta, names)), F.lit(0.0))
     scores = rows.withColumn("_e", F.col("_y") - fitted).select(date, *[(F.col("_e") * F.col(c)).alias(f"u{i}") for i, c in enumerate(names)])
@@ -275,7 +291,7 @@ def dsr_gate(series: DataFrame, column: str, context: Context, level: float = 0.
     m = moments(series, column).first()
     best = expected_best(context.n_trials, context.sharpe_variance / per_year)
     chance = probabilistic_sharpe(m.ratio, best, m.n, m.skew, m.kurtosis)
-    return Step("dsr", m.ratio * math.sqrt(per_year), chance >= level, f"deflated Sharpe {chance:.3f} against the best of {context.n_trials}")
+    return Step("dsr", chance >= level, f"deflated Sharpe {chance:.3f} against the best of {context.n_trials}", m.ratio * math.sqrt(per_year))
 
 
 # Probability of backtest overfitting (Bailey, Borwein, Lopez de Prado, Zhu).

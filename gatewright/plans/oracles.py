@@ -292,6 +292,12 @@ runs AS (SELECT *, ratio - 1 AS ret, sum(moved) OVER (PARTITION BY symbol ORDER
 SELECT symbol, date, round(ret, 6) AS ret, round(stddev_samp(ret) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING), 6) AS trailing_vol,
   coalesce(list_bool_or(list_transform([0.1, 0.2, 0.25, 1 / 3, 0.5, 2.0, 3.0, 4.0, 5.0, 10.0]::DOUBLE[], lambda s: abs(ratio / s - 1) < 0.01)), FALSE) AS split_tick,
   count(*) OVER (PARTITION BY symbol, run) >= 3 AS stale, coalesce(volume = 0 AND ret <> 0, FALSE) AS odd_volume FROM runs""",
+    "neutral_residuals": f"""
+WITH {MONTHLY}, t AS (SELECT month, symbol, ln(score) AS y, ln(volume) AS a, px AS b FROM monthly WHERE score IS NOT NULL AND ret IS NOT NULL),
+s AS (
+  SELECT month, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, covar_pop(a, a) AS caa, covar_pop(a, b) AS cab, covar_pop(b, b) AS cbb, covar_pop(a, y) AS cay, covar_pop(b, y) AS cby FROM t GROUP BY month
+), f AS (SELECT *, (cbb * cay - cab * cby) / (caa * cbb - cab * cab) AS fa, (caa * cby - cab * cay) / (caa * cbb - cab * cab) AS fb FROM s)
+SELECT month, symbol, CASE WHEN n <= 3 THEN 0.0 ELSE round(y - my - fa * (a - ma) - fb * (b - mb), 5) + 0.0 END AS score FROM t JOIN f USING (month)""",
     "tone_rate": f"""
 WITH {COUNTS}, h AS (SELECT doc_id, sum(n)::BIGINT AS n_terms, coalesce(sum(n) FILTER (WHERE term IN ('not', 'the', 'nicht', 'les', 'erla', 'thion')), 0)::BIGINT AS n_hits FROM counts GROUP BY 1)
 SELECT d.doc_id, coalesce(n_terms, 0) AS n_terms, coalesce(n_hits, 0) AS n_hits, round(n_hits / n_terms, 6) AS rate FROM documents d LEFT JOIN h ON h.doc_id = d.doc_id""",

@@ -467,7 +467,8 @@ def isolation_scores(spark, sf_dir):
 @query
 def neutral_residuals(spark, sf_dir):
     m = monthly(spark, sf_dir).where("score IS NOT NULL AND ret IS NOT NULL")
-    return gates.neutralised(m.select("month", "symbol", F.log("score").alias("score"), F.log("volume").alias("size"), "px"), ["size", "px"])
+    out = gates.neutralised(m.select("month", "symbol", F.log("score").alias("score"), F.log("volume").alias("size"), "px"), ["size", "px"])
+    return out.withColumn("score", F.round("score", 5) + 0.0)
 
 
 # Further signals.

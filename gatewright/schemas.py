@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 FILINGS = "cik STRING, ticker STRING, form STRING, accession STRING, period_end DATE, filing_date DATE, acceptance_datetime TIMESTAMP, primary_document STRING"
 TEXTS = "accession STRING, text STRING"
+STORED_TEXTS = TEXTS + ", parser_version INT"
 PAGES = "accession STRING, html STRING"
 ALIGNED = (
     "ticker STRING, accession STRING, prev_accession STRING, period_end DATE, acceptance_datetime TIMESTAMP, signal_date DATE, "

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,8 +45,26 @@ def parse_momentum(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_momentum(spark: SparkSession, path: str) -> DataFrame:
-    """The factor file at path; one without any row is an error."""
-    out = parse_momentum(spark.read.text(path))
+    """The factor file at path, as text or as the first member of a zip; one without any row is an error.
+
+    A zip has one row a trading date, some megabyte in all, and is opened on the driver.
+    """
+    if path.lower().endswith(".zip"):
+        with zipfile.ZipFile(io.BytesIO(spark.read.format("binaryFile").load(path).select("content").first().content)) as z:
+            text = z.read(z.namelist()[0]).decode("latin-1")
+        lines = spark.createDataFrame([(x,) for x in text.splitlines()], "value string")
+    else:
+        lines = spark.read.text(path)
+    out = parse_momentum(lines)
     if out.isEmpty():
         raise ValueError(f"no momentum rows in {path}")
     return out
+
+
+def stored_momentum(spark: SparkSession, source: str, path: str) -> DataFrame:
+    """The factor kept as Parquet at path; if there is none, it is read from source and written there first."""
+    try:
+        return read_parquet(spark, path, "date DATE, mom DOUBLE")
+    except SourceMissing:
+        read_momentum(spark, source).coalesce(1).write.parquet(path)
+        return read_parquet(spark, path, "date DATE, mom DOUBLE")

@@ -49,6 +49,7 @@ def test_build_then_audit(spark, lake, capsys):
     log = []
     corpus.main(["build", *base], service(log))
     out = capsys.readouterr().out
+    assert "n_rows 2, n_documents 2, n_tickers 1, done 1, failed 1" in out
     assert "failed: BB" in out and "failed: ZZ: unresolved" in out and "failed: 0-23-3" in out
     index = spark.read.parquet(str(lake / "out/index"))
     assert sorted(r.accession for r in index.collect()) == ["0-23-1", "0-23-3"]
@@ -56,6 +57,7 @@ def test_build_then_audit(spark, lake, capsys):
     log.clear()
     corpus.main(["build", *base], service(log))
     assert not any(u.endswith("a.htm") for u in log)  # pages are fetched once
+    assert spark.read.parquet(str(lake / "out/texts")).count() == 1  # and parsed once
     corpus.main(["audit", *base])
     table = (lake / "out/pit_check.md").read_text().splitlines()
     assert table[2].startswith("| acceptance | 2 | 0 | 0 | 0 |") and table[3].startswith("| period_end | 2 | 2 | 2 | 100 |")

@@ -97,3 +97,17 @@ def test_factors_and_former_tickers(spark):
     held = spark.createDataFrame([("META", "1", date(2022, 6, 9), None), ("META", "2", date(2020, 1, 1), date(2022, 6, 8))], "ticker string, cik string, valid_from date, valid_to date")
     asked = spark.createDataFrame([("META", date(2021, 1, 1)), ("META", D[0]), ("ZZZ", D[0])], "ticker string, date date")
     assert {(r.ticker, r.date): r.cik for r in panel.former_tickers(asked, held).collect()} == {("META", date(2021, 1, 1)): "2", ("META", D[0]): "1", ("ZZZ", D[0]): None}
+
+
+def test_momentum_from_a_zip_is_kept_as_parquet(spark, tmp_path):
+    import zipfile
+
+    from gatewright.sources.market import read_momentum, stored_momentum
+
+    source, kept = str(tmp_path / "mom.zip"), str(tmp_path / "mom.parquet")
+    with zipfile.ZipFile(source, "w") as z:
+        z.writestr("mom.csv", "Caf\xe9\n,Mom\n20200102,  1.50\n20200103,-99.99\n2020,3\n".encode("latin-1"))
+    rows = sorted((str(r.date), r.mom) for r in read_momentum(spark, source).collect())
+    assert rows == [("2020-01-02", 0.015), ("2020-01-03", None)]
+    assert sorted((str(r.date), r.mom) for r in stored_momentum(spark, source, kept).collect()) == rows
+    assert sorted((str(r.date), r.mom) for r in stored_momentum(spark, "gone", kept).collect()) == rows

@@ -107,7 +107,7 @@ def test_ledger_as_a_table(spark, ledger):
 
 
 def passing(sharpes):
-    return {g: (lambda panel, signal, context, g=g: Step(g, sharpes.get(g), True, "fine")) for g in GATE_ORDER}
+    return {g: (lambda panel, signal, context, g=g: Step(g, True, "fine", sharpes.get(g))) for g in GATE_ORDER}
 
 
 def test_a_missing_gate_is_fatal_and_the_trial_counts(ledger):
@@ -129,10 +129,10 @@ def test_gauntlet_passes_in_order(spark, ledger):
 
 
 def test_gauntlet_stops_where_it_fails(ledger):
-    early = passing({"raw": 1.0}) | {"pit": lambda *a: Step("pit", None, False, "late")}
+    early = passing({"raw": 1.0}) | {"pit": lambda *a: Step("pit", False, "late")}
     v = run_gauntlet("s", trial(), None, None, early, ledger)
     assert (v.died_at, len(v.steps), v.headline_sharpe) == ("pit", 1, None) and "DIED" in v.waterfall() and "killed at pit" in v.waterfall()
-    late = passing({"raw": 1.0}) | {"costs": lambda *a: Step("costs", 0.2, False, "dear")}
+    late = passing({"raw": 1.0}) | {"costs": lambda *a: Step("costs", False, "dear", 0.2)}
     v = run_gauntlet("s", trial(), None, None, late, ledger)
     assert (v.died_at, v.surviving_sharpe, v.n_trials) == ("costs", 1.0, 2)
     assert not Verdict("s", "f", 0).survives
@@ -234,8 +234,8 @@ def test_integrity(spark):
 def test_run_log(spark, tmp_path):
     with runlog.run("good", tmp_path, top=3) as r:
         print("hello")
-        r.output("x.md")
-        r.note("fine")
+        r["outputs"].append("x.md")
+        r["notes"].append("fine")
     meta = json.loads((r.folder / "meta.json").read_text())
     assert meta["status"] == "ok" and meta["params"] == {"top": 3} and meta["outputs"] == ["x.md"] and (r.folder / "stdout.log").read_text() == "hello\n"
     with pytest.raises(KeyError), runlog.run("bad", tmp_path) as r:
