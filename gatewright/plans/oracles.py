@@ -56,7 +56,7 @@ cal AS (
 WEEKLY = """
 weekly AS (
   SELECT l_suppkey::VARCHAR AS symbol, date_trunc('week', l_shipdate)::DATE AS date, avg(l_extendedprice / l_quantity) AS px, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS cents
-  FROM lineitem WHERE l_suppkey % 5 <> 0 OR l_quantity > 40 GROUP BY ALL
+  FROM lineitem GROUP BY ALL
 )"""
 MEMBERSHIP = """
 membership AS (
@@ -93,26 +93,22 @@ NEUTRAL = f"""{MONTHLY}, {KINDS}, scores AS (
   SELECT month, m.symbol, round(round(score - avg(score) OVER (PARTITION BY month, sector), 4), 4) AS score FROM monthly m JOIN kinds k ON k.symbol = m.symbol WHERE score IS NOT NULL
 ), {SPREAD}"""
 STEPS = """
-numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS ordinal FROM events),
+numbered AS (SELECT *, n % 7 AS ordinal, user_id || '-' || (n // 7) AS trial FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events)),
 steps AS (
-  SELECT user_id, ordinal::INTEGER AS ordinal, (['pit', 'integrity', 'raw', 'orthogonalize', 'costs', 'dsr', 'pbo'])[ordinal + 1] AS gate,
+  SELECT trial, ordinal::INTEGER AS ordinal, (['pit', 'integrity', 'raw', 'orthogonalize', 'costs', 'dsr', 'pbo'])[ordinal + 1] AS gate,
          CASE WHEN ordinal >= 2 THEN value END AS sharpe, event_type <> 'error' AS passed
-  FROM numbered WHERE ordinal < 7
+  FROM numbered
 )"""
 
-#: The hundred entries are chained by recursion; entry 57's content then differs from what was hashed.
 CHAIN = """
-WITH RECURSIVE top AS (
-  SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, event_id::VARCHAR || ':' || event_type AS c FROM (SELECT * FROM events ORDER BY event_id LIMIT 100)
-), chain(i, prev, c, hash) AS (
-  SELECT i, repeat('0', 64), c, sha256(i::VARCHAR || '|' || repeat('0', 64) || '|' || c) FROM top WHERE i = 0
-  UNION ALL
-  SELECT t.i, h.hash, t.c, sha256(t.i::VARCHAR || '|' || h.hash || '|' || t.c) FROM chain h JOIN top t ON t.i = h.i + 1
-), changed AS (SELECT i, prev, CASE WHEN i = 57 THEN 'forged' ELSE c END AS c, hash FROM chain
+WITH e AS (SELECT user_id, event_id, event_id::VARCHAR || ':' || event_type AS c FROM events),
+linked AS (
+  SELECT user_id, event_id, row_number() OVER w - 1 AS i, coalesce(lag(sha256(c)) OVER w, repeat('0', 64)) AS prev, sha256(c) AS hash, CASE WHEN event_id % 499 = 57 THEN 'forged' ELSE c END AS c
+  FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)
 ), checked AS (
-  SELECT i, prev = coalesce(lag(hash) OVER (ORDER BY i), repeat('0', 64)) AND hash = sha256(i::VARCHAR || '|' || prev || '|' || c) AS good FROM changed
+  SELECT user_id, i, prev = coalesce(lag(hash) OVER (PARTITION BY user_id ORDER BY i), repeat('0', 64)) AND hash = sha256(c) AS good FROM linked
 )
-SELECT count(*)::BIGINT AS n, min(i) FILTER (WHERE NOT good)::BIGINT AS broken_at FROM checked"""
+SELECT user_id, count(*)::BIGINT AS n, min(i) FILTER (WHERE NOT good)::BIGINT AS broken_at FROM checked GROUP BY user_id"""
 
 HTML = r"""
 WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<head[ >].*?</head>|<head>.*?</head>', '', 'g'), '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<![^>]*>', '', 'g') AS x FROM pages),
@@ -227,12 +223,12 @@ GROUP BY symbol ORDER BY median(value) DESC, symbol LIMIT 20""",
     "former_tickers": f"""
 WITH {MEMBERSHIP} SELECT c_custkey::VARCHAR AS ticker, DATE '1995-09-01' AS date, 'cik' || symbol AS cik FROM customer
 LEFT JOIN membership ON symbol = c_custkey::VARCHAR AND valid_from <= DATE '1995-09-01' AND (valid_to IS NULL OR valid_to >= DATE '1995-09-01')""",
-    "wide_to_long": "SELECT l_shipdate::DATE AS date, l_returnflag AS symbol, sum(l_quantity) AS value FROM lineitem WHERE l_quantity > 30 GROUP BY ALL",
+    "wide_to_long": "SELECT l_shipdate::DATE AS date, l_returnflag AS symbol, sum(l_quantity) AS value FROM lineitem GROUP BY ALL",
     "momentum_lines": """
 SELECT o_orderdate::DATE AS date, CASE WHEN o_orderkey % 50 <> 7 THEN (o_orderkey % 1000) / 100.0::DOUBLE END AS mom FROM orders WHERE o_orderkey % 10 NOT IN (3, 4)""",
     "sector_map": f"WITH {KINDS} SELECT symbol, sector FROM kinds",
     "factor_join": f"WITH {DAILY} SELECT date, mkt_rf, mom, ret FROM a JOIN b USING (date)",
-    "missing_symbols": "SELECT DISTINCT p_partkey::VARCHAR AS symbol FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-03-01')",
+    "missing_symbols": "SELECT DISTINCT c_custkey::VARCHAR AS symbol FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "ledger_chain_verify": CHAIN,
     "ledger_n_variance": """
 WITH t AS (
@@ -241,11 +237,11 @@ WITH t AS (
 SELECT family, count(*) FILTER (WHERE NOT done)::BIGINT AS n_trials, count(sharpe)::BIGINT AS n_with_sharpe, round(CASE WHEN count(sharpe) >= 2 THEN var_samp(sharpe) END, 6) AS sharpe_variance
 FROM t GROUP BY family""",
     "verdict_fold": f"""
-WITH {STEPS} SELECT user_id, bool_and(passed) AS survives, arg_min(gate, ordinal) FILTER (WHERE NOT passed) AS died_at,
-  max(sharpe) FILTER (WHERE gate = 'raw') AS headline_sharpe, arg_max(sharpe, ordinal) FILTER (WHERE passed AND sharpe IS NOT NULL) AS surviving_sharpe FROM steps GROUP BY user_id""",
+WITH {STEPS} SELECT trial, bool_and(passed) AS survives, arg_min(gate, ordinal) FILTER (WHERE NOT passed) AS died_at,
+  max(sharpe) FILTER (WHERE gate = 'raw') AS headline_sharpe, arg_max(sharpe, ordinal) FILTER (WHERE passed AND sharpe IS NOT NULL) AS surviving_sharpe FROM steps GROUP BY trial""",
     "verdict_give_up": f"""
-WITH {STEPS} SELECT user_id, ordinal, round(sharpe - last_value(CASE WHEN passed THEN sharpe END IGNORE NULLS) OVER
-  (PARTITION BY user_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS give_up FROM steps""",
+WITH {STEPS} SELECT trial, ordinal, round(sharpe - last_value(CASE WHEN passed THEN sharpe END IGNORE NULLS) OVER
+  (PARTITION BY trial ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS give_up FROM steps""",
     "raw_deciles": f"WITH {RAW} SELECT month, round(ew, 6) AS ew, round(vw, 6) AS vw FROM spread",
     "raw_sharpe": f"WITH {RAW} SELECT round(avg(vw) / stddev_samp(vw) * sqrt(12), 6) AS sharpe FROM spread",
     "sector_neutral": f"WITH {NEUTRAL} SELECT month, round(ew, 5) AS ew, round(vw, 5) AS vw FROM spread",
