@@ -55,9 +55,8 @@ def expanding_idf(counts: DataFrame, years: DataFrame, key: str, min_docs: int =
     every = years.select("year").distinct().join(base, "year", "left")
     before = Window.orderBy("year").rowsBetween(Window.unboundedPreceding, -1)  # one row a year
     sizes = every.select("year", F.sum(F.coalesce("c", F.lit(0))).over(before).alias("n_docs")).where(F.col("n_docs") >= min_docs)
-    seen = years.where("fits").join(counts.select(key, "term"), key).groupBy("term", "year").agg(F.count(F.lit(1)).alias("df"))
-    asked = years.join(counts.select(key, "term"), key).select("term", "year").distinct().withColumn("df", F.lit(0).cast("long"))
-    by_year = seen.unionByName(asked).groupBy("term", "year").agg(F.sum("df").alias("df"))
+    # n is read so that this is the exchange of counts which the pairs use as well.
+    by_year = years.join(counts, key).groupBy("term", "year").agg(F.count_if(F.col("fits") & (F.col("n") > 0)).alias("df"))
     earlier = Window.partitionBy("term").orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
     known = by_year.select("term", "year", F.sum("df").over(earlier).alias("df")).where(F.col("df") >= min_df)
     return known.join(sizes, "year").select("year", "term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
