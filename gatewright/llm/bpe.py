@@ -33,7 +33,7 @@ from gatewright.session import in_arrow
 
 LONGEST = 4096
 #: Steps of one recursive query, bytes of words and number of tokens to decode that one takes.
-STEPS, BYTES, TOKENS = 16, 250_000, 1_000_000
+STEPS, BYTES, TOKENS = 32, 250_000, 1_000_000
 #: Words, and ids and characters of words, that a worker remembers.
 REMEMBERED, HELD = 800_000, 16_000_000
 #: White space as tiktoken's regex library has it; Python's \s holds U+001C to U+001F as well.
@@ -232,13 +232,13 @@ def coder(path: str, pattern: str) -> Coder:
 
 
 #: Characters of text coded at a time.
-CHARACTERS = 2_000_000
+CHARACTERS = 4_000_000
 
 
 def _encode(batches, path: str, pattern: str, with_ids: bool):
     own = coder(path, pattern)
     for batch in batches:
-        for part, raw in rows(batch, 256):
+        for part, raw in rows(batch, 1024):
             texts = [t.decode() for t in raw]
             of = np.cumsum([len(t) for t in texts]) // CHARACTERS
             cut = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(texts)]
