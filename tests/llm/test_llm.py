@@ -392,6 +392,72 @@ def test_phrases_do_not_depend_on_neighbours_and_keep_their_inside():
     assert phrases.likeness(*phrases.sketches([x, texts[4]])) < 0.1 and phrases.likeness(*phrases.sketches([b"", b""])) == 1.0 and phrases.likeness(*phrases.sketches([b"", b"a"])) == 0.0
 
 
+M = 2**64 - 1
+
+
+def plain_mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & M
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & M
+    return x ^ x >> 31
+
+
+def plain_toss(a, b):
+    """Twice the lowest place where a and b differ, and a's bit there."""
+    i = next(i for i in range(64) if (a ^ b) >> i & 1)
+    return 2 * i + (a >> i & 1)
+
+
+def plain_parse(symbols, of_bytes):
+    """One level of one text, symbol by symbol, by the definition: runs, coin tossing, local maxima, names."""
+    runs = []
+    for s in symbols:
+        if runs and runs[-1][0] == s:
+            runs[-1][1] += 1
+        else:
+            runs.append([s, 1])
+    if not runs:
+        return []
+    label = [s for s, _ in runs]
+    for k in range(3 if of_bytes else 4):
+        against = [~label[0] & M if k == 0 and not of_bytes else label[0] ^ 1, *label[:-1]]
+        label = [plain_toss(a, b) for a, b in zip(label, against)]
+    assert all(x < 6 for x in label)
+    names = [plain_mix(s) if of_bytes else s for s, _ in runs]
+    names = [x if n == 1 else plain_mix(x + n * 0xD6E8FEB86659FD93 & M) for x, (_, n) in zip(names, runs)]
+    begin = [0] + [i for i in range(2, len(names) - 1) if label[i - 1] < label[i] > label[i + 1]]
+    power = lambda k: pow(0x9E3779B97F4A7C15, k + 1, M + 1)
+    return [plain_mix(sum(x * power(k) for k, x in enumerate(names[i:j])) + j - i & M) for i, j in zip(begin, [*begin[1:], len(names)])]
+
+
+def test_fingerprints_equal_the_definition():
+    r = random.Random(13)
+    texts = [b"", b"a", b"aa", b"ab", b"aab" * 9, words(r, 60).encode(), words(r, 7).encode(), bytes(r.choices(range(256), k=700)), b"a" * 300 + b"b" * 3, "漢字 é".encode() * 20]
+    for text, got in zip(texts, phrases.sketches(texts)):
+        level, names, keys = 1, plain_parse(list(text), True), set()
+        while names:
+            level, names = level + 1, plain_parse(names, False)
+            keys |= {plain_mix(x + level & M) >> 32 for x in names}
+            if len(names) == 1:
+                break
+        assert got.tolist() == sorted(keys)[:64]
+
+
+def test_fingerprints_of_many_rows_of_one_id(spark):
+    """A null id and one other have most rows; each row is followed by the next by id and hash of the text."""
+    from pyspark.sql import functions as F
+
+    given = [(None, f"without id {i}") for i in range(300)] + [(7, f"seven {i}") for i in range(300)] + [(i, f"own {i}") for i in range(8, 60)] + [(None, "")] * 40
+    docs = frame(spark, given)
+    hashes = {x.text: x.h for x in docs.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(given, key=lambda x: (-(2**63) if x[0] is None else x[0], hashes[x[1]]))
+    want = Counter()
+    for i, (d, t) in enumerate(order):
+        following = order[(i + 1) % len(order)][1]
+        want[d, sha(t[: len(t) - len(t) // 2] + following[: len(t) // 2])] += 1
+    for buckets in (1, 9, 64):
+        assert Counter((x.doc_id, x.edited_sha256) for x in phrases.fingerprint_documents(docs, buckets).collect()) == want
+
+
 def test_parsing_halves_each_level():
     r = random.Random(8)
     s, starts = np.frombuffer(words(r, 2000).encode(), np.uint8), None
