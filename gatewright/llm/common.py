@@ -63,6 +63,12 @@ def shared_folder(spark: SparkSession) -> str:
     return home.rstrip("/")
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library made in a shared file system, and what is in it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @contextmanager
 def shuffles_freed(spark: SparkSession):
     """Spark deletes the shuffle files of a query that is planned and run here as soon as its result is written."""

@@ -12,6 +12,7 @@ lengths) is even.
 from __future__ import annotations
 
 import base64
+import os
 import re
 import zlib
 from bisect import bisect_right, insort
@@ -41,15 +42,15 @@ def _slow(path: str):
 @lru_cache(4)
 def _fast(path: str):
     """The same vocabulary in tiktoken, if the rank file lies beside it: equal ids at a fifth of the time."""
-    try:
-        import public_tokenizers
-        import tiktoken
-
-        with open(re.sub(r"\.json$", ".tiktoken", path), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    except (ImportError, OSError):
+    import public_tokenizers
+    import tiktoken
+
+    beside = re.sub(r"\.json$", ".tiktoken", path)
+    if beside == path or not os.path.exists(beside):
         return None
+    with open(beside, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 @lru_cache(4)

@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -264,6 +266,25 @@ def training_line(r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     return " ".join(tokens), truth
 
 
+#: What train_field() gives, to three places: one row a kind, feature:weight. A test trains again and compares.
+TRAINED = (
+    "0:-3.868 1:2.228 2:-1.736 3:-1.747 4:-1.704 5:0.303 6:-2.324 7:1.546 8:-0.111 9:-2.096 10:-0.743 11:-0.504 12:-1.147 13:-0.474 14:-0.941 15:-1.536 16:2.663 17:2.819 18:-1.636 19:-0.079 20:-0.218 21:-0.312 22:-0.027 23:-0.283 24:-0.261 25:-0.192 26:-0.045 27:-0.29 28:-0.017 29:-0.575 30:-0.151 31:1.65 32:-0.071 33:-0.054 34:-0.06 35:-0.158 36:-1.371 37:-0.667 38:2.956",
+    "0:-3.521 1:1.934 2:-1.623 3:-1.618 4:-1.52 5:-1.31 6:-1.117 7:-0.999 8:-0.055 9:-2.292 10:0.513 11:0.076 12:-0.529 13:0.898 14:0.328 15:-0.943 16:-0.217 17:-0.017 18:-0.968 19:-0.221 20:-0.378 21:-0.646 22:-0.089 23:-0.54 24:-0.525 25:1.677 26:3.138 27:3.117 28:-0.044 29:-0.876 30:-0.089 31:-0.046 32:1.723 33:-0.1 34:-0.061 35:-0.24 36:-1.06 37:-0.218 38:-0.084",
+    "0:-4.516 1:0.268 2:-1.219 3:-1.531 4:-0.357 5:-0.824 6:-0.653 7:-0.496 8:-0.015 9:-1.857 10:-0.867 11:-0.606 12:0.663 13:-0.271 14:-0.667 15:-0.457 16:-0.109 17:-0.013 18:0.679 19:-0.011 20:-0.027 21:1.536 22:2.222 23:-3.019 24:1.711 25:1.272 26:-0.105 27:-0.053 28:-0.014 29:-0.877 30:-0.059 31:-0.018 32:-0.077 33:1.075 34:-0.038 35:-0.043 36:-0.876 37:-0.122 38:-0.017",
+    "0:-4.381 1:-1.027 2:-1.667 3:0.207 4:-1.454 5:-1.093 6:-0.69 7:-0.537 8:-0.012 9:-2.513 10:1.497 11:-1.026 12:-1.207 13:-0.42 14:-0.883 15:-0.525 16:-0.12 17:-0.012 18:2.244 19:-0.003 20:-0.013 21:-0.648 22:-0.116 23:-0.529 24:-0.752 25:3.033 26:-1.488 27:-0.009 28:3.217 29:-0.807 30:-0.131 31:0.108 32:-0.199 33:-0.197 34:1.621 35:-0.043 36:-1.199 37:-0.535 38:-0.005",
+    "0:-3.452 1:1.62 2:-1.481 3:-1.419 4:-1.321 5:-1.092 6:-0.899 7:-0.977 8:0.699 9:-1.169 10:-0.41 11:-0.47 12:-1.069 13:0.027 14:-0.146 15:-0.923 16:-0.201 17:-0.019 18:-2.028 19:1.644 20:2.731 21:-0.244 22:-0.02 23:-0.216 24:-0.194 25:-0.222 26:-0.036 27:-0.408 28:-0.021 29:-0.886 30:-0.156 31:-0.045 32:-0.101 33:-0.058 34:-0.027 35:2.221 36:-1.176 37:-0.179 38:-0.07",
+)
+
+
+def field_weights() -> np.ndarray:
+    w = np.zeros((len(KINDS), FEATURES))
+    for kind, row in enumerate(TRAINED):
+        for cell in row.split():
+            feature, weight = cell.split(":")
+            w[kind, int(feature)] = float(weight)
+    return w
+
+
 @lru_cache(2)
 def train_field(lines: int = 500, rounds: int = 60, rate: float = 0.5, decay: float = 2e-3, seed: int = 7) -> np.ndarray:
     """Weights (kind, feature) that maximise the penalised likelihood of generated lines, by adaptive gradient ascent."""
@@ -349,9 +370,11 @@ def _regions(text: str):
 def all_spans(text: str, w: np.ndarray) -> tuple[list[Span], list[Span]]:
     """Exact spans, and all spans: those and the field's that touch none of them; both by start, then kind."""
     base = base_spans(text)
+    starts, reach = [b[0] for b in base], list(accumulate((b[2] for b in base), max))
     added = []
     for s in field_spans(text, w):
-        if not any(s[0] < b[2] and b[0] < s[2] for b in base):
+        before = bisect_left(starts, s[2])  # exact spans that start before this one ends
+        if not before or reach[before - 1] <= s[0]:
             added.append(s)
     return base, sorted(base + added)
 
@@ -395,7 +418,7 @@ def find_pii(docs: DataFrame, names: list[str] | None = None, with_text: bool =
     replaced. A null text counts as empty; repeated rows are rows of their own; other columns
     are kept in row and not looked at.
     """
-    w = train_field()
+    w = field_weights()
     row = F.struct(*[F.col(f"`{c}`") for c in names or docs.columns])
     given = docs.select(row.alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kind = given.schema["row"].dataType.simpleString()

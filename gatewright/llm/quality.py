@@ -168,7 +168,8 @@ def learns_from(doc_id: str = "doc_id") -> Column:
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> RuleModel:
     """Fit on at most max_rows labelled documents, those with the smallest hash of doc_id.
 
-    Null labels and null doc_ids are left out; of repeated labels of one doc_id the smaller counts.
+    Null labels and null doc_ids are left out; of repeated labels of one doc_id the smaller counts,
+    and of repeated documents the one with the least statistics.
     """
     sample = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & learns_from())
@@ -177,8 +178,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> R
     )
     # At most max_rows rows of two numbers: small enough to broadcast at any size of the corpus.
     picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    got = with_stats(picked, ["doc_id", "quality"]).select("row.doc_id", "row.quality", "stats.*").limit(2 * max_rows).toPandas()
-    got = got.sort_values(["doc_id", *STATS], kind="stable")
+    each = with_stats(picked, ["doc_id", "quality"]).select("row.doc_id", F.struct("row.quality", "stats.*").alias("s")).groupBy("doc_id").agg(F.min("s").alias("s"))
+    got = each.select("doc_id", "s.*").toPandas().sort_values("doc_id", kind="stable")
     return fit_rules(got[list(STATS)].to_numpy(np.float64), (got["quality"] > 0).to_numpy(np.float64))
 
 

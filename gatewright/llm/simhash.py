@@ -78,10 +78,18 @@ def _with_near_half(fps: DataFrame) -> DataFrame:
     return met.where("met").select("fp").distinct()
 
 
+def _dealt(rows: DataFrame, each: int) -> DataFrame:
+    """rows (written already) in parts of some `each`, as many as their number asks for: what is exploded next is far larger than what is read."""
+    return rows.repartition(max(1, -(-rows.count() // each)), "fp")
+
+
 def links(fps: DataFrame) -> DataFrame:
-    """Links (a, b) of distinct fingerprints (fp) that connect just those within three bits, directly or in chains."""
-    near = _with_near_half(fps)
-    balls = near.select("fp", _variants(F.col("fp"), F.bit_count("fp"), [0, *SINGLE, *DOUBLE], SINGLE).alias("bucket"))
+    """Links (a, b) of distinct fingerprints (fp) that connect just those within three bits, directly or in chains.
+
+    Runs jobs when it is called: what is dealt out for an explosion is written and counted first.
+    """
+    near = durable(_with_near_half(_dealt(durable(fps), 50_000)))
+    balls = _dealt(near, 5_000).select("fp", _variants(F.col("fp"), F.bit_count("fp"), [0, *SINGLE, *DOUBLE], SINGLE).alias("bucket"))
     far = (F.bit_count(F.col("fp").bitwiseXOR(F.col("bucket"))) > 1).alias("far")
     first = F.first(F.struct("far", "fp")).over(Window.partitionBy("bucket").orderBy("far", "fp").rowsBetween(Window.unboundedPreceding, 0))
     met = balls.select("bucket", "fp", far).select("fp", first.alias("c"))
@@ -89,19 +97,21 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, width: int = 3) -> DataFrame:
-    """did, th, fp and component (the smallest did reachable) of each row of docs (doc_id, text, ...).
+    """did, th, fp, root and component (the smallest did reachable) of each row of docs (doc_id, text, ...).
+
+    root tells components apart where the smallest did does not, since it is null or repeated.
 
     Words are what stands between [\\x20\\x09-\\x0D] after A-Z are lower-cased; shingles have
     `width` words, repeats count; a shorter text is one shingle; a text without words (or null)
     has fingerprint 0 and links like any other. A null doc_id counts as the smallest id.
-    Repeated rows are rows of their own. Extra columns are ignored.
+    Repeated rows are rows of their own. Extra columns are ignored. Jobs run when it is called.
     """
     found = durable(in_arrow(keyed(docs), lambda it: _fingerprints(it, width), "did long, th long, fp long"))
     smallest = found.groupBy("fp").agg(F.min("did").alias("least"))
     roots = components(links(smallest.select("fp")))
     named = smallest.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
-    return found.join(skew_join(named, least, ["root"]).select("fp", "component"), "fp")
+    return found.join(skew_join(named, least, ["root"]).select("fp", "root", "component"), "fp")
 
 
 def hex_of(fp: Column) -> Column:
@@ -115,7 +125,7 @@ def near_components(docs: DataFrame, width: int = 3) -> DataFrame:
 
 def near_dedup(docs: DataFrame, width: int = 3) -> DataFrame:
     """docs, all columns, with one row left of each component: one of its smallest doc_id."""
-    stay = near_groups(docs, width).groupBy("component").agg(F.min_by("th", F.struct("did", "th")).alias("th"))
-    return stay_only(docs, stay.select(F.col("component").alias("did"), "th"))
+    stay = near_groups(docs, width).groupBy("root").agg(F.min(F.struct("did", "th")).alias("r"))
+    return stay_only(docs, stay.select("r.did", "r.th"))
 
 

@@ -310,6 +310,44 @@ def test_field_finds_held_out_entities_and_leaves_decoys():
     assert hit / true > 0.93 and hit / said > 0.93
 
 
+def test_stored_weights_are_those_of_training():
+    assert np.allclose(pii.field_weights(), pii.train_field(), atol=5e-3)
+
+
+def test_the_best_segmentation_is_the_best_of_all():
+    """Against every way to cut short runs of tokens, under random weights."""
+    rng, r = np.random.default_rng(5), random.Random(6)
+
+    def every(ending, n):
+        """(score, entities) of all segmentations of the first n tokens."""
+        if n == 0:
+            return [(0.0, [])]
+        out = every(ending, n - 1)
+        for i, _, s in ending[n]:
+            out = out + [(v + float(x), [*e, (i, n, k)]) for v, e in every(ending, i) for k, x in enumerate(s)]
+        return out
+
+    tried = 0
+    while tried < 25:
+        text, _ = pii.training_line(r)
+        lattice = pii.Lattice(text, [m.span() for m in pii.TOKEN.finditer(text)][:6])
+        if not any(lattice.ending):
+            continue
+        tried += 1
+        w = rng.normal(size=(len(pii.KINDS), pii.FEATURES))
+        score, entities = max(every(lattice.scores(w), lattice.n), key=lambda x: x[0])
+        assert lattice.best(w) == entities and score >= 0
+
+
+def test_field_spans_touch_no_exact_one():
+    w, r = pii.field_weights(), random.Random(21)
+    for _ in range(300):
+        text = " ".join(pii.training_line(r)[0] for _ in range(3)) + r.choice(["", " a@b.co", " +49 170 1234567", " 10.1.2.3"])
+        base, every = pii.all_spans(text, w)
+        touching = [s for s in pii.field_spans(text, w) if any(s[0] < b[2] and b[0] < s[2] for b in base)]
+        assert sorted(base + [s for s in pii.field_spans(text, w) if s not in touching]) == every
+
+
 def test_field_is_a_distribution():
     """The gradient is the difference of the log likelihood, found by trying small steps."""
     text, truth = next(x for x in (pii.training_line(random.Random(i)) for i in range(50)) if len(x[1]) == 2)
