@@ -79,8 +79,9 @@ def _with_near_half(fps: DataFrame) -> DataFrame:
 
 
 def _dealt(rows: DataFrame, each: int) -> DataFrame:
-    """rows (written already) in parts of some `each`, as many as their number asks for: what is exploded next is far larger than what is read."""
-    return rows.repartition(max(1, -(-rows.count() // each)), "fp")
+    """rows (written already) in parts of at most some `each`: what is exploded next is far larger than what is read."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-rows.count() // each)), "fp")
 
 
 def links(fps: DataFrame) -> DataFrame:
