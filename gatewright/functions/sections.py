@@ -74,7 +74,9 @@ def extract(df: DataFrame, text: str, name: str, out: str) -> DataFrame:
         .when(F.length("_piece") < MIN_SECTION_CHARS, F.concat(F.lit(f"{name} has "), F.length("_piece").cast("string"), F.lit(f" characters, fewer than {MIN_SECTION_CHARS}")))
         .otherwise("")
     )
-    return work.withColumn(out, F.struct(F.col("_piece").alias("text"), (reason != "").alias("failed"), reason.alias("reason"))).drop("_x", "_b", "_s", "_e", "_best", "_piece")
+    # Generated, not projected: a later filter on the outcome is then not pushed below these steps, each written out in full.
+    result = F.explode(F.array(F.struct(F.col("_piece").alias("text"), (reason != "").alias("failed"), reason.alias("reason"))))
+    return work.withColumn(out, result).drop("_x", "_b", "_s", "_e", "_best", "_piece")
 
 
 def extract_all(df: DataFrame, text: str, names: tuple[str, ...] = DEFAULT_SECTIONS) -> DataFrame:

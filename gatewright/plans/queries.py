@@ -14,7 +14,7 @@ from gatewright.functions.timeops import align, weekdays
 from gatewright.operators import panel
 from gatewright.operators.audit import gap_rows, twin_audit
 from gatewright.operators.documents import archive_url, first_per, with_gap, with_previous
-from gatewright.operators.lazy_prices import diagnostics, flagged, score_filings
+from gatewright.operators.lazy_prices import build, diagnostics, flagged, score_filings
 from gatewright.operators.signals import cosine_distance, novelty, tone
 from gatewright.plans import gates
 from gatewright.plans.ledger import GENESIS, link_check, trial_counts
@@ -108,12 +108,17 @@ def lazy_cosine(spark, sf_dir):
     return rounded(pair_cosine(document_pairs(spark, sf_dir), term_counts(docs, "doc_id", "text"), "doc_id"), "score", digits=9)
 
 
-def scored_documents(spark, sf_dir) -> DataFrame:
-    """Documents as filings 300 days apart within a source; bodies under 1,000 characters have failed."""
-    docs = table(spark, sf_dir, "documents")
+def document_filings(docs: DataFrame) -> DataFrame:
+    """Documents as filings 300 days apart within a source."""
     order = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     index = docs.select("source", "doc_id").withColumn("at", F.timestamp_seconds(F.lit(1_000_000_000) + F.pmod(order * 300, F.lit(9000)).cast("long") * 86_400 + order))
-    rows = index.select(F.col("source").alias("ticker"), F.col("doc_id").alias("accession"), F.date_sub(F.col("at").cast("date"), 45).alias("period_end"), F.col("at").alias("acceptance_datetime"))
+    return index.select(F.col("source").alias("ticker"), F.col("doc_id").alias("accession"), F.date_sub(F.col("at").cast("date"), 45).alias("period_end"), F.col("at").alias("acceptance_datetime"))
+
+
+def scored_documents(spark, sf_dir) -> DataFrame:
+    """Scores of those filings; bodies under 1,000 characters have failed."""
+    docs = table(spark, sf_dir, "documents")
+    rows = document_filings(docs)
     failed = F.length("text") < 1000
     bodies = docs.select(F.col("doc_id").alias("accession"), F.col("text").alias("body"), failed.alias("section_failed"), F.when(failed, "short").otherwise("").alias("failure_reason"))
     return flagged(align(score_filings(rows, bodies), calendar(rows)))
@@ -125,6 +130,18 @@ def lazy_build(spark, sf_dir):
     return rounded(scored_documents(spark, sf_dir).select(*names), "score", digits=9)
 
 
+@query
+def signal_build(spark, sf_dir):
+    """The signal from the texts on: a document is the section between two headings, of which some reports have none."""
+    docs = table(spark, sf_dir, "documents")
+    head = F.when(F.col("doc_id") % 11 == 0, "About us\n").otherwise("Item 7.\n")
+    texts = docs.select(F.col("doc_id").alias("accession"), F.concat(head, F.col("text"), F.lit("\nItem 8. Statements\n")).alias("text"))
+    rows = document_filings(docs)
+    out = build(rows, texts, calendar(rows), sections=("item_7",)).aligned
+    names = ("ticker", "accession", "prev_accession", "period_end", "signal_date", "score", "extraction_failed", "failure_reason", "gap_days", "gap_ok")
+    return rounded(out.select(*names), "score", digits=9)
+
+
 @query
 def lazy_usable(spark, sf_dir):
     rows = scored_documents(spark, sf_dir)
