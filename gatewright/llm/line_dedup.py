@@ -79,13 +79,14 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
         .groupBy("did", "th")
         .agg(F.collect_set("pos").alias("drop"))
     )
-    lines = base.select("did", "th", F.split("text", "\n").alias("lines"))
+    # Texts are split after they have met their positions: as strings they move in fewer bytes.
+    met = base.join(drops, ["did", "th"], "left").withColumn("lines", F.split("text", "\n"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
-    return lines.join(drops, ["did", "th"], "left").select(
+    return met.select(
         public_id().alias("doc_id"),
         F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("drop").isNull(), F.array_join("lines", "\n"))
+        F.when(F.col("drop").isNull(), F.col("text"))
         .otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
         .alias("kept_text"),
     )
