@@ -218,14 +218,14 @@ def fingerprint_documents(docs: DataFrame, buckets: int | None = None, with_text
     of a doc_id follow each other by their texts' hashes. A null text is empty; the likeness of
     two empty texts is 1, of an empty and another 0. Extra columns are ignored.
 
-    Rows are dealt to ranges of some RANGE bytes of text, by doc_id and, where one doc_id has
+    Rows are dealt to ranges of at most some RANGE bytes of text, by doc_id and, where one doc_id has
     more than a range, by the hash of the text. Each text moves once; the first row of a range is
     also sent to the range before it, as that one's last next. The driver holds the bounds: some
     hundred bytes a range. Jobs that find them run when this is called.
     """
-    base = keyed(docs)
+    base, spark = keyed(docs), docs.sparkSession
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = buckets or max(1, -(-size // RANGE))
+    n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE))
     shares = [i / n for i in range(1, n)]
     found = base.approxQuantile("did", shares, 0.2 / n) if shares else []
     bounds = np.array(sorted(min(int(x), 2**63 - 1) for x in found), np.int64)
