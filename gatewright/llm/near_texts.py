@@ -1,36 +1,46 @@
 """Near dedup by likeness of texts: Jaccard similarity of five-word shingles, 0.8 or more.
 
-Candidates come from MinHash bands: two texts meet if all four least hashes of one of 32 bands are
-equal, which a pair at 0.8 misses with a probability of 5 in 10^8, a closer one more rarely.
-Candidates are then judged exactly, on their whole shingle sets (64-bit hashes of shingles).
-
-Equal sets are one node. In each bucket all are first held against its hub, the member that meets
-most others, so a group of k texts about one original costs k - 1 comparisons. What then still
-lies in several components of one bucket goes to tasks in blocks of at most some BLOCK sets, each
-block with each other one of its bucket. A task counts what its sets have in common by products of
-incidence matrices and gives on only links that join components: no candidate is left out, and
-no table holds the pairs of a group.
+Candidates are texts whose SimHashes lie in one ball, found by meet-in-the-middle ball hashing as in
+simhash.py, but over a long fingerprint in blocks, since at 0.8 too many bits differ for a ball
+around 64 of them (block_balls.py). Candidates are then judged exactly, on their whole shingle sets
+(64-bit hashes of shingles).
+
+Equal sets are one node; a bucket is what shares a variant of a block. Each text is first held against
+the one hub that meets most others of all its buckets' hubs, so a group of k texts about one original
+costs k - 1 comparisons; then against the hubs of those buckets that still have several components.
+What is left goes to tasks in blocks of at most some BLOCK sets, each block with each other one of
+its bucket, or of all buckets with the same lowest component if that is less. A task counts what its sets have
+in common by products of incidence matrices and gives on only links that join components: no
+candidate is left out, and no table holds the pairs of a group.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatewright.llm.common import durable, ints, keyed, rows, skew_join, stay_only
+from gatewright.llm.block_balls import fingerprint, meetings
+from gatewright.llm.common import ints, keyed, rows, shared_folder, shuffles_freed, skew_join, stay_only
 from gatewright.llm.components import components
 from gatewright.llm.simhash import LOWER, SEED
 from gatewright.session import in_arrow
 
 WIDTH = 5
-BANDS, DEEP = 32, 4
 #: A block of a bucket has some BLOCK sets or SHINGLES shingles; a row PIECE of them, an incidence matrix COLUMNS.
 BLOCK, SHINGLES, PIECE, COLUMNS = 512, 1_000_000, 2048, 8192
-_DRAWN = np.random.default_rng(20_240_801).integers(0, 2**32, (2, BANDS * DEEP), dtype=np.uint32)
-FLIP, FACTOR = _DRAWN[0], _DRAWN[1] | np.uint32(1)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder as Parquet: what a checkpoint remembers of partitions and constraints grows with each skew_join, until planning does not end."""
+    path = f"{shared_folder(df.sparkSession)}/near-{uuid.uuid4().hex}"
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -44,16 +54,6 @@ def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(s), SEED) for s in zip(*(words[i:] for i in range(width)))], np.uint64))
 
 
-def bands(found: np.ndarray) -> list[int]:
-    """A signed 64-bit key a band; none of an empty set."""
-    if not len(found):
-        return []
-    h = (found >> np.uint64(32)).astype(np.uint32)[:, None]
-    least = np.min([((h[i : i + 1024] ^ FLIP) * FACTOR).min(0) for i in range(0, len(h), 1024)], axis=0)
-    keys = [xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, DEEP))]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
-
-
 def _name(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), SEED)
 
@@ -64,8 +64,8 @@ def _sketches(batches, width: int):
             sets = [shingles(t, width) for t in texts]
             sid = np.array([_name(s) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ints(part, "did"), pa.int64()), pa.array(ints(part, "th"), pa.int64()), pa.array(sid), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))],
-                ["did", "th", "sid", "n", "bands"],
+                [pa.array(ints(part, "did"), pa.int64()), pa.array(ints(part, "th"), pa.int64()), pa.array(sid), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s).astype("<u4").tobytes() for s in sets], pa.binary())],
+                ["did", "th", "sid", "n", "print"],
             )
 
 
@@ -152,6 +152,16 @@ def _blockwise(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
 
 
+def _gathered(rooted: DataFrame) -> DataFrame:
+    """Buckets (key, sid, n, root) of more than two sets and several roots; those of one lowest root as one, where that has fewer pairs than they have."""
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("whole"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("whole < high AND size > 2")
+    left = durable(skew_join(rooted, mixed.select("key", "size", "whole"), ["key"]))
+    sets = left.select("whole", "sid").distinct().groupBy("whole").agg(F.count(F.lit(1)).cast("double").alias("sets"))
+    pairs = left.groupBy("whole").agg(F.sum(F.col("size").cast("double")).alias("pairs"))
+    less = durable(pairs.join(sets, "whole").select("whole", (F.col("sets") * F.col("sets") <= F.col("pairs")).alias("less")))
+    return durable(skew_join(left, less, ["whole"]).select(F.when(F.col("less"), F.col("whole")).otherwise(F.col("key")).alias("key"), "sid", "n", "root").distinct())
+
+
 def _across(rooted: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between roots of one bucket (key, sid, n, root), of which each set is held against each other one."""
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("all"))
@@ -171,25 +181,30 @@ def alike_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     root tells components apart where the smallest did does not, since it is null or repeated.
 
     Texts are linked at a Jaccard similarity of 0.8 or more; texts without words (or null) are
-    alike. A null doc_id counts as the smallest id. Extra columns are ignored.
+    alike. A null doc_id counts as the smallest id. Extra columns are ignored. Jobs run when it is called.
     """
-    found = durable(in_arrow(keyed(docs), lambda it: _sketches(it, width), "did long, th long, sid long, n long, bands array<long>"))
-    nodes = found.groupBy("sid").agg(F.min_by(F.struct("did", "th", "n", "bands"), F.struct("did", "th")).alias("r")).select("sid", "r.*")
-    buckets = nodes.select("sid", "did", "th", "n", F.explode("bands").alias("key"))
-    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = durable(skew_join(buckets, sizes, ["key"]))
+    found = durable(in_arrow(keyed(docs), lambda it: _sketches(it, width), "did long, th long, sid long, n long, print binary"))
+    nodes = durable(found.groupBy("sid").agg(F.min_by(F.struct("did", "th", "n", "print"), F.struct("did", "th")).alias("r")).select("sid", "r.*"))
+    met = durable(skew_join(meetings(nodes.where("n > 0").select("sid", "print")), nodes.select("sid", "did", "th", "n"), ["sid"]))
 
     read = met.select("did", "th").distinct()
     texts = keyed(docs).join(read, ["did", "th"]).select("text")
     sets = durable(in_arrow(texts, lambda it: _sets(it, width), "sid long, found array<long>").dropDuplicates(["sid"]))
 
-    weighed = met.select("sid", "n", "key").join(met.groupBy("sid").agg(F.sum("size").alias("meets")), "sid")
-    hubs = weighed.groupBy("key").agg(F.max(F.struct("meets", "sid", "n")).alias("hub")).select("key", F.col("hub.sid").alias("b"), F.col("hub.n").alias("m"))
-    to_hub = skew_join(weighed.select(F.col("sid").alias("a"), "n", "key"), hubs, ["key"]).where((F.col("a") != F.col("b")) & _can("n", "m")).select("a", "b").distinct()
-    first = durable(_alike(to_hub, sets))
-
-    rooted = durable(met.select("sid", "n", "key").join(components(first).withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")))
-    roots = components(first.unionByName(_across(rooted, sets)))
+    weighed = skew_join(met.select("sid", "n", "key"), met.groupBy("sid").agg(F.sum("size").alias("meets")), ["sid"])
+    hubs = weighed.groupBy("key").agg(F.max(F.struct("meets", "sid", "n")).alias("hub")).select("key", "hub")
+    held = skew_join(weighed.select(F.col("sid").alias("a"), "n", "key"), hubs, ["key"]).where((F.col("a") != F.col("hub.sid")) & _can("n", "hub.n"))
+    to_hub = durable(held.select("a", "hub").distinct())
+    nearest = durable(_alike(to_hub.groupBy("a").agg(F.max("hub").alias("hub")).select("a", F.col("hub.sid").alias("b")), sets))
+    one, two = (F.coalesce(f"{c}_root", c) for c in "ab")
+    roots = components(nearest)
+    across = to_hub.select("a", F.col("hub.sid").alias("b"))
+    for c in "ab":
+        across = across.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
+    first = nearest.unionByName(durable(_alike(across.where(one != two).select("a", "b"), sets)))
+
+    rooted = met.select("sid", "n", "key").join(components(first).withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    roots = components(first.unionByName(durable(_across(_gathered(durable(rooted)), sets))))
 
     named = nodes.select("sid", F.col("did").alias("least")).join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))

@@ -1,0 +1,67 @@
+"""Ball hashing in blocks against its definition, and the near stage through it."""
+
+import random
+
+import numpy as np
+import pyarrow as pa
+from test_near_texts import SCHEMA, words
+
+import corpus_pipeline
+from gatewright.llm import block_balls as bb
+from gatewright.llm import near_texts
+
+
+def test_a_bit_is_set_in_over_half_of_the_hashes():
+    for n in (1, 2, 5, 300):
+        found = np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64)
+        want = []
+        for i in range(bb.BLOCKS * bb.BITS):
+            flip, factor = int(bb.FLIP[i // 64]), int(bb.FACTOR[i // 64])
+            count = 0
+            for h in found[:40].tolist() if n > 40 else found.tolist():
+                x = (h ^ flip) * factor % 2**64
+                x = (x ^ x >> 32) * int(bb.MIX) % 2**64
+                count += (x ^ x >> 29) >> i % 64 & 1
+            want.append(2 * count > min(n, 40))
+        got = bb.fingerprint(found[:40])
+        assert [bool(v >> j & 1) for v in got.tolist() for j in range(bb.BITS)] == want
+
+
+def test_runs_hold_all_that_is_near_in_a_block_and_nothing_else(monkeypatch):
+    r = np.random.default_rng(4)
+    base = r.integers(0, 2**bb.BITS, (40, bb.BLOCKS), dtype=np.uint32)
+    prints = np.repeat(base, 5, axis=0)
+    for i in range(len(prints)):
+        for b in range(bb.BLOCKS):
+            for j in r.choice(bb.BITS, r.integers(0, 4), replace=False):
+                prints[i, b] ^= np.uint32(1 << int(j))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(200)), pa.array([p.astype("<u4").tobytes() for p in prints])], ["sid", "print"])
+    for parts in (1, 7):
+        groups = {}
+        for out in bb._variants([batch], 0, bb.BLOCKS, parts):
+            for b, p, blob in zip(*(c.to_pylist() for c in out.columns)):
+                groups[b, p] = blob
+        for b in range(bb.BLOCKS):
+            got = set()
+            for p in range(parts):
+                key, sid, size = bb.runs(np.frombuffer(groups[b, p], bb.ROW))
+                for k in set(key.tolist()):
+                    members = sorted(sid[key == k].tolist())
+                    assert set(size[key == k].tolist()) == {len(members)}
+                    got |= {(x, y) for x in members for y in members if x < y}
+
+            def far(x, y, i):
+                return int(prints[x, (b + i) % bb.BLOCKS] ^ prints[y, (b + i) % bb.BLOCKS]).bit_count()
+
+            want = {(x, y) for x in range(200) for y in range(x + 1, 200) if far(x, y, 0) <= 2 and far(x, y, 1) + far(x, y, 2) <= bb.RADIUS}
+            assert want - got == set()
+            assert {(x, y, far(x, y, 0)) for x, y in got if far(x, y, 0) > 2} == set()
+
+
+def test_the_near_stage_links_through_the_balls_alone(spark, monkeypatch):
+    r = random.Random(1)
+    base = words(r, 200)
+    docs = spark.createDataFrame([(1, " ".join(base), "en", "s", 1), (2, " ".join(base[:-5]), "en", "s", 1)], SCHEMA)
+    assert [d.doc_id for d in corpus_pipeline.near(spark, docs, "").collect()] == [1]
+    monkeypatch.setattr(near_texts, "meetings", lambda prints: bb.meetings(prints.limit(0)))
+    assert sorted(d.doc_id for d in corpus_pipeline.near(spark, docs, "").collect()) == [1, 2]
