@@ -7,29 +7,34 @@ itself too (an odd one meets it there), so no pair within the radius is lost. Wh
 variant is a run; of a run stay those that have another one in it within RADIUS bits of the two
 blocks that follow, which is what keeps fingerprints out that meet by chance.
 
+Fingerprints may have labels: those of one label need not meet any more. A run of one label goes, of
+any other one stay those that have one of another label so near in it.
+
 The share of differing bits is that of the angle between two texts, acos(2J / (1 + J)) / pi for a
 Jaccard similarity J: 0.148 at 0.8. README.md has the measured share of pairs that meet.
 
-Variants move in packed rows of 20 bytes, sorted and cut by numpy, some blocks at a time.
+Variants move in packed rows of 28 bytes, sorted and cut by numpy, some blocks at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gatewright.llm.common import durable
 from gatewright.session import in_arrow
 
 BLOCKS, BITS, RADIUS = 72, 28, 15
-#: A run longer than LONG is not searched for fingerprints that met by chance: all of it stays.
+#: A run longer than LONG is searched for fingerprints that met by chance only if at most LONG are not of its main label; else all of it stays.
 LONG = 256
 #: Variants of a group that is sorted at once, variants of a round, and the blocks a round has at least.
 GROUP, AT_ONCE, ROUND = 500_000, 20_000_000, 8
-ROW = np.dtype([("key", "<u4"), ("sid", "<i8"), ("check", "<u8")])
+ROW = np.dtype([("key", "<u4"), ("sid", "<i8"), ("label", "<i8"), ("check", "<u8")])
 
 _DRAWN = np.random.default_rng(20_261_126).integers(0, 2**63, (2, -(-BLOCKS * BITS // 64)), dtype=np.uint64)
 FLIP, FACTOR, MIX = _DRAWN[0], _DRAWN[1] << np.uint64(1) | np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
@@ -52,9 +57,10 @@ def fingerprint(found: np.ndarray) -> np.ndarray:
 
 
 def _variants(batches, low: int, high: int, parts: int):
-    """Blocks low to high of each fingerprint as packed rows, in parts by the hash of the variant."""
+    """Blocks low to high of each fingerprint as packed rows, in parts by the hash of the variant. Without labels each has its own."""
     for batch in batches:
         sid = batch.column(batch.schema.get_field_index("sid")).to_numpy()
+        label = batch.column(at).to_numpy() if (at := batch.schema.get_field_index("label")) >= 0 else sid
         prints = batch.column(batch.schema.get_field_index("print")).to_pylist()
         values = np.frombuffer(b"".join(prints), "<u4").reshape(len(sid), BLOCKS)
         each = np.arange(len(sid), dtype=np.uint64)
@@ -68,29 +74,46 @@ def _variants(batches, low: int, high: int, parts: int):
             packed = np.sort(key.astype(np.uint64) << np.uint64(32) | np.concatenate([np.repeat(each, BITS), each[even]]))
             key, who = packed >> np.uint64(32), (packed & np.uint64(2**32 - 1)).astype(np.int64)
             out = np.empty(len(key), ROW)
-            out["key"], out["sid"], out["check"] = key, sid[who], check[who]
+            out["key"], out["sid"], out["label"], out["check"] = key, sid[who], label[who], check[who]
             cut = np.searchsorted(key * np.uint64(parts) >> np.uint64(BITS), np.arange(parts + 1, dtype=np.uint64))
             blobs = pa.Array.from_buffers(pa.binary(), parts, [None, pa.py_buffer((cut * ROW.itemsize).astype(np.int32)), pa.py_buffer(out.tobytes())])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(parts, block, np.int32)), pa.array(np.arange(parts, dtype=np.int32)), blobs], ["block", "part", "rows"])
 
 
+def _long(stay: np.ndarray, label: np.ndarray, check: np.ndarray) -> None:
+    """Sets stay for what a run longer than LONG keeps."""
+    kinds, of, count = np.unique(label, return_inverse=True, return_counts=True)
+    others = np.flatnonzero(of != np.argmax(count))
+    if len(others) > LONG:
+        stay[:] = True
+        return
+    for x in others:
+        near = (np.bitwise_count(check ^ check[x]) <= RADIUS) & (label != label[x])
+        stay |= near
+        stay[x] |= near.any()
+
+
 def runs(given: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """key, sid and size of the runs of ROWs, each set of members once; the key names the members."""
     packed = np.sort(given["key"].astype(np.uint64) << np.uint64(32) | np.arange(len(given), dtype=np.uint64))
-    key = packed >> np.uint64(32)
-    same = key[1:] == key[:-1]
-    met = np.append(same, False) | np.append(False, same)
-    at, key = (packed[met] & np.uint64(2**32 - 1)).astype(np.int64), key[met]
-    if not len(at):
+    key, label = packed >> np.uint64(32), given["label"][(packed & np.uint64(2**32 - 1)).astype(np.int64)]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+    several = np.minimum.reduceat(label, first) != np.maximum.reduceat(label, first) if len(key) else np.empty(0, bool)
+    met = np.repeat(several, np.diff(np.append(first, len(key))))
+    if not met.any():
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    at, key, label = (packed[met] & np.uint64(2**32 - 1)).astype(np.int64), key[met], label[met]
     run = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1
     sid, check, size = given["sid"][at], given["check"][at], np.bincount(run)
-    stay = size[run] > LONG
-    left, step = np.flatnonzero(~stay), 1
+    stay, ends = np.zeros(len(run), bool), np.cumsum(size)
+    for r in np.flatnonzero(size > LONG).tolist():
+        i, j = ends[r] - size[r], ends[r]
+        _long(stay[i:j], label[i:j], check[i:j])
+    left, step = np.flatnonzero(size[run] <= LONG), 1
     while len(left):
         left = left[left + step < len(run)]
         left = left[run[left + step] == run[left]]
-        near = left[np.bitwise_count(check[left] ^ check[left + step]) <= RADIUS]
+        near = left[(np.bitwise_count(check[left] ^ check[left + step]) <= RADIUS) & (label[left] != label[left + step])]
         stay[near] = stay[near + step] = True
         step += 1
     sid, run = sid[stay], run[stay]
@@ -123,18 +146,26 @@ def _runs(batches):
         yield ended()
 
 
-def meetings(prints: DataFrame) -> DataFrame:
-    """(key, sid, size), each once: the fingerprints (sid, print; sid once) that lie close together in some block, and how many under that key.
+def meetings(prints: DataFrame) -> Callable[[int, int, DataFrame | None], DataFrame]:
+    """A function of (low, high, labels) for the fingerprints (sid, print; sid once): (key, sid, size), each once, of those that lie close together in some of the blocks low to high, and how many under that key.
 
-    Runs jobs when it is called: the variants of some blocks are written, met and deleted before the next ones.
+    Those of one label (labels: sid, label; each sid once) do not meet; one that has none is labelled by its sid.
+    The function runs jobs when it is called: the variants of some blocks are written, met and deleted before the next ones.
     """
     least, rows = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), prints.count() * (BITS + 1)
     parts, each = max(1, -(-rows // GROUP)), max(ROUND, AT_ONCE // max(1, rows))
-    met = None
-    for low in range(0, BLOCKS, each):
-        high = min(BLOCKS, low + each)
-        dealt = in_arrow(prints, partial(_variants, low=low, high=high, parts=parts), "block int, part int, rows binary")
-        grouped = dealt.repartition(max(least, rows * (high - low) // GROUP), "block", "part").sortWithinPartitions("block", "part")
-        found = durable(in_arrow(grouped, _runs, "key long, sid long, size long").distinct())
-        met = found if met is None else met.unionByName(found)
-    return met.distinct()
+
+    def between(low: int, high: int, labels: DataFrame | None = None) -> DataFrame:
+        given = prints
+        if labels is not None:
+            given = durable(prints.join(labels, "sid", "left").select("sid", "print", F.coalesce("label", "sid").alias("label")))
+        met = None
+        for i in range(low, high, each):
+            j = min(high, i + each)
+            dealt = in_arrow(given, partial(_variants, low=i, high=j, parts=parts), "block int, part int, rows binary")
+            grouped = dealt.repartition(max(least, rows * (j - i) // GROUP), "block", "part").sortWithinPartitions("block", "part")
+            found = durable(in_arrow(grouped, _runs, "key long, sid long, size long").distinct())
+            met = found if met is None else met.unionByName(found)
+        return met.distinct()
+
+    return between

@@ -9,9 +9,14 @@ Equal sets are one node; a bucket is what shares a variant of a block. Each text
 the one hub that meets most others of all its buckets' hubs, so a group of k texts about one original
 costs k - 1 comparisons; then against the hubs of those buckets that still have several components.
 What is left goes to tasks in blocks of at most some BLOCK sets, each block with each other one of
-its bucket, or of all buckets with the same lowest component if that is less. A task counts what its sets have
-in common by products of incidence matrices and gives on only links that join components: no
-candidate is left out, and no table holds the pairs of a group.
+its bucket, or of all components that buckets connect (a region) if that is less. A task counts what
+its sets have in common by products of incidence matrices and gives on only links that join
+components: no candidate is left out, and no table holds the pairs of a group.
+
+The first EARLY blocks of the fingerprint are judged before the others are met. A large group is found
+by any few of them: then texts of one component, or of one region that was judged whole, need not meet
+in the other blocks, and a text costs the buckets of EARLY blocks, not of all. A region is judged
+whole if that costs no more than its buckets would, over all blocks at the rate of those met.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatewright.llm.block_balls import fingerprint, meetings
+from gatewright.llm.block_balls import BLOCKS, fingerprint, meetings
 from gatewright.llm.common import ints, keyed, rows, shared_folder, shuffles_freed, skew_join, stay_only
 from gatewright.llm.components import components
 from gatewright.llm.simhash import LOWER, SEED
@@ -33,6 +38,8 @@ from gatewright.session import in_arrow
 WIDTH = 5
 #: A block of a bucket has some BLOCK sets or SHINGLES shingles; a row PIECE of them, an incidence matrix COLUMNS.
 BLOCK, SHINGLES, PIECE, COLUMNS = 512, 1_000_000, 2048, 8192
+#: Blocks of the fingerprint that are judged first; to move a set into a bucket counts as so many pairs judged.
+EARLY, MOVE = 8, 16
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -152,14 +159,24 @@ def _blockwise(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
 
 
-def _gathered(rooted: DataFrame) -> DataFrame:
-    """Buckets (key, sid, n, root) of more than two sets and several roots; those of one lowest root as one, where that has fewer pairs than they have."""
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("whole"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("whole < high AND size > 2")
+def _gathered(rooted: DataFrame, rate: float) -> tuple[DataFrame, DataFrame]:
+    """Buckets (key, sid, n, root) of several roots, and regions (sid, region; sid once) that stand for theirs.
+
+    A region has all sets of the components that such buckets connect. It takes the place of its buckets
+    where judging them costs, over rate times as many, no less than judging all pairs of the region.
+    """
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("whole"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("whole < high")
     left = durable(skew_join(rooted, mixed.select("key", "size", "whole"), ["key"]))
-    sets = left.select("whole", "sid").distinct().groupBy("whole").agg(F.count(F.lit(1)).cast("double").alias("sets"))
-    pairs = left.groupBy("whole").agg(F.sum(F.col("size").cast("double")).alias("pairs"))
-    less = durable(pairs.join(sets, "whole").select("whole", (F.col("sets") * F.col("sets") <= F.col("pairs")).alias("less")))
-    return durable(skew_join(left, less, ["whole"]).select(F.when(F.col("less"), F.col("whole")).otherwise(F.col("key")).alias("key"), "sid", "n", "root").distinct())
+    joined = components(left.select(F.col("root").alias("a"), F.col("whole").alias("b"))).select(F.col("root").alias("region"), F.col("node").alias("root"))
+    region = durable(joined.unionByName(joined.select("region", F.col("region").alias("root")).distinct()))
+    placed = durable(skew_join(left.drop("whole"), region, ["root"]))
+    inside = durable(skew_join(rooted.select("sid", "n", "root").distinct(), region, ["root"]))
+    cost = placed.groupBy("region").agg(F.sum(F.col("size").cast("double") + MOVE).alias("cost"))
+    sets = inside.groupBy("region").agg(F.count(F.lit(1)).cast("double").alias("sets"))
+    less = durable(cost.join(sets, "region").select("region", (F.col("sets") * F.col("sets") <= F.col("cost") * rate).alias("less")))
+    buckets = skew_join(placed, less.where("NOT less").select("region"), ["region"]).select("key", "sid", "n", "root")
+    regions = durable(skew_join(inside, less.where("less").select("region"), ["region"]))
+    return durable(buckets.unionByName(regions.select(F.col("region").alias("key"), "sid", "n", "root"))), regions.select("sid", "region")
 
 
 def _across(rooted: DataFrame, sets: DataFrame) -> DataFrame:
@@ -175,6 +192,31 @@ def _across(rooted: DataFrame, sets: DataFrame) -> DataFrame:
     return in_arrow(pieces.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "sid"), _blockwise, "a long, b long").distinct()
 
 
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with the root of each sid: its own where roots (node, root) has none."""
+    return rows.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+
+
+def _judged(met: DataFrame, sets: DataFrame, known: DataFrame, rate: float) -> tuple[DataFrame, DataFrame]:
+    """roots (node, root) after the buckets met (key, sid, n, size), before which they were known, and regions (sid, region) of which all pairs were judged."""
+    links = known.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    met = durable(_rooted(met, known))
+    weighed = skew_join(met.select("sid", "n", "root", "key"), met.groupBy("sid").agg(F.sum("size").alias("meets")), ["sid"])
+    hubs = weighed.groupBy("key").agg(F.max(F.struct("meets", "sid", "n", "root")).alias("hub")).select("key", "hub")
+    held = skew_join(weighed.select(F.col("sid").alias("a"), "n", "root", "key"), hubs, ["key"]).where((F.col("root") != F.col("hub.root")) & _can("n", "hub.n"))
+    to_hub = durable(held.select("a", F.struct("hub.meets", "hub.sid").alias("hub")).distinct())
+    nearest = durable(_alike(to_hub.groupBy("a").agg(F.max("hub").alias("hub")).select("a", F.col("hub.sid").alias("b")), sets))
+    one, two = (F.coalesce(f"{c}_root", c) for c in "ab")
+    roots = components(links.unionByName(nearest))
+    across = to_hub.select("a", F.col("hub.sid").alias("b"))
+    for c in "ab":
+        across = across.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
+    first = links.unionByName(nearest).unionByName(durable(_alike(across.where(one != two).select("a", "b"), sets)))
+    rooted = durable(_rooted(met.select("sid", "n", "key"), components(first)))
+    gathered, regions = _gathered(rooted, rate)
+    return components(first.unionByName(durable(_across(gathered, sets)))), regions
+
+
 def alike_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """did, th, root and component (the smallest did reachable) of each row of docs (doc_id, text, ...).
 
@@ -185,28 +227,19 @@ def alike_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """
     found = durable(in_arrow(keyed(docs), lambda it: _sketches(it, width), "did long, th long, sid long, n long, print binary"))
     nodes = durable(found.groupBy("sid").agg(F.min_by(F.struct("did", "th", "n", "print"), F.struct("did", "th")).alias("r")).select("sid", "r.*"))
-    met = durable(skew_join(meetings(nodes.where("n > 0").select("sid", "print")), nodes.select("sid", "did", "th", "n"), ["sid"]))
-
-    read = met.select("did", "th").distinct()
-    texts = keyed(docs).join(read, ["did", "th"]).select("text")
-    sets = durable(in_arrow(texts, lambda it: _sets(it, width), "sid long, found array<long>").dropDuplicates(["sid"]))
-
-    weighed = skew_join(met.select("sid", "n", "key"), met.groupBy("sid").agg(F.sum("size").alias("meets")), ["sid"])
-    hubs = weighed.groupBy("key").agg(F.max(F.struct("meets", "sid", "n")).alias("hub")).select("key", "hub")
-    held = skew_join(weighed.select(F.col("sid").alias("a"), "n", "key"), hubs, ["key"]).where((F.col("a") != F.col("hub.sid")) & _can("n", "hub.n"))
-    to_hub = durable(held.select("a", "hub").distinct())
-    nearest = durable(_alike(to_hub.groupBy("a").agg(F.max("hub").alias("hub")).select("a", F.col("hub.sid").alias("b")), sets))
-    one, two = (F.coalesce(f"{c}_root", c) for c in "ab")
-    roots = components(nearest)
-    across = to_hub.select("a", F.col("hub.sid").alias("b"))
-    for c in "ab":
-        across = across.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
-    first = nearest.unionByName(durable(_alike(across.where(one != two).select("a", "b"), sets)))
-
-    rooted = met.select("sid", "n", "key").join(components(first).withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    roots = components(first.unionByName(durable(_across(_gathered(durable(rooted)), sets))))
-
-    named = nodes.select("sid", F.col("did").alias("least")).join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
+    between = meetings(nodes.where("n > 0").select("sid", "print"))
+
+    roots, labels = docs.sparkSession.createDataFrame([], "node long, root long"), None
+    for low, high in ((0, EARLY), (EARLY, BLOCKS)):
+        met = durable(skew_join(between(low, high, labels), nodes.select("sid", "did", "th", "n"), ["sid"]))
+        texts = keyed(docs).join(met.select("did", "th").distinct(), ["did", "th"]).select("text")
+        sets = durable(in_arrow(texts, lambda it: _sets(it, width), "sid long, found array<long>").dropDuplicates(["sid"]))
+        roots, regions = _judged(met.select("sid", "n", "key", "size"), sets, roots, BLOCKS / (high - low))
+        # hashed, as a region has texts that are not of the component it is called by, which comes to have others
+        settled = roots.withColumnRenamed("node", "sid").join(regions, "sid", "full")
+        labels = settled.select("sid", F.when(F.col("region").isNotNull(), F.xxhash64("region")).otherwise(F.col("root")).alias("label"))
+
+    named = _rooted(nodes.select("sid", F.col("did").alias("least")), roots)
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     return skew_join(found.select("did", "th", "sid"), skew_join(named, least, ["root"]).select("sid", "root", "component"), ["sid"]).select("did", "th", "root", "component")
 

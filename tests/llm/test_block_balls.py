@@ -65,3 +65,22 @@ def test_the_near_stage_links_through_the_balls_alone(spark, monkeypatch):
     assert [d.doc_id for d in corpus_pipeline.near(spark, docs, "").collect()] == [1]
     monkeypatch.setattr(near_texts, "meetings", lambda prints: bb.meetings(prints.limit(0)))
     assert sorted(d.doc_id for d in corpus_pipeline.near(spark, docs, "").collect()) == [1, 2]
+
+
+def test_runs_hold_what_is_near_under_another_label_only(monkeypatch):
+    """Short and long runs: of one label nothing stays, of several what has a near one of another label."""
+    r = np.random.default_rng(5)
+    for long, size in ((256, 60), (20, 60), (2, 60)):
+        monkeypatch.setattr(bb, "LONG", long)
+        given = np.zeros(4 * size, bb.ROW)
+        given["key"], given["sid"] = np.repeat(np.arange(4), size), np.arange(4 * size) * 7 + 1
+        given["label"] = np.where(np.arange(4 * size) % 15 == 0, given["sid"], -5)
+        given["label"][:size] = -9
+        given["check"] = [sum(1 << int(j) for j in r.choice(56, r.integers(0, 24), replace=False)) for _ in given]
+        want = set()
+        for x in range(4 * size):
+            near = [given["key"][y] == given["key"][x] and given["label"][y] != given["label"][x] and int(given["check"][x] ^ given["check"][y]).bit_count() <= bb.RADIUS for y in range(4 * size)]
+            want |= {int(given["sid"][x])} if any(near) else set()
+        got = bb.runs(r.permutation(given))[1].tolist()
+        assert 0 < len(want) < 3 * size and len(got) == len(set(got)) and want <= set(got)
+        assert set(got) == (want if long > 2 else {int(x) for x in given["sid"][size:]})

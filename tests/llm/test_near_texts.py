@@ -80,3 +80,31 @@ def test_large_groups_are_compared_whole_in_blocks(spark, monkeypatch):
     assert 1 < len(set(want)) < len(rows)
     docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], SCHEMA).repartition(3)
     assert {x.did: x.component for x in alike_groups(docs).collect()} == dict(enumerate(want))
+
+
+def test_a_large_group_does_not_meet_in_every_block(spark, monkeypatch):
+    """Copies about one original, on both sides of 0.8: once judged whole they are not met again, and none of their links is lost."""
+    from gatewright.llm import near_texts
+
+    met, write = [], near_texts.durable
+
+    def counted(df):
+        out = write(df)
+        if {"key", "th"} <= set(out.columns):
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_texts, "durable", counted)
+    r = random.Random(12)
+    base, texts = words(r, 150), []
+    for _ in range(300):
+        now = list(base)
+        for i in r.sample(range(150), r.randint(2, 6)):
+            now[i] = "".join(words(r, 1))
+        texts.append(" ".join(now))
+    rows = list(enumerate(texts))
+    want = components_of(rows)
+    assert 1 < len(set(want)) < 300
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], SCHEMA).repartition(3)
+    assert {x.did: x.component for x in alike_groups(docs).collect()} == dict(enumerate(want))
+    assert 0 < sum(met) < 300 * 200, met
