@@ -11,13 +11,16 @@ from gatewright.llm.bpe import encode_documents
 from gatewright.llm.common import table
 from gatewright.llm.exact_dedup import exact_groups
 from gatewright.llm.line_dedup import line_dedup
+from gatewright.llm.mixing import mix_sources
 from gatewright.llm.packing import pack_documents
+from gatewright.llm.periodic import periodic_runs
 from gatewright.llm.phrases import fingerprint_documents
 from gatewright.llm.pii import find_pii
 from gatewright.llm.quality import fit_quality, learns_from, score_quality
 from gatewright.llm.repeats import remove_repeats
 from gatewright.llm.simhash import near_components
 from gatewright.llm.substring_dedup import substring_dedup
+from gatewright.llm.whitening import fit_whitening, whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -140,6 +143,51 @@ SELECT t.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans,
 FROM texts t LEFT JOIN removed r ON r.doc_id = t.doc_id LEFT JOIN kept k ON k.doc_id = t.doc_id
 """
 
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), tails=True, with_text=False)
+
+
+#: Weights of documents by the label of their quality; those without a label weigh 1.
+GOOD, BAD = 2.0, 0.25
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quality = table(spark, sf_dir, "labels").where("quality IS NOT NULL").select("doc_id", F.when(F.col("quality") == 1, GOOD).otherwise(BAD).alias("weight"))
+    return mix_sources(table(spark, sf_dir, "documents"), quality).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: Sizes and targets by the sources' ranks, then all documents in the order of their keys, summed up one by one.
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(doc_id::VARCHAR || ':' || coalesce(text, '')) AS drawn FROM documents
+), sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source
+), ranked AS (
+  SELECT *, ([3, 1, 2])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w, 2.0::DOUBLE * source_size AS bound FROM sizes
+), laid AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(bound) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level, row_number() OVER (ORDER BY bound / w, source NULLS LAST) AS i
+  FROM ranked WINDOW o AS (ORDER BY bound / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), free AS (SELECT arg_min(level, i) FILTER (WHERE level * w <= bound) AS level FROM laid
+), targets AS (SELECT source, source_size, CASE WHEN f.level IS NULL THEN bound ELSE least(bound, f.level * w) END AS target FROM laid, free f
+), shares AS (
+  SELECT *, floor(target)::BIGINT - epochs * source_size AS rest
+  FROM (SELECT *, CASE WHEN source_size > 0 THEN least(2, floor(target / source_size)) ELSE 0 END::BIGINT AS epochs FROM targets)
+), weights AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 2.0 ELSE 0.25 END)::DOUBLE AS weight FROM labels WHERE quality IS NOT NULL GROUP BY doc_id
+), keyed AS (
+  SELECT d.*, -ln((('0x' || substr(drawn, 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / coalesce(weight, 1.0::DOUBLE) AS key FROM docs d LEFT JOIN weights w ON w.doc_id = d.doc_id
+), summed AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, drawn ROWS UNBOUNDED PRECEDING) - size AS before FROM keyed
+)
+SELECT doc_id, size, source_size, target, (epochs * size + least(greatest(rest - before, 0), size))::BIGINT AS taken
+FROM summed k JOIN shares s ON s.source IS NOT DISTINCT FROM k.source
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whiten(vectors, fit_whitening(vectors)).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_bpe": op2_bpe,
@@ -151,9 +199,13 @@ QUERIES: dict[str, Query] = {
     "op8_phrases": op8_phrases,
     "op9_simhash": op9_simhash,
     "op10_repeats": op10_repeats,
+    "op11_periodic": op11_periodic,
+    "op12_mixing": op12_mixing,
+    "op13_whitening": op13_whitening,
 }
 ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op10_repeats": OP10_SQL,
+    "op12_mixing": OP12_SQL,
 }
