@@ -20,7 +20,8 @@ import base64
 import hashlib
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, islice
+from operator import methodcaller
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ LONGEST = 4096
 STEPS, BYTES, TOKENS = 32, 250_000, 1_000_000
 #: Words, and ids and characters of words, that a worker remembers.
 REMEMBERED, HELD = 800_000, 16_000_000
+#: Words of a long text that are coded at a time.
+WORDS = 500_000
 #: White space as tiktoken's regex library has it; Python's \s holds U+001C to U+001F as well.
 SPACES = r"\t-\r \x85\xa0  -     　"
 
@@ -153,23 +156,18 @@ class Coder:
         self._remember(words, ids.flatten().to_numpy(), ids.value_lengths().to_numpy())
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
-        """The bytes of lists of ids that lie one behind the other and end at `ends`."""
-        sizes = np.diff(ends, prepend=0)
-        out: list[bytes] = []
-        cut = [0, *(np.flatnonzero(np.diff(ends // TOKENS)) + 1).tolist(), len(ends)]
-        for x, y in zip(cut, cut[1:]):
-            if y == x:
-                continue
-            low, high = int(ends[x] - sizes[x]), int(ends[y - 1])
-            own = np.repeat(np.arange(y - x, dtype=np.int32), sizes[x:y])
-            self.db.register("ids", pa.table({"d": own, "pos": np.arange(high - low, dtype=np.int32), "tok": ids[low:high].astype(np.int32)}))
+        """The bytes of lists of ids that lie one behind the other and end at `ends`; at most TOKENS ids at a time, of however long a list."""
+        out: list[list[bytes]] = [[] for _ in ends]
+        for low in range(0, len(ids), TOKENS):
+            some = ids[low : low + TOKENS].astype(np.int32)
+            pos = np.arange(len(some), dtype=np.int32)
+            own = np.searchsorted(ends, pos + low, "right")
+            self.db.register("ids", pa.table({"d": own, "pos": pos, "tok": some}))
             got = self.db.sql(DECODED).to_arrow_table()
             self.db.unregister("ids")
-            part = [b""] * (y - x)
             for d, text in zip(got["d"].to_pylist(), got["hex"].to_pylist()):
-                part[d] = bytes.fromhex(text)
-            out += part
-        return out
+                out[d].append(bytes.fromhex(text))
+        return [b"".join(parts) for parts in out]
 
     def _contract_long(self, text: str) -> None:
         """The same contractions, leftmost pair of least rank first, from a heap."""
@@ -212,17 +210,26 @@ class Coder:
             if j > i:
                 self._contract(new[i:j])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one behind the other, and where each text's end."""
+    def _coded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one behind the other, and where each word's end."""
         if len(self.known) > REMEMBERED or self.chars + self.ids.used > HELD:
             self.forget()
-        split = [self.pattern.findall(t) for t in texts]
-        new = set().union(*split) - self.known.keys()
+        new = set(words) - self.known.keys()
         if new:
             self.learn(new)
+        return self.ids.take(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one behind the other, and where each text's end. Of a long text some WORDS words are in hand at a time."""
+        if len(texts) == 1 and len(texts[0]) > WORDS:
+            found, parts = map(methodcaller("group"), self.pattern.finditer(texts[0])), []
+            while words := list(islice(found, WORDS)):
+                parts.append(self._coded(words)[0])
+            flat = np.concatenate(parts or [np.empty(0, np.uint32)])
+            return flat, np.array([len(flat)])
+        split = [self.pattern.findall(t) for t in texts]
         last = np.cumsum([0, *map(len, split)])
-        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, last[-1])
-        flat, ends = self.ids.take(number)
+        flat, ends = self._coded(list(chain.from_iterable(split)))
         return flat, np.concatenate([[0], ends])[last[1:]]
 
 

@@ -130,6 +130,22 @@ def test_bpe_words_of_all_lengths_and_decoding_from_ids(monkeypatch):
     assert own.decode(wrong, ends)[0] != texts[0].encode() and own.decode(wrong, ends)[1:] == [t.encode() for t in texts[1:]]
 
 
+def test_bpe_of_a_text_of_50_mb():
+    """Coded and decoded in pieces of one text, by an engine that has 400 MB."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    own = bpe.Coder(path, public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    r = random.Random(8)
+    text = " ".join("".join(r.choice("etaoinshrdlué") for _ in range(r.randint(1, 9))) for _ in range(100_000)) + " 漢 \n"
+    text *= 50_000_000 // len(text.encode()) + 1
+    assert len(text.encode()) >= 50_000_000
+    ids, ends = own.encode([text])
+    assert ends.tolist() == [len(ids)] and np.array_equal(ids, np.array(library.encode_ordinary(text), np.uint32))
+    assert own.decode(ids, ends) == [text.encode()]
+    both, ends = own.encode(["a b", ""])
+    assert own.decode(np.concatenate([both, ids[:1_500_000], both]), np.array([len(both), len(both), len(both) + 1_500_000, 2 * len(both) + 1_500_000])) == [b"a b", b"", library.decode_bytes(ids[:1_500_000].tolist()), b"a b"]
+
+
 # 3
 
 
