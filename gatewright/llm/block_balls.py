@@ -10,6 +10,9 @@ blocks that follow, which is what keeps fingerprints out that meet by chance.
 Fingerprints may have labels: those of one label need not meet any more. A run of one label goes, of
 any other one stay those that have one of another label so near in it.
 
+Runs of one block and part that have members in common are written as one set of those members, each
+once, however many of its variants a fingerprint has met others by.
+
 The share of differing bits is that of the angle between two texts, acos(2J / (1 + J)) / pi for a
 Jaccard similarity J: 0.148 at 0.8. README.md has the measured share of pairs that meet.
 
@@ -26,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatewright.llm.common import durable
+from gatewright.llm.common import written
 from gatewright.session import in_arrow
 
 BLOCKS, BITS, RADIUS = 72, 28, 15
 #: A run longer than LONG is searched for fingerprints that met by chance only if at most LONG are not of its main label; else all of it stays.
 LONG = 256
 #: Variants of a group that is sorted at once, variants of a round, and the blocks a round has at least.
-GROUP, AT_ONCE, ROUND = 500_000, 20_000_000, 8
+GROUP, AT_ONCE, ROUND = 500_000, 8_000_000, 8
 ROW = np.dtype([("key", "<u4"), ("sid", "<i8"), ("label", "<i8"), ("check", "<u8")])
 
 _DRAWN = np.random.default_rng(20_261_126).integers(0, 2**63, (2, -(-BLOCKS * BITS // 64)), dtype=np.uint64)
@@ -128,12 +131,39 @@ def runs(given: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(name, size)[once].view(np.int64), sid[once], np.repeat(size, size)[once]
 
 
+def joined(key: np.ndarray, sid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """key, sid and size of what runs (key, sid) with common members make together, each member once: a fingerprint that lies in 29 runs is written once."""
+    if not len(key):
+        return key, sid, key
+    _, run = np.unique(key, return_inverse=True)
+    order = np.argsort(run, kind="stable")
+    run, own = run[order], sid[order]
+    who, member = np.unique(own, return_inverse=True)
+    first = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+    of = np.arange(len(first))
+    while True:
+        least = np.full(len(who), len(first))
+        np.minimum.at(least, member, of[run])
+        new = np.minimum.reduceat(least[member], first)
+        new = new[new]
+        if (new == of).all():
+            break
+        of = new
+    order = np.argsort(least, kind="stable")
+    group, sid = least[order], who[order]
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    size = np.diff(np.append(first, len(group)))
+    name = np.add.reduceat(_mixed(_mixed((sid.view(np.uint64) ^ FLIP[0]) * FACTOR[0]) * FACTOR[1]), first)
+    return np.repeat(name, size).view(np.int64), sid, np.repeat(size, size)
+
+
 def _runs(batches):
-    """Runs of each group of rows (block, part), which stand one behind the other."""
+    """What the runs of each group of rows (block, part) make together; the rows of a group stand one behind the other."""
     held, group = [], None
 
     def ended():
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in runs(np.frombuffer(b"".join(held), ROW))], ["key", "sid", "size"])
+        key, sid, _ = runs(np.frombuffer(b"".join(held), ROW))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in joined(key, sid)], ["key", "sid", "size"])
 
     for batch in batches:
         for block, part, blob in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("block", "part", "rows"))):
@@ -147,7 +177,7 @@ def _runs(batches):
 
 
 def meetings(prints: DataFrame) -> Callable[[int, int, DataFrame | None], DataFrame]:
-    """A function of (low, high, labels) for the fingerprints (sid, print; sid once): (key, sid, size), each once, of those that lie close together in some of the blocks low to high, and how many under that key.
+    """A function of (low, high, labels) for the fingerprints (sid, print; sid once): (key, sid, size), each once, of those that lie close together, or in a chain of such, in some of the blocks low to high, and how many under that key.
 
     Those of one label (labels: sid, label; each sid once) do not meet; one that has none is labelled by its sid.
     The function runs jobs when it is called: the variants of some blocks are written, met and deleted before the next ones.
@@ -158,13 +188,13 @@ def meetings(prints: DataFrame) -> Callable[[int, int, DataFrame | None], DataFr
     def between(low: int, high: int, labels: DataFrame | None = None) -> DataFrame:
         given = prints
         if labels is not None:
-            given = durable(prints.join(labels, "sid", "left").select("sid", "print", F.coalesce("label", "sid").alias("label")))
+            given = written(prints.join(labels, "sid", "left").select("sid", "print", F.coalesce("label", "sid").alias("label")))
         met = None
         for i in range(low, high, each):
             j = min(high, i + each)
             dealt = in_arrow(given, partial(_variants, low=i, high=j, parts=parts), "block int, part int, rows binary")
             grouped = dealt.repartition(max(least, rows * (j - i) // GROUP), "block", "part").sortWithinPartitions("block", "part")
-            found = durable(in_arrow(grouped, _runs, "key long, sid long, size long").distinct())
+            found = written(in_arrow(grouped, _runs, "key long, sid long, size long").distinct())
             met = found if met is None else met.unionByName(found)
         return met.distinct()
 

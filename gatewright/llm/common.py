@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,6 +90,43 @@ def durable(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint()
 
 
+class Scratch:
+    """Tables that steps have written, to be deleted together."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.paths.append(f"{shared_folder(self.spark)}/step-{uuid.uuid4().hex}")
+        with shuffles_freed(self.spark):
+            df.write.parquet(self.paths[-1])
+        return self.spark.read.parquet(self.paths[-1])
+
+    def clear(self) -> None:
+        while self.paths:
+            remove_folder(self.spark, self.paths.pop())
+
+
+_scratch: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What written() makes within is deleted at the end, innermost scope first; what is to outlive it is written by an outer one."""
+    own = Scratch(spark)
+    mark = _scratch.set(own)
+    try:
+        yield own
+    finally:
+        _scratch.reset(mark)
+        own.clear()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder as Parquet: what a checkpoint remembers of partitions and constraints grows with each skew_join, until planning does not end."""
+    return (_scratch.get() or Scratch(df.sparkSession)).write(df)
+
+
 def stay_only(docs: DataFrame, stay: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that stay (did, th) names. Of repeated rows of one doc_id and text, any one."""
     full = docs.select(

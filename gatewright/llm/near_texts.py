@@ -3,9 +3,11 @@
 Candidates are texts whose SimHashes lie in one ball, found by meet-in-the-middle ball hashing as in
 simhash.py, but over a long fingerprint in blocks, since at 0.8 too many bits differ for a ball
 around 64 of them (block_balls.py). Candidates are then judged exactly, on their whole shingle sets
-(64-bit hashes of shingles).
+(64-bit hashes of shingles). Fingerprints are made of those texts only that can be alike to
+another one, as most of their shingles occur elsewhere (support.py); that leaves out no link.
 
-Equal sets are one node; a bucket is what shares a variant of a block. Each text is first held against
+Equal sets are one node, named by 64 bits, or by others where 128 bits of two differ under one name; a
+bucket is what shares variants of a block. Each text is first held against
 the one hub that meets most others of all its buckets' hubs, so a group of k texts about one original
 costs k - 1 comparisons; then against the hubs of those buckets that still have several components.
 What is left goes to tasks in blocks of at most some BLOCK sets, each block with each other one of
@@ -17,12 +19,12 @@ The first EARLY blocks of the fingerprint are judged before the others are met.
 by any few of them: then texts of one component, or of one region that was judged whole, need not meet
 in the other blocks, and a text costs the buckets of EARLY blocks, not of all. A region is judged
 whole if that costs no more than its buckets would, over all blocks at the rate of those met.
+
+What a step has written is deleted with the step; only the groups stay.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,24 +32,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.llm.block_balls import BLOCKS, fingerprint, meetings
-from gatewright.llm.common import ints, keyed, rows, shared_folder, shuffles_freed, skew_join, stay_only
+from gatewright.llm.common import Scratch, ints, keyed, rows, scratch, skew_join, stay_only, written
 from gatewright.llm.components import components
 from gatewright.llm.simhash import LOWER, SEED
+from gatewright.llm.support import counted, shared_members
 from gatewright.session import in_arrow
 
 WIDTH = 5
 #: A block of a bucket has some BLOCK sets or SHINGLES shingles; a row PIECE of them, an incidence matrix COLUMNS.
 BLOCK, SHINGLES, PIECE, COLUMNS = 512, 1_000_000, 2048, 8192
 #: Blocks of the fingerprint that are judged first; to move a set into a bucket counts as so many pairs judged.
-EARLY, MOVE = 8, 16
+EARLY, MOVE = 2, 16
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder as Parquet: what a checkpoint remembers of partitions and constraints grows with each skew_join, until planning does not end."""
-    path = f"{shared_folder(df.sparkSession)}/near-{uuid.uuid4().hex}"
-    with shuffles_freed(df.sparkSession):
-        df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return written(df)
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -61,27 +60,40 @@ def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(s), SEED) for s in zip(*(words[i:] for i in range(width)))], np.uint64))
 
 
-def _name(found: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(found.tobytes(), SEED)
+def _named(texts: list[bytes], width: int) -> tuple[list[np.ndarray], pa.Array, pa.Array]:
+    """The shingles of each text, their name, and 64 more bits of it."""
+    sets = [shingles(t, width) for t in texts]
+    name = [xxhash.xxh3_128_intdigest(s.tobytes(), SEED) for s in sets]
+    low, high = (np.array([n >> shift & 2**64 - 1 for n in name], np.uint64).view(np.int64) for shift in (0, 64))
+    return sets, pa.array(low), pa.array(high)
 
 
-def _sketches(batches, width: int):
+def _names(batches, width: int):
     for batch in batches:
         for part, texts in rows(batch):
-            sets = [shingles(t, width) for t in texts]
-            sid = np.array([_name(s) for s in sets], np.uint64).view(np.int64)
+            sets, sid, alt = _named(texts, width)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ints(part, "did"), pa.int64()), pa.array(ints(part, "th"), pa.int64()), pa.array(sid), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s).astype("<u4").tobytes() for s in sets], pa.binary())],
-                ["did", "th", "sid", "n", "print"],
+                [pa.array(ints(part, "did"), pa.int64()), pa.array(ints(part, "th"), pa.int64()), sid, alt, pa.array([len(s) for s in sets], pa.int64()), pa.array([len(counted(s)) for s in sets], pa.int64())],
+                ["did", "th", "sid", "alt", "n", "m"],
             )
 
 
-def _sets(batches, width: int):
+def _counted(batches, width: int):
     for batch in batches:
         for _, texts in rows(batch):
+            sets, sid, _ = _named(texts, width)
+            yield from zip(sid.to_pylist(), map(counted, sets))
+
+
+def _sets(batches, width: int):
+    """sid, found and print of rows (sid, text)."""
+    for batch in batches:
+        for part, texts in rows(batch):
             sets = [shingles(t, width) for t in texts]
-            sid = np.array([_name(s) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["sid", "found"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(part.schema.get_field_index("sid")), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([fingerprint(s).astype("<u4").tobytes() for s in sets], pa.binary())],
+                ["sid", "found", "print"],
+            )
 
 
 def _can(n: str, m: str):
@@ -225,23 +237,41 @@ def alike_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     Texts are linked at a Jaccard similarity of 0.8 or more; texts without words (or null) are
     alike. A null doc_id counts as the smallest id. Extra columns are ignored. Jobs run when it is called.
     """
-    found = durable(in_arrow(keyed(docs), lambda it: _sketches(it, width), "did long, th long, sid long, n long, print binary"))
-    nodes = durable(found.groupBy("sid").agg(F.min_by(F.struct("did", "th", "n", "print"), F.struct("did", "th")).alias("r")).select("sid", "r.*"))
-    between = meetings(nodes.where("n > 0").select("sid", "print"))
-
-    roots, labels = docs.sparkSession.createDataFrame([], "node long, root long"), None
-    for low, high in ((0, EARLY), (EARLY, BLOCKS)):
-        met = durable(skew_join(between(low, high, labels), nodes.select("sid", "did", "th", "n"), ["sid"]))
-        texts = keyed(docs).join(met.select("did", "th").distinct(), ["did", "th"]).select("text")
-        sets = durable(in_arrow(texts, lambda it: _sets(it, width), "sid long, found array<long>").dropDuplicates(["sid"]))
-        roots, regions = _judged(met.select("sid", "n", "key", "size"), sets, roots, BLOCKS / (high - low))
-        # hashed, as a region has texts that are not of the component it is called by, which comes to have others
-        settled = roots.withColumnRenamed("node", "sid").join(regions, "sid", "full")
-        labels = settled.select("sid", F.when(F.col("region").isNotNull(), F.xxhash64("region")).otherwise(F.col("root")).alias("label"))
-
-    named = _rooted(nodes.select("sid", F.col("did").alias("least")), roots)
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    return skew_join(found.select("did", "th", "sid"), skew_join(named, least, ["root"]).select("sid", "root", "component"), ["sid"]).select("did", "th", "root", "component")
+    spark, base = docs.sparkSession, keyed(docs)
+    with scratch(spark):
+        found = durable(in_arrow(base, lambda it: _names(it, width), "did long, th long, sid long, alt long, n long, m long"))
+        named = found.groupBy("sid", "alt").agg(F.min_by(F.struct("did", "th", "n", "m"), F.struct("did", "th")).alias("r"))
+        # Where two sets have one name, it stays with the first; there are as good as none.
+        told = named.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("alt", "r"))).alias("of")).select(F.col("sid").alias("name"), F.posexplode("of").alias("i", "of"))
+        nodes = durable(told.select("name", "of.alt", F.when(F.col("i") == 0, F.col("name")).otherwise(F.xxhash64("name", "of.alt")).alias("sid"), "of.r.*"))
+
+        total = nodes.agg(F.sum("m")).first()[0] or 0
+        shared = shared_members(base, lambda it: _counted(it, width), total).withColumnRenamed("sid", "name")
+        most = nodes.join(shared, "name", "left").where((F.col("n") > 0) & (F.coalesce("shared", F.lit(0)) >= F.col("m") - F.floor(F.col("n") / 5)))
+        able = durable(most.select("sid", "did", "th", "n"))
+        texts = skew_join(base, able.select("sid", "did", "th"), ["did", "th"]).select("sid", "text")
+        sets = durable(in_arrow(texts, lambda it: _sets(it, width), "sid long, found array<long>, print binary").dropDuplicates(["sid"]))
+        between = meetings(durable(sets.select("sid", "print")))
+        sets = sets.drop("print")
+
+        roots, labels, before = spark.createDataFrame([], "node long, root long"), None, Scratch(spark)
+        for low, high in ((0, EARLY), (EARLY, BLOCKS)):
+            after = Scratch(spark)
+            with scratch(spark):
+                met = durable(skew_join(between(low, high, labels), able, ["sid"]))
+                roots, regions = _judged(met.select("sid", "n", "key", "size"), sets, roots, BLOCKS / (high - low))
+                # hashed, as a region has texts that are not of the component it is called by, which comes to have others
+                settled = roots.withColumnRenamed("node", "sid").join(regions, "sid", "full")
+                labels = after.write(settled.select("sid", F.when(F.col("region").isNotNull(), F.xxhash64("region")).otherwise(F.col("root")).alias("label")))
+            before.clear()
+            before = after
+
+        rooted = _rooted(nodes.select("sid", "name", "alt", F.col("did").alias("least")), roots)
+        least = rooted.groupBy("root").agg(F.min("least").alias("component"))
+        rooted = skew_join(rooted, least, ["root"]).select(F.col("name").alias("sid"), "alt", "root", "component")
+        groups = Scratch(spark).write(skew_join(found.select("did", "th", "sid", "alt"), rooted, ["sid", "alt"]).select("did", "th", "root", "component"))
+        before.clear()
+    return groups
 
 
 def alike_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
