@@ -14,7 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatewright.plans import gates
+from gatewright.operators.asof import scores_as_of
+from gatewright.plans import gates, holdings
 from gatewright.plans.gates import Refused
 from gatewright.plans.verdict import Context, Step
 
@@ -28,14 +29,17 @@ class Market:
     cells: DataFrame
     factors: DataFrame
     traits: DataFrame
-    #: Cost per side, in basis points, that trading in this universe plausibly has.
+    #: Cost per side, in basis points, that trading in this universe plausibly has; without bands for all of it.
     cost_bps: float = 10.0
+    #: Plausible costs by liquidity, see holdings.BANDS; the cells' px * volume tells the band of a trade.
+    bands: tuple[tuple[float, float, float], ...] | None = None
     extras: dict = field(default_factory=dict)
 
 
 def month_scores(signal) -> DataFrame:
-    """(month, symbol, score) of the rows of a signal that can be used."""
-    return gates.month_end_scores(signal.usable().select("signal_date", F.col("ticker").alias("symbol"), "score"))
+    """(month, symbol, score) of a signal that can be used: at each month's end the last score, unless it is stale."""
+    usable = signal.usable().select("signal_date", F.col("ticker").alias("symbol"), "score")
+    return scores_as_of(usable).select("month", "symbol", "score")
 
 
 def leg_weights(ranked: DataFrame, n: int = 10) -> DataFrame:
@@ -45,6 +49,13 @@ def leg_weights(ranked: DataFrame, n: int = 10) -> DataFrame:
     return ranked.where(F.col("decile").isin(1, n)).select("month", "symbol", (side / size).alias("weight"))
 
 
+def signal_weights(scores: DataFrame) -> DataFrame:
+    """(month, symbol, weight): scores (month, symbol, score) less their month's mean, as shares of all such distances. A month of equal scores has no weights."""
+    month = Window.partitionBy("month")
+    far = scores.where("score IS NOT NULL").withColumn("far", F.col("score") - F.avg("score").over(month))
+    return far.select("month", "symbol", F.try_divide("far", F.sum(F.abs("far")).over(month)).alias("weight"))
+
+
 def _ratio(series: DataFrame, column: str) -> float:
     found = gates.sharpe(series, column).first().sharpe
     if found is None:
@@ -52,13 +63,16 @@ def _ratio(series: DataFrame, column: str) -> float:
     return found
 
 
-def _at_most(found: float, context: Context) -> float:
-    """A gate takes from the ratio or leaves it; where the harder series does better, nothing is gained."""
-    return found if context.surviving_sharpe is None else min(found, context.surviving_sharpe)
+def _counted(step: Step, context: Context) -> Step:
+    """The rule for a gate with a series of its own: what survives is its ratio, but never more than survived before. A higher one is told as found."""
+    before = context.surviving_sharpe
+    if before is None or step.sharpe is None or step.sharpe <= before:
+        return step
+    return step._replace(sharpe=before, found=step.sharpe)
 
 
 def integrity_gate(panel: Market, signal, context: Context, limit: float = 0.1, anomaly: float = 0.75) -> Step:
-    """Passed if at most `limit` of the absolute weight rests on cells that are flagged, by rule or by forest, and change a decile."""
+    """Passed if at most `limit` of the weight by signal rests on cells that are flagged, by rule or by forest, and change a decile."""
     rules = gates.integrity_rules(panel.cells, order="month")
     forest = gates.isolation_forest(gates.isolation_features(rules.select("symbol", "month", "ret", "volume", "px", "shares")), ["ret", "volume", "move", "px", "share_change"], ["symbol", "month"])
     broken = rules.select("month", "symbol", (F.col("split_tick") | F.col("stale") | F.col("odd_volume")).alias("broken"))
@@ -67,9 +81,9 @@ def integrity_gate(panel: Market, signal, context: Context, limit: float = 0.1,
     clean = context.extras.get("clean")
     clean = scores.select("month", "symbol", F.col("score").alias("clean")) if clean is None else clean
     material = gates.material_flags(scores, flags.join(clean, ["month", "symbol"], "left"))
-    weights = leg_weights(gates.deciles(scores)).withColumnRenamed("month", "date")
+    weights = signal_weights(scores).withColumnRenamed("month", "date")
     share = gates.flagged_exposure(weights, material.withColumnRenamed("month", "date")).first().flagged_share or 0.0
-    return Step("integrity", share <= limit, f"{100 * share:.1f} % of the weight rests on flagged cells that change a decile; {100 * limit:.0f} % may")
+    return Step("integrity", share <= limit, f"{100 * share:.1f} % of the weight by signal rests on flagged cells that change a decile; {100 * limit:.0f} % may")
 
 
 def raw_gate(panel: Market, signal, context: Context) -> Step:
@@ -98,26 +112,32 @@ def orthogonalize_gate(panel: Market, signal, context: Context, lags: int = 3) -
     spread = gates.long_short(ranked, panel.held)
     context.extras |= {"ranked": ranked, "spread": spread}
     found = _ratio(spread, "vw")
-    return Step("orthogonalize", found > 0, f"monthly alpha {alpha:.4f} (t {t:.2f}) over {', '.join(names)}; neutral spread {found:.2f}", _at_most(found, context))
+    return _counted(Step("orthogonalize", found > 0, f"monthly alpha {alpha:.4f} (t {t:.2f}) over {', '.join(names)}; neutral spread {found:.2f}", found), context)
 
 
 def costs_gate(panel: Market, signal, context: Context) -> Step:
-    """The cost per side at which the neutral spread earns nothing, against the plausible one; what survives is the spread net of that."""
-    turned = gates.turnover(leg_weights(context.extras["ranked"]))
-    spread = context.extras["spread"]
-    b = gates.breakeven(spread.select(F.col("vw").alias("ret")), turned).first()
-    paid = F.coalesce(F.col("turnover"), F.lit(0.0)) * (2 * panel.cost_bps / 10_000)
-    net = spread.join(turned, "month", "left").select("month", (F.col("vw") - paid).alias("net"))
+    """The cost per side at which the neutral spread earns nothing, given what it really trades, against the plausible range; what survives is the spread net of that range's upper end.
+
+    Return and turnover are of the same holdings: legs by value, that drift with returns until the next month.
+    """
+    legs = holdings.value_legs(context.extras["ranked"], panel.held)
+    bands = panel.bands or ((0.0, panel.cost_bps, panel.cost_bps),)
+    liquidity = panel.cells.select("month", "symbol", (F.col("px") * F.col("volume")).alias("dollars"))
+    b = holdings.realised_breakeven(legs, liquidity, bands).first()
+    paid = holdings.plausible_costs(holdings.trades(legs), liquidity, bands)
+    net = holdings.earned(legs).join(paid, "month", "left").select("month", (F.col("ret") - F.coalesce("high_paid", F.lit(0.0))).alias("net"))
     context.extras["net"] = net
     found = _ratio(net, "net")
     bound = math.inf if b.breakeven_bps is None else b.breakeven_bps
-    return Step("costs", bound > panel.cost_bps and found > 0, f"breaks even at {bound:.1f} bps a side, {panel.cost_bps:.0f} are plausible; turnover {b.mean_turnover or 0:.2f}", _at_most(found, context))
+    low, high = (panel.cost_bps if x is None else x for x in (b.low_bps, b.high_bps))
+    plausible = f"{high:.1f}" if low == high else f"{low:.1f} to {high:.1f}"
+    detail = f"breaks even at {bound:.1f} bps a side, {plausible} are plausible for its liquidity; turnover {b.mean_turnover or 0:.2f}"
+    return _counted(Step("costs", bound > high and found > 0, detail, found), context)
 
 
 def dsr_gate(panel: Market, signal, context: Context) -> Step:
     """The net series against the best of as many trials as the ledger has."""
-    step = gates.dsr_gate(context.extras["net"], "net", context)
-    return step._replace(sharpe=_at_most(step.sharpe, context))
+    return _counted(gates.dsr_gate(context.extras["net"], "net", context), context)
 
 
 def pbo_gate(panel: Market, signal, context: Context, blocks: int = 16) -> Step:

@@ -226,6 +226,36 @@ cov AS (SELECT symbol FROM win GROUP BY symbol HAVING count(DISTINCT date) / (SE
 SELECT symbol, median(value) AS median_adv FROM adv
 WHERE date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' AND symbol::BIGINT % 10 <> 3 AND symbol IN (SELECT symbol FROM kinds WHERE quoteType = 'EQUITY') AND symbol IN (SELECT symbol FROM cov)
 GROUP BY symbol ORDER BY median(value) DESC, symbol LIMIT 20""",
+    "universe_at_dates": f"""
+WITH {WEEKLY}, {KINDS}, dates AS (SELECT unnest([DATE '1996-06-28', DATE '1998-06-26']) AS asked),
+adv AS (SELECT date, symbol, avg(cents) OVER (PARTITION BY symbol ORDER BY date ROWS 20 PRECEDING) AS value FROM weekly),
+members AS (
+  SELECT asked, s_suppkey::VARCHAR AS symbol FROM supplier, dates
+  WHERE (s_suppkey % 7 <> 1 OR asked >= DATE '1997-01-01') AND (s_suppkey % 10 <> 3 OR asked <= DATE '1997-01-01') AND s_suppkey::VARCHAR IN (SELECT symbol FROM kinds WHERE quoteType = 'EQUITY')
+), win AS (SELECT asked, a.* FROM adv a JOIN dates ON date BETWEEN asked - 364 AND asked
+), cov AS (
+  SELECT w.asked, symbol FROM win w JOIN (SELECT asked, count(DISTINCT date) AS n FROM win GROUP BY asked) d ON d.asked = w.asked GROUP BY w.asked, symbol HAVING count(DISTINCT date) > 0.5 * any_value(n)
+), med AS (SELECT w.asked, w.symbol, median(value) AS median_adv FROM win w JOIN members m ON m.asked = w.asked AND m.symbol = w.symbol JOIN cov c ON c.asked = w.asked AND c.symbol = w.symbol GROUP BY ALL)
+SELECT asked AS date, symbol, median_adv, (row_number() OVER (PARTITION BY asked ORDER BY median_adv DESC, symbol))::INTEGER AS place FROM med QUALIFY place <= 20""",
+    "realised_costs": f"""
+WITH {RAW}, own AS (
+  SELECT r.month, r.symbol, ret, dollars, (CASE WHEN decile = 10 THEN 1.0 ELSE -1.0 END)::DOUBLE * dollars / sum(dollars) OVER (PARTITION BY r.month, decile) AS w
+  FROM ranked r JOIN monthly m ON m.month = r.month AND m.symbol = r.symbol AND ret IS NOT NULL AND dollars > 0 WHERE decile IN (1, 10)
+), e AS (SELECT month, sum(w * ret) AS r FROM own GROUP BY month
+), drifted AS (SELECT (o.month + INTERVAL 1 MONTH)::DATE AS month, symbol, w * (1 + ret) / (1 + r) AS b FROM own o JOIN e ON e.month = o.month WHERE r > -1
+), t AS (
+  SELECT coalesce(o.month, d.month) AS month, coalesce(o.symbol, d.symbol) AS symbol, abs(coalesce(w, 0) - coalesce(b, 0)) AS traded FROM own o FULL JOIN drifted d ON d.month = o.month AND d.symbol = o.symbol
+), p AS (
+  SELECT t.month, traded, CASE WHEN dollars >= 250000 THEN 5.0 WHEN dollars >= 100000 THEN 10.0 ELSE 25.0 END::DOUBLE AS low, CASE WHEN dollars >= 250000 THEN 15.0 WHEN dollars >= 100000 THEN 30.0 ELSE 100.0 END::DOUBLE AS high
+  FROM t LEFT JOIN monthly m ON m.month = t.month AND m.symbol = t.symbol AND ret IS NOT NULL WHERE t.month IN (SELECT month FROM own) AND t.month IN (SELECT month FROM drifted)
+), q AS (SELECT month, sum(traded) / 2 AS turned, sum(traded * low) / sum(traded) AS low, sum(traded * high) / sum(traded) AS high FROM p GROUP BY month)
+SELECT round(avg(r), 6) AS mean_gross, round(avg(turned), 6) AS mean_turnover, round(avg(r) / (2 * avg(turned)) * 10000, 6) AS breakeven_bps, round(avg(low), 6) AS low_bps, round(avg(high), 6) AS high_bps
+FROM q JOIN e ON e.month = q.month""",
+    "scores_by_month": """
+WITH s AS (SELECT o_custkey::VARCHAR AS symbol, o_orderdate::DATE AS signal_date, o_totalprice AS score FROM orders WHERE o_orderstatus <> 'P'),
+months AS (SELECT unnest(generate_series((SELECT date_trunc('month', min(signal_date)) FROM s), (SELECT max(signal_date) + INTERVAL 16 MONTHS FROM s), INTERVAL 1 MONTH))::DATE AS month)
+SELECT month, symbol, score, signal_date FROM months JOIN s ON signal_date <= last_day(month) AND last_day(month) <= signal_date + INTERVAL 15 MONTHS
+QUALIFY row_number() OVER (PARTITION BY symbol, month ORDER BY signal_date DESC, score DESC) = 1""",
     "former_tickers": f"""
 WITH {MEMBERSHIP} SELECT c_custkey::VARCHAR AS ticker, DATE '1995-09-01' AS date, 'cik' || symbol AS cik FROM customer
 LEFT JOIN membership ON symbol = c_custkey::VARCHAR AND valid_from <= DATE '1995-09-01' AND (valid_to IS NULL OR valid_to >= DATE '1995-09-01')""",

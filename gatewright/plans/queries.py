@@ -12,11 +12,12 @@ from gatewright.functions.sections import extract_all
 from gatewright.functions.text import expanding_idf, norms, pair_cosine, pair_tfidf, term_counts
 from gatewright.functions.timeops import align, weekdays
 from gatewright.operators import panel
+from gatewright.operators.asof import scores_as_of, universe_by_date
 from gatewright.operators.audit import gap_rows, twin_audit
 from gatewright.operators.documents import archive_url, first_per, with_gap, with_previous
 from gatewright.operators.lazy_prices import build, diagnostics, flagged, score_filings
 from gatewright.operators.signals import cosine_distance, novelty, tone
-from gatewright.plans import gates
+from gatewright.plans import gates, holdings
 from gatewright.plans.ledger import GENESIS, link_check, trial_counts
 from gatewright.plans.verdict import fold, give_ups
 from gatewright.sources.filings import BLOCK, accepted_between, index_summary, unpack
@@ -325,6 +326,18 @@ def liquid_universe(spark, sf_dir):
     return top
 
 
+@query
+def universe_at_dates(spark, sf_dir):
+    """The most traded suppliers on two dates between which some join the index and others leave it."""
+    _, kinds = supplier_tables(spark, sf_dir)
+    key, day = F.col("s_suppkey"), F.lit("1997-01-01").cast("date")
+    member = table(spark, sf_dir, "supplier").select(
+        key.cast("string").alias("symbol"), F.lit("sp500").alias("index_name"), F.when(key % 7 == 1, day).otherwise(F.lit("1990-01-01").cast("date")).alias("valid_from"), F.when(key % 10 == 3, day).alias("valid_to")
+    )
+    dates = spark.sql("SELECT explode(array(DATE'1996-06-28', DATE'1998-06-26')) AS date")
+    return universe_by_date(panel.dollar_adv(volume(spark, sf_dir)), priced(spark, sf_dir), member, kinds, dates, 20)
+
+
 @query
 def sector_map(spark, sf_dir):
     return panel.sectors(supplier_tables(spark, sf_dir)[1])
@@ -435,6 +448,22 @@ def breakeven_cost(spark, sf_dir):
     return rounded(gates.breakeven(gross, gates.turnover(weights)), "mean_gross", "mean_turnover", "breakeven_bps", digits=5)
 
 
+@query
+def realised_costs(spark, sf_dir):
+    """Break-even of the value-weighted legs, which drift between months, beside the plausible costs of what they trade."""
+    ranked, held = ranked_months(spark, sf_dir)
+    bands = ((0.0, 25.0, 100.0), (100_000.0, 10.0, 30.0), (250_000.0, 5.0, 15.0))
+    out = holdings.realised_breakeven(holdings.value_legs(ranked, held), held.select("month", "symbol", F.col("weight").alias("dollars")), bands)
+    return rounded(out, *out.columns)
+
+
+@query
+def scores_by_month(spark, sf_dir):
+    """Orders as scores of their customers, pending ones without: at each month's end the last one that is not stale."""
+    o = table(spark, sf_dir, "orders")
+    return scores_as_of(o.select(F.col("o_custkey").cast("string").alias("symbol"), F.col("o_orderdate").cast("date").alias("signal_date"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("score")))
+
+
 @query
 def hac_alpha(spark, sf_dir):
     got = gates.hac_regression(daily_factors(spark, sf_dir), "ret", ["mkt_rf"], lags=5)

@@ -19,7 +19,7 @@ MEMBERSHIP = "symbol STRING, index_name STRING, valid_from DATE, valid_to DATE"
 CLASSIFICATIONS = "symbol STRING, sector STRING, quoteType STRING"
 TRIAL = "STRUCT<family: STRING, signal: STRING, params: STRING, universe: STRING, start: STRING, end: STRING, note: STRING, recorded_at: STRING>"
 LEDGER = f"index BIGINT, prev_hash STRING, trial {TRIAL}, outcome STRING, amends BIGINT, entry_hash STRING"
-STEPS = "ordinal INT, gate STRING, sharpe DOUBLE, passed BOOLEAN, detail STRING, give_up DOUBLE"
+STEPS = "ordinal INT, gate STRING, sharpe DOUBLE, passed BOOLEAN, detail STRING, give_up DOUBLE, found DOUBLE"
 
 
 class SchemaMismatch(ValueError):
