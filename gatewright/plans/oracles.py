@@ -77,7 +77,7 @@ a AS (SELECT o_orderdate::DATE AS date, sum(round(o_totalprice * 100)::BIGINT)::
 b AS (SELECT l_shipdate::DATE AS date, sum(round(l_discount * 100)::BIGINT)::DOUBLE / count(*) AS mom, sum(round(l_extendedprice * 100)::BIGINT)::DOUBLE / count(*) / 1e8 AS ret FROM lineitem GROUP BY 1)"""
 MONTHLY = """
 grouped AS (
-  SELECT l_suppkey::VARCHAR AS symbol, date_trunc('month', l_shipdate)::DATE AS month, avg(l_extendedprice / l_quantity) AS px, sum(l_extendedprice) AS dollars, sum(l_quantity) AS volume
+  SELECT l_suppkey::VARCHAR AS symbol, date_trunc('month', l_shipdate)::DATE AS month, avg(l_extendedprice / l_quantity) AS px, sum(l_extendedprice) AS dollars, sum(l_quantity) AS volume, avg(l_discount) AS discount
   FROM lineitem GROUP BY ALL
 ), monthly AS (
   SELECT *, px / lag(px) OVER w - 1 AS ret, lag(dollars) OVER w AS score FROM grouped WINDOW w AS (PARTITION BY symbol ORDER BY month)
@@ -164,6 +164,48 @@ idf AS (
 SELECT p.a, p.b, (2012 + p.a % 10)::INTEGER AS year, round(CASE WHEN qa > 0 AND qb > 0 THEN coalesce(dot, 0) / (sqrt(qa) * sqrt(qb)) END, 6) AS score
 FROM pairs p LEFT JOIN sums s ON s.a = p.a AND s.b = p.b"""
 
+CHARACTERISTICS = f"""{MONTHLY}, numbered AS (SELECT *, year(month) * 12 + month(month) AS k FROM monthly),
+moved AS (
+  SELECT month, symbol, px * volume AS cap, ret AS str, lead(ret) OVER r AS next, discount, 1 - volume / lag(volume) OVER r AS restraint,
+         CASE WHEN count(ret) OVER w >= 8 THEN exp(sum(ln(1 + ret)) OVER w) - 1 END AS mom
+  FROM numbered WINDOW r AS (PARTITION BY symbol ORDER BY month), w AS (PARTITION BY symbol ORDER BY k RANGE BETWEEN 11 PRECEDING AND 1 PRECEDING)
+), traits AS (
+  SELECT m.*, ln(cap) AS size, CASE WHEN s_acctbal > 0 AND month >= DATE '1995-01-01' THEN ln(s_acctbal / cap) END AS value FROM moved m JOIN supplier ON s_suppkey::VARCHAR = symbol
+)"""
+
+
+def leg(name: str, trait: str) -> str:
+    """A factor from a double sort on cap and a trait: the upper three tenths less the lower, each the mean of two halves by cap."""
+    return f"""
+{name}_sorted AS (SELECT *, ntile(2) OVER (PARTITION BY month ORDER BY cap, symbol) AS half, ntile(10) OVER (PARTITION BY month ORDER BY {trait}, symbol) AS part FROM traits WHERE {trait} IS NOT NULL AND next IS NOT NULL),
+{name}_corners AS (SELECT month, half, part >= 8 AS high, sum(cap * next) / sum(cap) AS r FROM {name}_sorted WHERE part <= 3 OR part >= 8 GROUP BY ALL),
+{name}_leg AS (SELECT month, avg(r) FILTER (WHERE high) - avg(r) FILTER (WHERE NOT high) AS {name} FROM {name}_corners GROUP BY month)"""
+
+
+FACTOR_NAMES = ("mkt", "smb", "hml", "rmw", "cma", "mom", "str")
+FACTORS = CHARACTERISTICS + "," + ",".join(leg(f"f_{n}", t) for n, t in (("hml", "value"), ("rmw", "discount"), ("cma", "restraint"), ("mom", "mom"), ("str", "str"))) + """,
+smb_cells AS (SELECT month, half, CASE WHEN part <= 3 THEN 0 WHEN part <= 7 THEN 1 ELSE 2 END AS third, sum(cap * next) / sum(cap) AS r FROM f_hml_sorted GROUP BY ALL),
+f_smb_leg AS (SELECT month, avg(r) FILTER (WHERE half = 1) - avg(r) FILTER (WHERE half = 2) AS f_smb FROM smb_cells GROUP BY month),
+f_mkt_leg AS (SELECT month, sum(cap * next) / sum(cap) AS f_mkt FROM traits WHERE next IS NOT NULL GROUP BY month),
+factors AS (
+  SELECT month, f_mkt AS mkt, f_smb AS smb, f_hml AS hml, f_rmw AS rmw, f_cma AS cma, f_mom AS mom, f_str AS str
+  FROM f_mkt_leg LEFT JOIN f_smb_leg USING (month) LEFT JOIN f_hml_leg USING (month) LEFT JOIN f_rmw_leg USING (month) LEFT JOIN f_cma_leg USING (month) LEFT JOIN f_mom_leg USING (month) LEFT JOIN f_str_leg USING (month)
+)"""
+
+
+def orthogonal(start: str, xs: tuple[str, ...], others: tuple[str, ...], keys: str, over: str) -> str:
+    """CTEs that take each of xs out of all that follow it, one at a time (Gram and Schmidt); the last is `done`."""
+    steps, now = [], start
+    for i, x in enumerate(xs):
+        left = [*xs[i + 1 :], *others]
+        name = "done" if i == len(xs) - 1 else f"without_{x}"
+        steps.append(f"{name} AS (SELECT {keys}, {', '.join(f'{c} - {x} * (sum({c} * {x}) OVER ({over}) / nullif(sum({x} * {x}) OVER ({over}), 0)) AS {c}' for c in left)} FROM {now})")
+        now = name
+    return ",\n".join(steps)
+
+
+TRAIT_NAMES = ("size", "value", "mom", "str")
+
 ORACLES: dict[str, str] = {
     "pit_audit_twin": f"""
 WITH {FILINGS}, both_ AS (
@@ -291,6 +333,26 @@ SELECT round((SELECT avg(ew) FROM spread), 5) AS mean_gross, round(avg(t), 5) AS
 WITH {RAW}, m AS (SELECT avg(vw) AS mu FROM spread)
 SELECT count(vw)::BIGINT AS n, round(avg(vw) / stddev_samp(vw), 5) AS ratio, round(avg((vw - mu) ** 3) / pow(var_pop(vw), 1.5), 5) AS skew, round(avg((vw - mu) ** 4) / pow(var_pop(vw), 2), 5) AS kurtosis
 FROM spread, m""",
+    "stock_traits_by_month": f"WITH {CHARACTERISTICS} SELECT month, symbol, round(size, 5) AS size, round(value, 5) AS value, round(mom, 5) AS mom, round(str, 5) AS str FROM traits",
+    "factor_legs": f"WITH {FACTORS} SELECT month, {', '.join(f'round({n}, 6) AS {n}' for n in FACTOR_NAMES)} FROM factors",
+    "seven_factor_alpha": f"""
+WITH {FACTORS}, {SPREAD.replace("legs AS", "spread_legs AS").replace("FROM legs", "FROM spread_legs").replace("ranked AS", "scores AS (SELECT month, symbol, round(score, 4) AS score FROM monthly WHERE score IS NOT NULL), ranked AS", 1)},
+series AS (
+  SELECT row_number() OVER (ORDER BY s.month) AS i, vw AS y, 1.0::DOUBLE AS z, {', '.join(FACTOR_NAMES)} FROM spread s JOIN factors f ON (f.month + INTERVAL 1 MONTH)::DATE = s.month
+  WHERE vw IS NOT NULL AND {' AND '.join(f'{n} IS NOT NULL' for n in FACTOR_NAMES)}
+), {orthogonal("series", FACTOR_NAMES, ("z", "y"), "i", "")},
+fit AS (SELECT sum(z * y) / sum(z * z) AS alpha, sum(z * z) AS zz FROM done),
+u AS (SELECT i, z * (y - alpha * z) AS u FROM done, fit),
+v AS (SELECT sum(p.u * q.u * (1 - abs(p.i - q.i) / 6.0::DOUBLE)) AS s FROM u p JOIN u q ON abs(p.i - q.i) <= 5)
+SELECT round(alpha, 5) AS alpha, round(sqrt(s) / zz, 5) AS error, round(alpha / (sqrt(s) / zz), 5) AS t FROM fit, v""",
+    "four_trait_neutral": f"""
+WITH {CHARACTERISTICS}, given AS (
+  SELECT t.month, t.symbol, ln(m.score) AS y, size, value, mom, str FROM traits t JOIN monthly m ON m.month = t.month AND m.symbol = t.symbol
+  WHERE m.score IS NOT NULL AND size IS NOT NULL AND value IS NOT NULL AND mom IS NOT NULL AND str IS NOT NULL
+), centred AS (
+  SELECT month, symbol, count(*) OVER (PARTITION BY month) AS n, {', '.join(f'{c} - avg({c}) OVER (PARTITION BY month) AS {c}' for c in ("y", *TRAIT_NAMES))} FROM given
+), {orthogonal("centred", TRAIT_NAMES, ("y",), "month, symbol, n", "PARTITION BY month")}
+SELECT month, symbol, CASE WHEN n <= 5 THEN 0.0 ELSE round(y, 4) + 0.0 END AS score FROM done""",
     "hac_alpha": f"""
 WITH {DAILY}, t AS (SELECT date, mkt_rf AS x, ret AS y, row_number() OVER (ORDER BY date) AS i FROM a JOIN b USING (date)),
 s AS (SELECT count(*) AS n, sum(x) AS sx, sum(x * x) AS sxx, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM t),

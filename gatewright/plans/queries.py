@@ -16,6 +16,7 @@ from gatewright.operators.asof import scores_as_of, universe_by_date
 from gatewright.operators.audit import gap_rows, twin_audit
 from gatewright.operators.documents import archive_url, first_per, with_gap, with_previous
 from gatewright.operators.lazy_prices import build, diagnostics, flagged, score_filings
+from gatewright.operators import traits as stock_traits
 from gatewright.operators.signals import cosine_distance, novelty, tone
 from gatewright.plans import gates, holdings
 from gatewright.plans.ledger import GENESIS, link_check, trial_counts
@@ -409,7 +410,7 @@ def verdict_give_up(spark, sf_dir):
 
 def monthly(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("symbol"), F.trunc("l_shipdate", "month").alias("month")).agg(
-        F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("px"), F.sum("l_extendedprice").alias("dollars"), F.sum("l_quantity").alias("volume")
+        F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("px"), F.sum("l_extendedprice").alias("dollars"), F.sum("l_quantity").alias("volume"), F.avg("l_discount").alias("discount")
     )
     w = Window.partitionBy("symbol").orderBy("month")
     return rows.withColumn("ret", F.col("px") / F.lag("px").over(w) - 1).withColumn("score", F.lag("dollars").over(w))
@@ -507,6 +508,49 @@ def neutral_residuals(spark, sf_dir):
     return out.withColumn("score", F.round("score", 5) + 0.0)
 
 
+def characteristics(spark, sf_dir) -> DataFrame:
+    """Traits of suppliers by month with the return of the next row: account balances are book equity from 1995 on, discounts stand for profits, growing quantities for investment."""
+    m = monthly(spark, sf_dir)
+    book = table(spark, sf_dir, "supplier").select(F.lit("1995-01-01").cast("date").alias("month"), F.col("s_suppkey").cast("string").alias("symbol"), F.col("s_acctbal").alias("equity"))
+    own = stock_traits.traits(m.select("month", "symbol", "px", F.col("volume").alias("shares"), "ret"), book)
+    w = Window.partitionBy("symbol").orderBy("month")
+    more = m.select("month", "symbol", F.lead("ret").over(w).alias("ret"), "discount", (1 - F.col("volume") / F.lag("volume").over(w)).alias("restraint"))
+    return own.join(more, ["month", "symbol"])
+
+
+def seven_factors(spark, sf_dir) -> DataFrame:
+    legs = {"hml": "value", "rmw": "discount", "cma": "restraint", "mom": "mom", "str": "str"}
+    return stock_traits.built_factors(characteristics(spark, sf_dir), legs, "value")
+
+
+@query
+def stock_traits_by_month(spark, sf_dir):
+    return rounded(characteristics(spark, sf_dir).select("month", "symbol", "size", "value", "mom", "str"), "size", "value", "mom", "str", digits=5)
+
+
+@query
+def factor_legs(spark, sf_dir):
+    names = ("mkt", "smb", "hml", "rmw", "cma", "mom", "str")
+    return rounded(seven_factors(spark, sf_dir).select("month", *names), *names)
+
+
+@query
+def seven_factor_alpha(spark, sf_dir):
+    """The monthly alpha of the raw spread over market, size, value, profits, investment, momentum and reversal, all built here."""
+    names = ["mkt", "smb", "hml", "rmw", "cma", "mom", "str"]
+    months = seven_factors(spark, sf_dir).withColumn("month", F.add_months("month", 1))
+    series = gates.long_short(*ranked_months(spark, sf_dir)).join(months, "month")
+    values = gates.hac_regression(series, "vw", names, lags=5, date="month")["alpha"]
+    return spark.createDataFrame([tuple(round(x, 5) for x in values)], "alpha double, error double, t double")
+
+
+@query
+def four_trait_neutral(spark, sf_dir):
+    m = monthly(spark, sf_dir).where("score IS NOT NULL").select("month", "symbol", F.log("score").alias("score"))
+    given = m.join(characteristics(spark, sf_dir).select("month", "symbol", "size", "value", "mom", "str"), ["month", "symbol"])
+    return gates.neutralised(given, ["size", "value", "mom", "str"]).withColumn("score", F.round("score", 4) + 0.0)
+
+
 # Further signals.
 
 
