@@ -150,3 +150,39 @@ def test_signals(spark):
     assert {r.a: (r.n_sentences, r.n_new, r.novel_share) for r in novelty(pairs, texts, "id", "text").collect()} == {2: (2, 1, 0.5), 3: (0, 0, None)}
     v = spark.createDataFrame([([1.0, 0.0], [0.0, 2.0], [0.0, 0.0])], "a array<double>, b array<double>, c array<double>")
     assert v.select(cosine_distance(F.col("a"), F.col("b")), cosine_distance(F.col("a"), F.col("a")), cosine_distance(F.col("a"), F.col("c"))).first()[:] == (1.0, 0.0, None)
+
+
+def test_a_text_with_100000_headings_takes_linear_time(spark):
+    """Headings in turn, the longest section last but one; two sections over one pass of marks."""
+    import time
+
+    text = "Item 7. a\nItem 8. b\n" * 50_000 + f"Item 7. last\n{LONG}\nItem 8\nItem 7"
+    bodies(spark, "warm")
+    began = time.perf_counter()
+    r = bodies(spark, text, ("item_1a", "item_7"))
+    assert time.perf_counter() - began < 2
+    assert r.body == f"last\n{LONG.strip()}" and r.section_failed and "item_1a" in r.failure_reason
+
+
+def test_sections_equal_a_plain_search(spark):
+    """Every end with its nearest start, over texts of random headings and fillings."""
+    import random
+    import re
+
+    r = random.Random(3)
+    parts = ["Item 7", "Item 7A.", "item 8 -", "ITEM 1A:", "Item 1B", "Item 2", "Item 20x", "see Item 7", "", "ü" * 40, "w" * 1200, " \titem 7 — y"]
+    texts = ["\n".join(r.choice(parts) for _ in range(r.randint(0, 14))) + r.choice(["", "\n"]) for _ in range(300)]
+
+    def plain(text, label, followers):
+        heads = lambda lab, tail: [(m.start(), m.end()) for m in re.finditer(rf"(?im)^[ \t]*item[ \t ]*{lab}{tail}", text)]
+        starts = [e for _, e in heads(label, r"[ \t]*[.:\-–—]?[ \t]*")]
+        ends = next((own for f in followers if (own := [s for s, _ in heads(f, "")])), [len(text)])
+        spans = [(e - max(s for s in starts if s < e), -e, max(s for s in starts if s < e)) for e in ends if any(s < e for s in starts)]
+        piece = text[max(spans)[2] : max(spans)[2] + max(spans)[0]].strip() if spans else ""
+        return piece if len(piece) >= MIN_SECTION_CHARS else ""
+
+    df = spark.createDataFrame([*enumerate(texts)], "i int, t string")
+    for name, label, followers in (("item_7", "7", ("7A", "8")), ("item_1a", "1A", ("1B", "1C", "2"))):
+        got = {x.i: x.body for x in extract_all(df, "t", (name,)).collect()}
+        want = {i: plain(t, label, followers) for i, t in enumerate(texts)}
+        assert got == want and sum(map(bool, want.values())) > 20
