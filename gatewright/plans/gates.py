@@ -6,7 +6,7 @@ import math
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatewright.operators.audit import audit
@@ -301,21 +301,29 @@ def pbo_splits(returns: DataFrame, blocks: int = 16) -> DataFrame:
     """(mask, config, oos_rank): for each split of the blocks in halves, the configuration best in sample and its relative rank out of sample.
 
     returns: (config, block, ret), block from 0. Only counts and sums of a block leave it; each
-    configuration becomes one row of `blocks` sums, on which the splits are expanded.
+    configuration becomes one row of them, on which the halves with the first block are expanded: what is
+    not in one is in its complement, so both splits come from one row. A rank is the share of the other
+    configurations that are below (one without a ratio is below all), counted, not sorted.
     """
     sums = returns.groupBy("config", "block").agg(F.count("ret").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"))
-    rows = sums.groupBy("config").agg(F.sort_array(F.collect_list(F.struct("block", "n", "s", "q"))).alias("b"))
-    masks = rows.withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit(2**blocks - 1)))).where(F.bit_count("mask") == blocks // 2)
-
-    def ratio(inside: int):
-        zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
-        chosen = F.filter("b", lambda x: F.call_function("shiftright", F.col("mask"), x["block"].cast("int")).bitwiseAND(F.lit(1)) == inside)
-        total = F.aggregate(chosen, zero, lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), (a["s"] + x["s"]).alias("s"), (a["q"] + x["q"]).alias("q")))
-        return F.transform(F.array(total), lambda t: F.try_divide(t["s"] / t["n"], F.sqrt(F.greatest((t["q"] - t["s"] * t["s"] / t["n"]) / (t["n"] - 1), F.lit(0.0)))))[0]
-
-    rated = masks.select("config", "mask", ratio(1).alias("inside"), ratio(0).alias("outside"))
-    ranked = rated.withColumn("oos_rank", F.percent_rank().over(Window.partitionBy("mask").orderBy("outside")))
-    return ranked.groupBy("mask").agg(F.max_by(F.struct("config", "oos_rank"), F.struct("inside", "config")).alias("w")).select("mask", "w.config", "w.oos_rank")
+    cells = {f"{c}{i}": F.coalesce(F.max(F.when(F.col("block") == i, F.col(c))), F.lit(0)) for c in "nsq" for i in range(blocks)}
+    wide = sums.groupBy("config").agg(*[v.alias(k) for k, v in cells.items()])
+    masks = F.filter(F.sequence(F.lit(1), F.lit(2**blocks - 1), F.lit(2)), lambda m: F.bit_count(m) == blocks // 2)
+    halves = wide.withColumn("mask", F.explode(masks))
+    own = {c: sum((F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, F.col(f"{c}{i}")).otherwise(0) for i in range(1, blocks)), F.col(f"{c}0")) for c in "nsq"}
+    split = halves.select("config", "mask", *[own[c].alias(c) for c in "nsq"], *[sum((F.col(f"{c}{i}") for i in range(1, blocks)), F.col(f"{c}0")).alias(f"all_{c}") for c in "nsq"])
+
+    def ratio(n: Column, s: Column, q: Column) -> Column:
+        return F.try_divide(F.try_divide(s, n), F.sqrt(F.greatest(F.try_divide(q - F.try_divide(s * s, n), n - 1), F.lit(0.0))))
+
+    there, rest = (F.col(c) for c in "nsq"), (F.col(f"all_{c}") - F.col(c) for c in "nsq")
+    rated = split.select("config", "mask", ratio(*there).alias("here"), ratio(*rest).alias("there"))
+    best = lambda a, b: F.max_by(F.struct("config", F.col(b).alias("out")), F.struct(a, "config"))
+    won = rated.groupBy("mask").agg(best("here", "there").alias("w0"), best("there", "here").alias("w1"))
+    below = lambda c, w: F.count_if((F.col(c) < F.col(f"{w}.out")) | (F.col(c).isNull() & F.col(f"{w}.out").isNotNull()))
+    ranks = rated.join(won, "mask").groupBy("mask", "w0", "w1").agg(F.count(F.lit(1)).alias("n"), below("there", "w0").alias("r0"), below("here", "w1").alias("r1"))
+    placed = lambda mask, w, r: F.struct(mask.cast("int").alias("mask"), F.col(f"{w}.config").alias("config"), F.when(F.col("n") > 1, F.col(r) / (F.col("n") - 1)).otherwise(0.0).alias("oos_rank"))
+    return ranks.select(F.explode(F.array(placed(F.col("mask"), "w0", "r0"), placed(F.lit(2**blocks - 1) - F.col("mask"), "w1", "r1"))).alias("r")).select("r.*")
 
 
 def pbo(splits: DataFrame) -> DataFrame:
