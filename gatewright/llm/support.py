@@ -13,7 +13,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from gatewright.session import in_arrow
 
@@ -88,19 +87,28 @@ def send(sets, parts: int):
         yield flush()
 
 
-def _received(batches):
-    """(sid, shared) of each part; the rows of a part stand one behind the other."""
+def _dealt(sid: np.ndarray, count: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Counts of sets, packed by range of the sid."""
+    order = np.argsort(sid.view(np.uint64), kind="stable")
+    rows = np.empty(len(sid), ROW)
+    rows["hash"], rows["sid"] = count[order], sid[order]
+    cut = np.searchsorted(rows["sid"].view(np.uint64) >> np.uint64(32), (np.arange(parts + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts))
+    some = np.flatnonzero(np.diff(cut))
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([rows[cut[p] : cut[p + 1]].tobytes() for p in some.tolist()], pa.binary())], ["part", "rows"])
+
+
+def _received(batches, parts: int):
+    """Of rows by range of the hash, one range behind the other: how many hashes of a set others have, by range of the sid."""
     held, part = [], None
 
     def ended():
-        sid, count = _told(np.frombuffer(b"".join(held), ROW))
-        return pa.RecordBatch.from_arrays([pa.array(sid), pa.array(count.astype(np.int64))], ["sid", "shared"])
+        return _dealt(*_told(np.frombuffer(b"".join(held), ROW)), parts)
 
     for batch in batches:
         for p, told, blob in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("part", "told", "rows"))):
             if told:
                 rows = np.frombuffer(blob, ROW)
-                yield pa.RecordBatch.from_arrays([pa.array(rows["sid"].copy()), pa.array(rows["hash"].astype(np.int64))], ["sid", "shared"])
+                yield _dealt(rows["sid"].copy(), rows["hash"], parts)
                 continue
             if held and p != part:
                 yield ended()
@@ -111,6 +119,26 @@ def _received(batches):
         yield ended()
 
 
+def _summed(batches):
+    """(sid, shared) of rows by range of the sid, one range behind the other."""
+    held, part = [], None
+
+    def ended():
+        rows = np.frombuffer(b"".join(held), ROW)
+        sid, own = np.unique(rows["sid"], return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(sid), pa.array(np.bincount(own, rows["hash"]).astype(np.int64))], ["sid", "shared"])
+
+    for batch in batches:
+        for p, blob in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("part", "rows"))):
+            if held and p != part:
+                yield ended()
+                held = []
+            part = p
+            held.append(blob)
+    if held:
+        yield ended()
+
+
 def shared_members(docs: DataFrame, sets_of, total: int) -> DataFrame:
     """(sid, shared): at least as many of each set's counted members as other sets have; sets that share none are left out.
 
@@ -120,4 +148,5 @@ def shared_members(docs: DataFrame, sets_of, total: int) -> DataFrame:
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE))
     dealt = in_arrow(docs, lambda it: send(sets_of(it), parts), "part int, told boolean, rows binary")
     grouped = dealt.repartitionById(parts, "part").sortWithinPartitions("part")
-    return in_arrow(grouped, _received, "sid long, shared long").groupBy("sid").agg(F.sum("shared").alias("shared"))
+    counts = in_arrow(grouped, lambda it: _received(it, parts), "part int, rows binary")
+    return in_arrow(counts.repartitionById(parts, "part").sortWithinPartitions("part"), _summed, "sid long, shared long")
