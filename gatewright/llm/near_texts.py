@@ -15,9 +15,9 @@ its bucket, or of all components that buckets connect (a region) if that is less
 its sets have in common by products of incidence matrices and gives on only links that join
 components: no candidate is left out, and no table holds the pairs of a group.
 
-The first EARLY blocks of the fingerprint are judged before the others are met. A large group is found
+Blocks of the fingerprint are judged in ROUNDS, few at first. A large group is found
 by any few of them: then texts of one component, or of one region that was judged whole, need not meet
-in the other blocks, and a text costs the buckets of EARLY blocks, not of all. A region is judged
+in the other blocks, and a text costs the buckets of few blocks, not of all. A region is judged
 whole if that costs no more than its buckets would, over all blocks at the rate of those met.
 
 What a step has written is deleted with the step; only the groups stay.
@@ -28,7 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatewright.llm.block_balls import BLOCKS, fingerprint, meetings
@@ -41,8 +41,8 @@ from gatewright.session import in_arrow
 WIDTH = 5
 #: A block of a bucket has some BLOCK sets or SHINGLES shingles; a row PIECE of them, an incidence matrix COLUMNS.
 BLOCK, SHINGLES, PIECE, COLUMNS = 512, 1_000_000, 2048, 8192
-#: Blocks of the fingerprint that are judged first; to move a set into a bucket counts as so many pairs judged.
-EARLY, MOVE = 2, 16
+#: Blocks of the fingerprint that are met and judged before the next ones are; to move a set into a bucket counts as so many pairs judged.
+ROUNDS, MOVE = (2, 8, BLOCKS), 16
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -213,7 +213,8 @@ def _judged(met: DataFrame, sets: DataFrame, known: DataFrame, rate: float) -> t
     """roots (node, root) after the buckets met (key, sid, n, size), before which they were known, and regions (sid, region) of which all pairs were judged."""
     links = known.select(F.col("node").alias("a"), F.col("root").alias("b"))
     met = durable(_rooted(met, known))
-    weighed = skew_join(met.select("sid", "n", "root", "key"), met.groupBy("sid").agg(F.sum("size").alias("meets")), ["sid"])
+    # A set is in some buckets of each block, so a window of one set is small.
+    weighed = met.select("sid", "n", "root", "key", F.sum("size").over(Window.partitionBy("sid")).alias("meets"))
     hubs = weighed.groupBy("key").agg(F.max(F.struct("meets", "sid", "n", "root")).alias("hub")).select("key", "hub")
     held = skew_join(weighed.select(F.col("sid").alias("a"), "n", "root", "key"), hubs, ["key"]).where((F.col("root") != F.col("hub.root")) & _can("n", "hub.n"))
     to_hub = durable(held.select("a", F.struct("hub.meets", "hub.sid").alias("hub")).distinct())
@@ -255,7 +256,7 @@ def alike_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         sets = sets.drop("print")
 
         roots, labels, before = spark.createDataFrame([], "node long, root long"), None, Scratch(spark)
-        for low, high in ((0, EARLY), (EARLY, BLOCKS)):
+        for low, high in zip((0, *ROUNDS), ROUNDS):
             after = Scratch(spark)
             with scratch(spark):
                 met = durable(skew_join(between(low, high, labels), able, ["sid"]))
