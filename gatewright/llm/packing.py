@@ -2,11 +2,11 @@
 
 Each task reads its documents, encodes them and packs as it goes, so nothing is shuffled and
 memory is bounded by a buffer. Whole windows of the longest context leave at once. What is left
-of a document waits in one pool. The longest piece opens a window of its tier (a power of two),
-at the end of a task one of the longest context; gaps are filled with the longest pieces that
-fit, and at last with the head of a cut piece. So most windows are of the longest context. Windows
-are then dealt to step groups of equal token count so that attention work (the sum of squared
-lengths) is even.
+of a document is routed to a tier: the least power of two that holds it. Each tier is packed into
+windows of its size, the longest tier first: its longest piece opens a window, the gap is filled with the
+longest pieces of shorter tiers that fit, and at last with the head of a piece that is cut, whose rest is
+routed anew. Windows of a tier are then dealt to step groups of equal token count so that attention
+work (the sum of squared lengths) is even.
 """
 
 from __future__ import annotations
@@ -75,55 +75,91 @@ class Packer:
     def __init__(self, window: int, smallest: int, buffer: int, step_tokens: int, first_id: int):
         self.window, self.smallest, self.buffer, self.step_tokens = window, smallest, buffer, step_tokens
         self.next_sequence = self.next_group = first_id
-        self.held, self.pool, self.ready = 0, [], []  # pool: (length, order, document, start, ids), by length
-        self.order = 0
+        self.held, self.waiting, self.order, self.ready = 0, 0, 0, []
+        #: Tier: its pieces (length, order, document, start, ids), by length.
+        self.tiers: dict[int, list] = {}
+        size = window
+        while size >= smallest:
+            self.tiers[size] = []
+            size //= 2
 
     def add(self, document, ids: np.ndarray) -> None:
         whole = len(ids) - len(ids) % self.window
         for i in range(0, whole, self.window):
             self.ready.append((self.window, [(document, i, ids[i : i + self.window])]))
-        if whole < len(ids):
-            self._hold(document, whole, ids[whole:])
+        self._route(document, whole, ids[whole:])
         self.held += len(ids)
 
-    def _hold(self, document, start: int, ids: np.ndarray) -> None:
-        self.order += 1
-        insort(self.pool, (len(ids), self.order, document, start, ids))
-
-    def _fill(self, pieces: list, gap: int) -> int:
-        """Fill a window's gap from the pool; the gap that is left, 0 unless the pool is empty."""
-        while gap and self.pool:
-            at = bisect_right(self.pool, (gap, float("inf"))) - 1
-            if at >= 0:
-                _, _, document, start, ids = self.pool.pop(at)
-            else:  # none fits: cut the shortest
-                _, _, document, start, ids = self.pool.pop(0)
-                self._hold(document, start + gap, ids[gap:])
-                ids = ids[:gap]
-            pieces.append((document, start, ids))
-            gap -= len(ids)
-        return gap
-
     def _tier(self, length: int) -> int:
         return max(self.smallest, 1 << (length - 1).bit_length())
 
+    def _route(self, document, start: int, ids: np.ndarray) -> None:
+        if len(ids):
+            self.order += 1
+            self.waiting += 1
+            insort(self.tiers[self._tier(len(ids))], (len(ids), self.order, document, start, ids))
+
+    def _take(self, tier: int, at: int, gap: int) -> tuple:
+        """A piece of a tier, or its head where it is longer than the gap."""
+        _, _, document, start, ids = self.tiers[tier].pop(at)
+        self.waiting -= 1
+        self._route(document, start + gap, ids[gap:])
+        return document, start, ids[:gap]
+
+    def _filler(self, tier: int, gap: int) -> tuple | None:
+        """The longest piece of shorter tiers that fits, or the head of the shortest one, or of the shortest of the tier itself."""
+        size = min(tier // 2, self._tier(gap))
+        while size >= self.smallest:
+            if (at := bisect_right(self.tiers[size], (gap, float("inf"))) - 1) >= 0:
+                return self._take(size, at, gap)
+            size //= 2
+        size = self.smallest
+        while size <= tier:
+            if self.tiers[size]:
+                return self._take(size, 0, gap)
+            size *= 2
+        return None
+
+    def _opened(self, tier: int) -> tuple[list, int]:
+        """A window of a tier: its pieces, and the gap that is left when nothing waits any more."""
+        pieces = [self._take(tier, -1, tier)]
+        gap = tier - len(pieces[0][2])
+        while gap and (piece := self._filler(tier, gap)) is not None:
+            pieces.append(piece)
+            gap -= len(piece[2])
+        return pieces, gap
+
+    def _last(self, pieces: list) -> None:
+        """What remains at the end of a task goes to full windows of powers of two, and one of fewer than `smallest` ids."""
+        left = sum(len(p[2]) for p in pieces)
+        while left:
+            size = min(left, max(self.smallest, 1 << (left.bit_length() - 1)))
+            left, own = left - size, []
+            while size:
+                document, start, ids = pieces.pop(0)
+                if len(ids) > size:
+                    pieces.insert(0, (document, start + size, ids[size:]))
+                own.append((document, start, ids[:size]))
+                size -= len(own[-1][2])
+            self.ready.append((self._tier(sum(len(x[2]) for x in own)), own))
+
     def full(self) -> bool:
         return self.held >= self.buffer
 
     def flush(self, last: bool = False):
         """Windows as (sequence, group, tier, pieces); without `last`, pieces of the shorter tiers may stay for later gaps."""
-        short = self.window // 2
-        while self.pool and (last or self.pool[-1][0] > short or len(self.pool) > self.buffer // 256):
-            tier = self.window
-            if last:
-                left = sum(p[0] for p in self.pool)
-                if left < self.window:  # what remains goes to windows of powers of two, the last of them padded
-                    tier = max(self.smallest, 1 << (left.bit_length() - 1))
-            else:
-                tier = self._tier(self.pool[-1][0])
-            pieces: list = []
-            self._fill(pieces, tier)
-            self.ready.append((tier, pieces))
+        reserve = 0 if last else self.buffer // 256
+        for tier, queue in self.tiers.items():
+            while queue and (tier == self.window or self.waiting > reserve):
+                pieces, gap = self._opened(tier)
+                if not gap:
+                    self.ready.append((tier, pieces))
+                elif last:
+                    self._last(pieces)
+                else:
+                    for piece in pieces:
+                        self._route(*piece)
+                    break
         out = []
         for tier in sorted({t for t, _ in self.ready}, reverse=True):
             own = sorted((p for t, p in self.ready if t == tier), key=lambda p: -sum(len(x[2]) ** 2 for x in p))
@@ -137,7 +173,7 @@ class Packer:
                 self.next_sequence += 1
                 if room > 1:
                     heappush(groups, (work + sum(len(x[2]) ** 2 for x in pieces), group, room - 1))
-        self.held, self.ready = sum(p[0] for p in self.pool), []
+        self.held, self.ready = sum(p[0] for queue in self.tiers.values() for p in queue), []
         return out
 
 
