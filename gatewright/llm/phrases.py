@@ -145,37 +145,38 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _bucket_of(did: np.ndarray, th: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The range of each row. A did that is a bound several times, since it has many rows, is split by th; the order stays did, th."""
-    low, high = np.searchsorted(bounds, did, "left"), np.searchsorted(bounds, did, "right")
-    share = ((th.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)).astype(np.float64) / 2**32
-    return np.where(high > low, low + 1 + np.floor(share * (high - low)).astype(np.int64), high)
-
-
-def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("did", "th"))
-
-
-def _dealt(batches, bounds: np.ndarray, guests: dict[tuple[int, int], int], first: tuple[int, int], last: int):
-    """Rows with their bucket; one first row of a bucket also goes to the one before it, as a guest (1), the very first to the last (2)."""
+def _bucket_of(did: np.ndarray, th: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """The last of the ranges, given by their first keys (did, th) in order, that begins at a key or before it."""
+    low, high = np.searchsorted(firsts[0], did, "left"), np.searchsorted(firsts[0], did, "right")
+    out = low - 1
+    one = np.flatnonzero(high - low == 1)
+    out[one] += th[one] >= firsts[1][low[one]]
+    for i in np.unique(low[high - low > 1]).tolist():  # ids with several ranges
+        own = np.flatnonzero((low == i) & (high - low > 1))
+        out[own] += np.searchsorted(firsts[1][i : high[own[0]]], th[own], "right")
+    return np.maximum(out, 0)
+
+
+def _dealt(batches, shared):
+    """Rows with their bucket; a first row of a bucket also goes to the one before it, as a guest (1), the very first to the last (2)."""
+    firsts = shared.value
     sent: set[tuple[int, int]] = set()  # of rows that are equal, each task sends one
     for batch in batches:
-        did, th = _columns(batch)
-        own = _bucket_of(did, th, bounds)
+        did, th = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("did", "th"))
+        own = _bucket_of(did, th, firsts)
+        leads = np.flatnonzero((did == firsts[0][own]) & (th == firsts[1][own]))
         take, bucket, guest = [np.arange(len(did))], [own], [np.zeros(len(did), np.int32)]
-        for i, key in enumerate(zip(did.tolist(), th.tolist())):
-            if key in guests and (key, 1) not in sent:
-                take.append([i]), bucket.append([guests[key]]), guest.append([1])
-                sent.add((key, 1))
-            if key == first and (key, 2) not in sent:
-                take.append([i]), bucket.append([last]), guest.append([2])
-                sent.add((key, 2))
+        for i in leads.tolist():
+            key = int(did[i]), int(th[i])
+            if key not in sent:
+                sent.add(key)
+                take.append([i]), bucket.append([own[i] - 1 if own[i] else len(firsts[0]) - 1]), guest.append([1 if own[i] else 2])
         rows = batch.take(pa.array(np.concatenate(take).astype(np.int64)))
         yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.concatenate(bucket).astype(np.int64)), pa.array(np.concatenate(guest).astype(np.int32))], ["did", "th", "text", "bucket", "guest"])
 
 
 #: Bytes of text that are parsed in one pass, and that one task has in all.
-AT_ONCE, RANGE = 300_000, 16_000_000
+AT_ONCE, RANGE = 300_000, 64_000_000
 
 
 def _fingerprints(batches, with_text: bool):
@@ -218,30 +219,19 @@ def fingerprint_documents(docs: DataFrame, buckets: int | None = None, with_text
     of a doc_id follow each other by their texts' hashes. A null text is empty; the likeness of
     two empty texts is 1, of an empty and another 0. Extra columns are ignored.
 
-    Rows are dealt to ranges of at most some RANGE bytes of text, by doc_id and, where one doc_id has
-    more than a range, by the hash of the text. Each text moves once; the first row of a range is
-    also sent to the range before it, as that one's last next. The driver holds the bounds: some
-    hundred bytes a range. Jobs that find them run when this is called.
+    Rows are dealt to ranges of some RANGE bytes of text, by doc_id and hash of the text; keys alone are ordered
+    first, to find where ranges begin. Each text moves once; the first row of a range is also sent to the range
+    before it, as that one's last next. What the driver sends to tasks is the first key of each range, 16 bytes
+    for every RANGE of text (25 MB for 100 TB). Jobs that find them run when this is called.
     """
     base, spark = keyed(docs), docs.sparkSession
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE))
-    shares = [i / n for i in range(1, n)]
-    found = base.approxQuantile("did", shares, 0.2 / n) if shares else []
-    bounds = np.array(sorted(min(int(x), 2**63 - 1) for x in found), np.int64)
-    ids = in_arrow(base.select("did", "th"), lambda it: _buckets(it, bounds), "bucket long, did long, th long")
-    least = {r.bucket: (r.r.did, r.r.th) for r in ids.groupBy("bucket").agg(F.min(F.struct("did", "th")).alias("r")).collect()}  # one row a bucket
-    order = sorted(least)
-    guests = {least[b]: a for a, b in zip(order, order[1:])}
-    first, last = (least[order[0]], order[-1]) if order else ((0, 0), 0)
-    dealt = in_arrow(base, lambda it: _dealt(it, bounds, guests, first, last), "did long, th long, text string, bucket long, guest int")
+    ranges = base.select("did", "th").repartitionByRange(n, "did", "th").groupBy(F.spark_partition_id().alias("i")).agg(F.min(F.struct("did", "th")).alias("r"))
+    first = sorted((r.r.did, r.r.th) for r in ranges.collect())  # one row a range
+    shared = spark.sparkContext.broadcast(np.array(first, np.int64).reshape(-1, 2).T.copy())
+    dealt = in_arrow(base, lambda it: _dealt(it, shared), "did long, th long, text string, bucket long, guest int")
     sorted_rows = dealt.repartitionById(n, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "guest", "did", "th")
     schema = "did long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     out = in_arrow(sorted_rows, lambda it: _fingerprints(it, with_text), schema + ", edited string" * with_text)
     return out.select(public_id().alias("doc_id"), *[c for c in out.columns if c != "did"])
-
-
-def _buckets(batches, bounds: np.ndarray):
-    for batch in batches:
-        did, th = _columns(batch)
-        yield pa.RecordBatch.from_arrays([pa.array(_bucket_of(did, th, bounds)), batch.column(0), batch.column(1)], ["bucket", "did", "th"])
