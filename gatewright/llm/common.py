@@ -146,10 +146,3 @@ def skew_join(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     altered = [F.col(c).bitwiseXOR(F.lit(1)).alias(f"_{c}") for c in on]
     mine, theirs = rows.select("*", *altered), keys.select(*[c for c in keys.columns if c not in on], *altered)
     return mine.join(theirs, [f"_{c}" for c in on]).drop(*[f"_{c}" for c in on])
-
-
-def shared_elsewhere(found: DataFrame) -> DataFrame:
-    """Of (did, h1, h2): those whose digest a smaller did holds too, each once a did."""
-    keepers = found.groupBy("h1", "h2").agg(F.min("did").alias("keeper"), F.max("did").alias("other"))
-    shared = keepers.where("keeper < other").select("h1", "h2", "keeper")
-    return skew_join(found, shared, ["h1", "h2"]).where("did > keeper").select("did", "h1", "h2")

@@ -87,7 +87,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substring_dedup(table(spark, sf_dir, "documents"))
+    out = substring_dedup(table(spark, sf_dir, "documents"), by_text=True)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.llm.cdc import least_cuts
-from gatewright.llm.common import ints, keyed, public_id, rows, shared_elsewhere
+from gatewright.llm.common import NULL_ID, ints, keyed, public_id, rows, skew_join
 from gatewright.session import in_arrow
 
 #: Bytes on either side of a cut among which its hash is least: chunks of 49 bytes on average.
@@ -43,15 +43,14 @@ def _as_longs(digests: list[bytes]) -> list[np.ndarray]:
 
 
 def _digests(batches, radius: int):
-    """(did, h1, h2), each digest once a row; chunks no longer than the radius are too common to tell anything."""
+    """(did, holder, th, h1, h2), each digest once a row; chunks no longer than the radius are too common to tell anything."""
+    names = ("did", "holder", "th")
     for batch in batches:
         for part, texts in rows(batch):
-            did, digests = [], []
-            for d, (ends, own) in zip(ints(part, "did"), chunk_digests(texts, radius)):
-                own = {h for h, i, j in zip(own, [0, *ends], ends) if j - i > radius}
-                did += [d] * len(own)
-                digests += own
-            yield pa.RecordBatch.from_arrays([pa.array(did, pa.int64()), *map(pa.array, _as_longs(digests))], ["did", "h1", "h2"])
+            sets = [{h for h, i, j in zip(own, [0, *ends], ends) if j - i > radius} for ends, own in chunk_digests(texts, radius)]
+            which = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            keys = [part.column(part.schema.get_field_index(c)).take(pa.array(which)) for c in names]
+            yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, _as_longs([h for s in sets for h in s]))], [*names, "h1", "h2"])
 
 
 def kept_ranges(text: bytes, ends: list[int], digests: list[bytes], shared: set[bytes], radius: int, shortest: int, fewest: int) -> list[tuple[int, int]]:
@@ -107,17 +106,28 @@ def _reassembled(batches, radius: int, shortest: int, fewest: int):
             )
 
 
-def substring_dedup(docs: DataFrame, radius: int = RADIUS, shortest: int = SHORTEST, fewest: int = FEWEST) -> DataFrame:
+def _held_before(found: DataFrame) -> DataFrame:
+    """Of (did, holder, th, h1, h2): the digests (did, th, h1, h2) that a smaller (did, holder) has too."""
+    whose = F.struct("did", "holder")
+    keepers = found.groupBy("h1", "h2").agg(F.min(whose).alias("keeper"), F.max(whose).alias("other"))
+    shared = keepers.where("keeper < other").select("h1", "h2", "keeper")
+    return skew_join(found, shared, ["h1", "h2"]).where(whose > F.col("keeper")).select("did", "th", "h1", "h2")
+
+
+def substring_dedup(docs: DataFrame, radius: int = RADIUS, shortest: int = SHORTEST, fewest: int = FEWEST, by_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_text of each row of docs (doc_id, text, ...), in UTF-8 bytes.
 
     A null or empty text stays empty. Repeated rows of one doc_id count as one holder of their
-    chunks, so all of them keep what that doc_id keeps; a null doc_id counts as the smallest.
-    A code point cut in two by a removed run is removed whole. Extra columns are ignored.
+    chunks, so all of them keep what that doc_id keeps; a null doc_id counts as the smallest. Rows without
+    an id are one holder as well, or, with by_text, one for each text, by the text's hash. A code point
+    cut in two by a removed run is removed whole. Extra columns are ignored. Digests go back to the texts
+    they are of, so no list has more of them than its text.
     """
     base = keyed(docs)
-    found = in_arrow(base.select("did", "text"), lambda it: _digests(it, radius), "did long, h1 long, h2 long")
-    drops = shared_elsewhere(found).groupBy("did").agg(F.collect_list(F.struct("h1", "h2")).alias("drop"))
-    out = base.select("did", "text").join(drops, "did", "left").mapInArrow(
+    holder = F.when((F.col("did") == NULL_ID) & F.lit(by_text), F.col("th")).otherwise(F.lit(0).cast("long"))
+    found = in_arrow(base.select("did", holder.alias("holder"), "th", "text"), lambda it: _digests(it, radius), "did long, holder long, th long, h1 long, h2 long")
+    drops = _held_before(found).groupBy("did", "th").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
+    out = base.join(drops, ["did", "th"], "left").mapInArrow(
         lambda it: _reassembled(it, radius, shortest, fewest), "did long, n_bytes long, n_removed long, n_spans long, kept_text string"
     )
     return out.select(public_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_text")

@@ -69,3 +69,33 @@ def test_substring_dedup_equals_the_definition(spark, seed):
     got = [(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_text) for x in substring_dedup(docs).collect()]
     want = list(plain(rows))
     assert sorted(map(str, got)) == sorted(map(str, want)) and sum(x[2] for x in want) > 1000
+
+
+def test_rows_without_ids_are_told_apart_by_their_texts(spark):
+    """Of texts without ids that share passages one keeps each; equal texts are one holder and keep what it keeps."""
+    r = random.Random(11)
+    prose = lambda n: " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8))) for _ in range(n))
+    shared = [prose(60) for _ in range(10)]
+    texts = [f"{prose(30)} {shared[i % 10]} {prose(30)}" for i in range(60)]
+    texts += texts[:5]
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(4, shared[0])], "doc_id long, text string").repartition(3)
+    assert sum(x.n_removed for x in substring_dedup(docs).where("doc_id IS NULL").collect()) == 0
+    got = substring_dedup(docs, by_text=True).collect()
+    whole = [x.kept_text for x in got if x.doc_id is None and x.n_removed == 0]
+    assert len(set(whole)) == 10 and all(sum(whole.count(t) for t in {w for w in whole if p in w}) >= 1 for p in shared)
+    assert len([x for x in got if x.n_removed > 200]) == len(texts) + 1 - len(whole)
+    assert [x.n_removed for x in got if x.doc_id == 4] > [200]
+
+
+def test_many_rows_of_one_id_have_lists_of_their_own(spark):
+    from gatewright.llm import substring_dedup as module
+
+    r = random.Random(12)
+    prose = lambda n: " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8))) for _ in range(n))
+    passages = [prose(60) for _ in range(40)]
+    docs = spark.createDataFrame([(1, p) for p in passages] + [(2, f"{prose(20)} {p}") for p in passages], "doc_id long, text string")
+    assert all(x.n_removed > 200 for x in module.substring_dedup(docs).where("doc_id = 2").collect())
+    base = module.keyed(docs)
+    found = module.in_arrow(base.selectExpr("did", "0L AS holder", "th", "text"), lambda it: module._digests(it, module.RADIUS), "did long, holder long, th long, h1 long, h2 long")
+    sizes = [x["count"] for x in module._held_before(found).groupBy("did", "th").count().collect()]
+    assert len(sizes) == 40 and max(sizes) < 30
