@@ -56,9 +56,13 @@ def expanding_idf(counts: DataFrame, years: DataFrame, key: str, min_docs: int =
     before = Window.orderBy("year").rowsBetween(Window.unboundedPreceding, -1)  # one row a year
     sizes = every.select("year", F.sum(F.coalesce("c", F.lit(0))).over(before).alias("n_docs")).where(F.col("n_docs") >= min_docs)
     # n is read so that this is the exchange of counts which the pairs use as well.
-    by_year = years.join(counts, key).groupBy("term", "year").agg(F.count_if(F.col("fits") & (F.col("n") > 0)).alias("df"))
-    earlier = Window.partitionBy("term").orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
-    known = by_year.select("term", "year", F.sum("df").over(earlier).alias("df")).where(F.col("df") >= min_df)
+    by_year = years.join(counts, key).groupBy("term", "year").agg(F.count_if(F.col("fits") & (F.col("n") > 0)).alias("df")).where("df > 0")
+    own = Window.partitionBy("term").orderBy("year")
+    # A sum holds from the year after its own to the next year that has the term, whether or not the years between have it.
+    summed = by_year.select("term", (F.col("year") + 1).alias("first"), F.lead("year").over(own).alias("next"), F.sum("df").over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("df"))
+    last = sizes.agg(F.max("year").alias("last")).where("last IS NOT NULL")  # one row
+    spans = summed.where(F.col("df") >= min_df).join(F.broadcast(last)).withColumn("until", F.least(F.coalesce("next", "last"), F.col("last"))).where("first <= until")
+    known = spans.select("term", "df", F.explode(F.sequence("first", "until")).alias("year"))
     return known.join(sizes, "year").select("year", "term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 

@@ -137,6 +137,13 @@ def factors(ff5: DataFrame, momentum: DataFrame) -> DataFrame:
 
 
 def former_tickers(tickers: DataFrame, names: DataFrame) -> DataFrame:
-    """tickers (ticker, date) with the cik that used the ticker on the date, by names (ticker, cik, valid_from, valid_to); null if none did."""
-    hit = (tickers["ticker"] == names["ticker"]) & (names["valid_from"] <= tickers["date"]) & (names["valid_to"].isNull() | (names["valid_to"] >= tickers["date"]))
-    return tickers.join(names, hit, "left").select(tickers["ticker"], tickers["date"], names["cik"])
+    """tickers (ticker, date) with the cik that used the ticker on the date, by names (ticker, cik, valid_from, valid_to); null if none did.
+
+    A row for each one asked, whatever its name's intervals: of several that hold on the date the one that
+    began last counts, of those the greatest cik. A ticker's intervals are one row, so dates meet them
+    by ticker alone, not by range.
+    """
+    spans = names.where("ticker IS NOT NULL").groupBy("ticker").agg(F.collect_list(F.struct("valid_from", "valid_to", "cik")).alias("spans"))
+    holds = F.filter("spans", lambda s: (s["valid_from"] <= F.col("date")) & (s["valid_to"].isNull() | (s["valid_to"] >= F.col("date"))))
+    last = F.array_max(F.transform(holds, lambda s: F.struct(s["valid_from"].alias("valid_from"), s["cik"].alias("cik"))))
+    return tickers.join(spans, "ticker", "left").select("ticker", "date", last["cik"].alias("cik"))

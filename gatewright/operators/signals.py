@@ -45,3 +45,31 @@ def cosine_distance(a: Column, b: Column) -> Column:
     """1 less the cosine of two arrays; null if either is null or nil."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.lit(1.0) - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+#: Entries of a hashed vector.
+WIDTH = 256
+
+
+def hashed_vectors(counts: DataFrame, key: str, weights: DataFrame | None = None, on: tuple[str, ...] = ("term",), width: int = WIDTH) -> DataFrame:
+    """(key, vector): documents as arrays of `width` entries, by signed feature hashing of their terms.
+
+    counts: (key, term, n, ...); weights: (on..., idf), by which counts are multiplied, 1 without. A term
+    without a weight is left out, a document without terms has no row. The MD5 of a term gives its entry and
+    its sign, so the dot product of two vectors is that of their terms, give or take collisions that cancel
+    on average. Entries are summed before they meet in a row, so a document moves as at most `width` numbers.
+    """
+    weighed = counts.withColumn("idf", F.lit(1.0)) if weights is None else counts.join(weights, list(on))
+    digest = F.md5("term")
+    entry = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % width).cast("int")
+    sign = F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") < 8, 1.0).otherwise(-1.0)
+    entries = weighed.select(key, entry.alias("entry"), (sign * F.col("n") * F.col("idf")).alias("v")).groupBy(key, "entry").agg(F.sum("v").alias("v"))
+    rows = entries.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("entry", "v"))).alias("m"))
+    return rows.select(key, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vector"))
+
+
+def vector_distances(pairs: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """pairs (a, b, ...) with distance: 1 less the cosine of their vectors; null if either has none."""
+    side = lambda c: vectors.select(F.col(key).alias(c), F.col("vector").alias(f"_{c}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.select(*pairs.columns, cosine_distance(F.col("_a"), F.col("_b")).alias("distance"))

@@ -9,8 +9,10 @@ from __future__ import annotations
 import argparse
 import json
 from collections.abc import Callable
+from functools import partial
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from gatewright.operators import panel
 from gatewright.operators.audit import twin_audit
 from gatewright.operators.documents import first_per
 from gatewright.plans.runlog import run
-from gatewright.session import session
+from gatewright.session import in_arrow, session
 from gatewright.sources import filings as src
 from gatewright.sources.market import read_parquet
 
@@ -54,24 +56,40 @@ def fetch_index(spark: SparkSession, resolved: DataFrame, get: Callable[[str], b
     return src.accepted_between(src.unpack(feed, forms), start, end), errors
 
 
-def fetch_pages(spark: SparkSession, index: DataFrame, store: DataFrame, get: Callable[[str], bytes], path: str, at_once: int = 100) -> dict[str, str]:
-    """Append the pages (accession, html) that the store lacks, some at a time, so that an interrupted build goes on where it stopped; the errors."""
-    wanted = src.with_url(first_per(index, "accession", "ticker")).join(src.not_stored(index, store), "accession", "left_semi").select("accession", "url")
-    held, errors = [], {}
+def _fetched(batches, get: Callable[[str], bytes], per_second: float):
+    """(accession, html, error) of rows (accession, url), at most per_second of them a second."""
+    pacer = src.Pacer(per_second)
+    for batch in batches:
+        for row in batch.to_pylist():
+            pacer.wait()
+            try:
+                html, error = get(row["url"]).decode("utf-8", "replace"), None
+            except Exception as e:  # noqa: BLE001  one page must not end the build
+                html, error = None, str(e) or type(e).__name__
+            yield pa.RecordBatch.from_pylist([{"accession": row["accession"], "html": html, "error": error}], schema=FETCHED)
 
-    def write() -> None:
-        if held:
-            spark.createDataFrame(held, schemas.PAGES).coalesce(1).write.mode("append").parquet(path)
-            held.clear()
 
-    for r in wanted.orderBy("accession").toLocalIterator():
-        try:
-            held.append((r.accession, get(r.url).decode("utf-8", "replace")))
-        except Exception as e:  # noqa: BLE001
-            errors[r.accession] = str(e)
-        if len(held) >= at_once:
-            write()
-    write()
+FETCHED = pa.schema([("accession", pa.string()), ("html", pa.string()), ("error", pa.string())])
+
+
+def fetch_pages(spark: SparkSession, index: DataFrame, store: DataFrame, get: Callable[[str], bytes], path: str, at_once: int = 100, tasks: int = 4, per_second: float = src.REQUESTS_PER_SECOND) -> dict[str, str]:
+    """Append the pages (accession, html) that the store lacks; the errors.
+
+    Tasks fetch, each at its share of per_second, which so holds for all of them; pages go from tasks to the
+    store and are never on the driver. get is sent to the tasks, so it has no pace of its own. Some at_once
+    pages a task are written at a time: a build that was interrupted goes on from what the store has.
+    """
+    wanted = src.with_url(first_per(index, "accession", "ticker")).join(src.not_stored(index, store), "accession", "left_semi").select("accession", "url")
+    wanted.write.mode("overwrite").parquet(f"{path}.wanted")  # the store grows while they are read
+    wanted, errors = spark.read.parquet(f"{path}.wanted"), {}
+    rounds = -(-wanted.count() // (at_once * tasks))
+    for k in range(rounds):
+        some = wanted.where(F.pmod(F.xxhash64("accession"), F.lit(rounds)) == k).repartition(tasks)
+        # A round is kept whole first, as it gives both pages and errors and must not be fetched twice.
+        in_arrow(some, partial(_fetched, get=get, per_second=per_second / tasks), "accession string, html string, error string").write.mode("overwrite").parquet(f"{path}.round")
+        got = spark.read.schema("accession string, html string, error string").parquet(f"{path}.round")
+        got.where("html IS NOT NULL").select("accession", "html").write.mode("append").parquet(path)
+        errors |= {r.accession: r.error for r in got.where("html IS NULL").select("accession", "error").collect()}
     return errors
 
 
@@ -90,7 +108,8 @@ def audit_index(index: DataFrame, prices: DataFrame) -> DataFrame:
     return twin_audit(documents, prices.select(F.col("date").alias("d")).distinct())
 
 
-def _build(spark: SparkSession, args, get: Callable[[str], bytes], record) -> None:
+def _build(spark: SparkSession, args, get: Callable[[str], bytes], page: Callable[[str], bytes], record) -> None:
+    """get asks for lists, on the driver; page, unpaced, for pages, in tasks."""
     lake, out = args.lake.rstrip("/"), args.out.rstrip("/")
     load = lambda name, schema: read_parquet(spark, f"{lake}/{name}.parquet", schema)
     top = panel.liquid_universe(
@@ -108,7 +127,7 @@ def _build(spark: SparkSession, args, get: Callable[[str], bytes], record) -> No
             store = read_parquet(spark, f"{out}/pages", schemas.PAGES)
         except src.SourceMissing:
             store = spark.createDataFrame([], schemas.PAGES)
-        missed = fetch_pages(spark, index, store, get, f"{out}/pages")
+        missed = fetch_pages(spark, index, store, page, f"{out}/pages")
         try:
             held = read_parquet(spark, f"{out}/texts", schemas.STORED_TEXTS)
         except src.SourceMissing:
@@ -126,6 +145,10 @@ def _build(spark: SparkSession, args, get: Callable[[str], bytes], record) -> No
     print(", ".join(f"{k} {v}" for k, v in src.index_summary(index).first().asDict().items()))
 
 
+def _page(url: str, agent: str) -> bytes:
+    return src.fetch(url, agent, src.Pacer(float("inf")))
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="gatewright.plans.corpus")
     p.add_argument("what", choices=("build", "audit"))
@@ -145,11 +168,12 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, get: Callable[[str], bytes] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = session("corpus")
+    page = get or partial(_page, agent=args.agent)
     pacer = src.Pacer()
     get = get or (lambda url: src.fetch(url, args.agent, pacer))
     with run(f"corpus-{args.what}", args.logs, **vars(args)) as record:
         if args.what == "build":
-            _build(spark, args, get, record)
+            _build(spark, args, get, page, record)
         else:
             text = pit_report(audit_index(read_parquet(spark, f"{args.out}/index", schemas.FILINGS), read_parquet(spark, f"{args.lake}/prices.parquet", schemas.PANEL)))
             target = Path(args.out) / "pit_check.md"

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatewright.operators.audit import audit
+from gatewright.plans.forest import isolation_forest
 from gatewright.plans.verdict import Context, Step
 
 MONTHS = 12
@@ -60,54 +61,6 @@ def integrity_rules(cells: DataFrame, stale_rows: int = 5, by: str = "symbol", o
     ).drop("ratio", "run")
 
 
-def isolation_forest(cells: DataFrame, features: list[str], key: list[str], trees: int = 50, sample: int = 256, seed: int = 11) -> DataFrame:
-    """(key, anomaly) in (0, 1]: isolation depth over seeded random trees; null features count as their median.
-
-    Trees are grown on the driver from at most trees * sample rows, those of smallest hash of
-    the key; all rows are scored, in Arrow batches.
-    """
-    x = cells.select(*key, *[F.col(f).cast("double").alias(f) for f in features])
-    drawn = x.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(trees * sample).select(*features).toPandas().to_numpy(float)
-    middle = np.nan_to_num(np.nanmedian(drawn, axis=0)) if len(drawn) else np.zeros(len(features))
-    drawn = np.where(np.isnan(drawn), middle, drawn)
-    rng = np.random.default_rng(seed)
-    size = max(2, min(sample, len(drawn)))
-    cap = math.ceil(math.log2(size))
-
-    def path(n: float) -> float:
-        return 0.0 if n <= 1 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
-
-    def grow(rows: np.ndarray, depth: int):
-        spread = np.ptp(rows, axis=0) if len(rows) else np.zeros(len(features))
-        if depth >= cap or len(rows) <= 1 or not spread.any():
-            return depth + path(len(rows))
-        f = int(rng.choice(np.flatnonzero(spread)))
-        at = float(rng.uniform(rows[:, f].min(), rows[:, f].max()))
-        low = rows[:, f] < at
-        return f, at, grow(rows[low], depth + 1), grow(rows[~low], depth + 1)
-
-    forest = [grow(drawn[i * size : (i + 1) * size], 0) for i in range(max(1, min(trees, len(drawn) // size)))]
-
-    def depth_of(node, rows: np.ndarray, out: np.ndarray, at: np.ndarray) -> None:
-        if isinstance(node, tuple):
-            low = rows[at, node[0]] < node[1]
-            depth_of(node[2], rows, out, at[low])
-            depth_of(node[3], rows, out, at[~low])
-        else:
-            out[at] += node
-
-    def score(batches):
-        for pdf in batches:
-            rows = pdf[features].to_numpy(float)
-            rows, depth = np.where(np.isnan(rows), middle, rows), np.zeros(len(pdf))
-            for tree in forest:
-                depth_of(tree, rows, depth, np.arange(len(pdf)))
-            yield pdf[key].assign(anomaly=2.0 ** (-depth / len(forest) / max(path(size), 1e-9)))
-
-    kinds = ", ".join(f"{k} {cells.schema[k].dataType.simpleString()}" for k in key)
-    return x.mapInPandas(score, f"{kinds}, anomaly double")
-
-
 def isolation_features(cells: DataFrame) -> DataFrame:
     """cells (symbol, month, ret, volume, px, shares) with move (|ret| over its deviation in the 21 rows before) and share_change."""
     w = Window.partitionBy("symbol").orderBy("month")

@@ -164,6 +164,18 @@ idf AS (
 SELECT p.a, p.b, (2012 + p.a % 10)::INTEGER AS year, round(CASE WHEN qa > 0 AND qb > 0 THEN coalesce(dot, 0) / (sqrt(qa) * sqrt(qb)) END, 6) AS score
 FROM pairs p LEFT JOIN sums s ON s.a = p.a AND s.b = p.b"""
 
+#: The cosines of a signal by the terms' weights in strictly earlier years, in place of those by counts.
+WEIGHED = """
+yr AS (SELECT accession AS doc_id, year(make_timestamp(s * 1000000)) AS year, NOT failed AS fits FROM rows),
+sizes AS (SELECT y.year, count(*) AS n FROM (SELECT DISTINCT year FROM yr) y JOIN yr d ON d.year < y.year AND d.fits GROUP BY 1 HAVING count(*) >= 50),
+base AS (SELECT term, year, count(*) AS c FROM counts JOIN yr USING (doc_id) WHERE fits GROUP BY ALL),
+idf AS (SELECT s.year, term, ln((1 + any_value(s.n)) / (1 + sum(c))) + 1 AS idf FROM sizes s JOIN base b ON b.year < s.year GROUP BY ALL HAVING sum(c) >= 5),
+sides AS (
+  SELECT a, b, year, term, max(CASE WHEN doc_id = a THEN n * idf END) AS wa, max(CASE WHEN doc_id = b THEN n * idf END) AS wb
+  FROM (SELECT p.a, p.b, y.year, unnest([a, b]) AS doc_id FROM pairs p JOIN yr y ON y.doc_id = p.a) JOIN counts USING (doc_id) JOIN idf USING (year, term) GROUP BY ALL
+), sums AS (SELECT a, b, sum(wa * wb) AS dot, sum(wa * wa) AS qa, sum(wb * wb) AS qb FROM sides GROUP BY ALL),
+scored AS (SELECT p.a, p.b, round(CASE WHEN qa > 0 AND qb > 0 THEN coalesce(dot, 0) / (sqrt(qa) * sqrt(qb)) END, 6) AS score FROM pairs p LEFT JOIN sums s ON s.a = p.a AND s.b = p.b)"""
+
 CHARACTERISTICS = f"""{MONTHLY}, numbered AS (SELECT *, year(month) * 12 + month(month) AS k FROM monthly),
 moved AS (
   SELECT month, symbol, px * volume AS cap, ret AS str, lead(ret) OVER r AS next, discount, 1 - volume / lag(volume) OVER r AS restraint,
@@ -204,6 +216,38 @@ def orthogonal(start: str, xs: tuple[str, ...], others: tuple[str, ...], keys: s
     return ",\n".join(steps)
 
 
+def forest_sql(cells: str, features: tuple[str, ...], key: tuple[str, ...], trees: int = 50, sample: int = 256, cap: int = 8, seed: int = 11) -> str:
+    """CTEs that draw rows for trees, grow these level by level and send all rows of `cells` (key, features) down each; the last is `anomalies` (key, anomaly)."""
+    keys, each = ", ".join(key), list(enumerate(features))
+    uniform = lambda h, start: f"('0x' || substr({h}, {start}, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+    at_feature = "CASE f " + " ".join(f"WHEN {i} THEN {c}" for i, c in each) + " END"
+    path = lambda n: f"CASE WHEN {n} <= 1 THEN 0.0 WHEN {n} <= 2 THEN 1.0 ELSE 2 * (ln({n} - 1) + 0.5772156649) - 2 * ({n} - 1) / {n}::DOUBLE END"
+    ctes = [
+        f"hashed AS (SELECT *, md5(concat_ws(':', '{seed}', {', '.join(f'{k}::VARCHAR' for k in key)})) AS h FROM {cells})",
+        f"placed AS (SELECT *, {uniform('h', 1)} AS place FROM hashed)",
+        f"turned AS (SELECT p.*, t::INTEGER AS tree, CASE WHEN place - t / {trees}.0::DOUBLE < 0 THEN place - t / {trees}.0::DOUBLE + 1 ELSE place - t / {trees}.0::DOUBLE END AS behind FROM placed p, range({trees}) r(t))",
+        f"drawn AS (SELECT * FROM turned QUALIFY row_number() OVER (PARTITION BY tree ORDER BY behind, h) <= {sample})",
+        f"middle AS (SELECT {', '.join(f'coalesce(median({c}), 0) AS m{i}' for i, c in each)} FROM drawn)",
+        f"filled AS (SELECT {keys}, {', '.join(f'coalesce({c}, m{i}) AS {c}' for i, c in each)} FROM placed, middle)",
+        f"level0 AS (SELECT d.tree, 1 AS node, {', '.join(f'coalesce({c}, m{i}) AS {c}' for i, c in each)} FROM drawn d, middle)",
+    ]
+    for d in range(cap + 1):
+        varied = f"list_filter([{', '.join(f'CASE WHEN max({c}) > min({c}) THEN {i} END' for i, c in each)}], lambda v: v IS NOT NULL)"
+        ctes.append(f"nodes{d} AS (SELECT tree, node, count(*) AS n, md5(tree || ':' || node) AS h, {varied} AS varied, {', '.join(f'min({c}) AS a{i}, max({c}) AS b{i}' for i, c in each)} FROM level{d} GROUP BY tree, node)")
+        ctes.append(f"picked{d} AS (SELECT *, CASE WHEN {d} < {cap} AND n > 1 AND len(varied) > 0 THEN varied[floor({uniform('h', 1)} * len(varied))::INTEGER + 1] END AS f FROM nodes{d})")
+        low, wide = ("CASE f " + " ".join(f"WHEN {i} THEN {e}" for i, e in ((i, e.format(i=i)) for i, _ in each)) + " END" for e in ("a{i}", "b{i} - a{i}"))
+        ctes.append(f"splits{d} AS (SELECT tree, node, f, {low} + {uniform('h', 14)} * ({wide}) AS at_value, CASE WHEN f IS NULL THEN {d} + {path('n')} END AS value FROM picked{d})")
+        if d < cap:
+            ctes.append(f"level{d + 1} AS (SELECT l.tree, l.node * 2 + ({at_feature} >= at_value)::INTEGER AS node, {', '.join(features)} FROM level{d} l JOIN splits{d} s ON s.tree = l.tree AND s.node = l.node WHERE f IS NOT NULL)")
+    ctes.append("grown AS (" + " UNION ALL ".join(f"SELECT * FROM splits{d}" for d in range(cap + 1)) + ")")
+    ctes.append(f"sent0 AS (SELECT t.tree, 1 AS node, {keys}, {', '.join(features)} FROM filled, (SELECT DISTINCT tree FROM grown) t)")
+    for d in range(cap):
+        ctes.append(f"sent{d + 1} AS (SELECT p.tree, CASE WHEN f IS NULL THEN p.node ELSE p.node * 2 + ({at_feature} >= at_value)::INTEGER END AS node, {keys}, {', '.join(features)} FROM sent{d} p JOIN grown s ON s.tree = p.tree AND s.node = p.node)")
+    ctes.append("largest AS (SELECT max(c) AS n FROM (SELECT count(*) AS c FROM drawn GROUP BY tree))")
+    ctes.append(f"anomalies AS (SELECT {keys}, 2.0 ** (-avg(value) / any_value({path('greatest(2, largest.n)')})) AS anomaly FROM sent{cap} p JOIN grown s ON s.tree = p.tree AND s.node = p.node, largest GROUP BY {keys})")
+    return ",\n".join(ctes)
+
+
 TRAIT_NAMES = ("size", "value", "mom", "str")
 
 ORACLES: dict[str, str] = {
@@ -229,6 +273,8 @@ SELECT o_orderkey, prev_o_orderkey, datesub('day', prev, o_orderdate)::BIGINT AS
     "signal_build": "WITH " + LAZY.replace("length(text) < 1000 AS failed FROM idx", f"{REASON} AS reason, reason <> '' AS failed FROM (SELECT *, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS body FROM idx)")
     .replace("CASE WHEN failed THEN 'short' ELSE '' END AS failure_reason", "reason AS failure_reason")
     + "SELECT ticker, accession, prev_accession, period_end, signal_date, score, extraction_failed, failure_reason, gap_days, gap_ok FROM built",
+    "tfidf_build": "WITH " + LAZY.replace(COSINES, WEIGHED).replace("length(text) < 1000 AS failed", "length(regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')) < 1000 AS failed")
+    + " SELECT ticker, accession, prev_accession, signal_date, score, extraction_failed, gap_ok FROM built",
     "lazy_usable": f"WITH {LAZY} SELECT ticker, accession, signal_date, score FROM built WHERE NOT extraction_failed AND gap_ok",
     "signal_diagnostics": f"""
 WITH {LAZY} SELECT count(*)::BIGINT AS n_filings, count(DISTINCT accession)::BIGINT AS n_documents, count(*) FILTER (WHERE prev_accession IS NULL)::BIGINT AS n_first_filing_no_prior,
@@ -301,6 +347,16 @@ QUALIFY row_number() OVER (PARTITION BY symbol, month ORDER BY signal_date DESC,
     "former_tickers": f"""
 WITH {MEMBERSHIP} SELECT c_custkey::VARCHAR AS ticker, DATE '1995-09-01' AS date, 'cik' || symbol AS cik FROM customer
 LEFT JOIN membership ON symbol = c_custkey::VARCHAR AND valid_from <= DATE '1995-09-01' AND (valid_to IS NULL OR valid_to >= DATE '1995-09-01')""",
+    "names_by_date": """
+WITH asked AS (SELECT c_custkey, unnest([DATE '1995-09-01', DATE '1999-02-28']) AS date FROM customer),
+n AS (SELECT o_custkey, o_orderkey::VARCHAR AS cik, o_orderdate::DATE AS a, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate::DATE + 400 END AS b FROM orders)
+SELECT c_custkey::VARCHAR AS ticker, date, arg_max(cik, (a, cik)) AS cik FROM asked LEFT JOIN n ON o_custkey = c_custkey AND a <= date AND (b IS NULL OR b >= date) GROUP BY ALL""",
+    "text_distance": TFIDF[: TFIDF.index(", sides AS (")] + f""",
+vecs AS (
+  SELECT doc_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % 256 AS entry, sum(CASE WHEN substr(md5(term), 9, 1) < '8' THEN 1.0 ELSE -1.0 END::DOUBLE * n * idf) AS v FROM counts JOIN yr USING (doc_id) JOIN idf USING (year, term) GROUP BY ALL
+), q AS (SELECT doc_id, sqrt(sum(v * v)) AS q FROM vecs GROUP BY doc_id),
+d AS (SELECT a, b, sum(x.v * y.v) AS dot FROM pairs JOIN vecs x ON x.doc_id = a JOIN vecs y ON y.doc_id = b AND y.entry = x.entry GROUP BY ALL)
+SELECT p.a, p.b, round(1 - coalesce(dot, 0) / nullif(x.q * y.q, 0), 6) AS distance FROM pairs p LEFT JOIN d ON d.a = p.a AND d.b = p.b LEFT JOIN q x ON x.doc_id = p.a LEFT JOIN q y ON y.doc_id = p.b""",
     "wide_to_long": "SELECT l_shipdate::DATE AS date, l_returnflag AS symbol, sum(l_quantity) AS value FROM lineitem GROUP BY ALL",
     "momentum_lines": """
 SELECT o_orderdate::DATE AS date, CASE WHEN o_orderkey % 50 <> 7 THEN (o_orderkey % 1000) / 100.0::DOUBLE END AS mom FROM orders WHERE o_orderkey % 10 NOT IN (3, 4)""",
@@ -353,6 +409,12 @@ WITH {CHARACTERISTICS}, given AS (
   SELECT month, symbol, count(*) OVER (PARTITION BY month) AS n, {', '.join(f'{c} - avg({c}) OVER (PARTITION BY month) AS {c}' for c in ("y", *TRAIT_NAMES))} FROM given
 ), {orthogonal("centred", TRAIT_NAMES, ("y",), "month, symbol, n", "PARTITION BY month")}
 SELECT month, symbol, CASE WHEN n <= 5 THEN 0.0 ELSE round(y, 4) + 0.0 END AS score FROM done""",
+    "isolation_scores": f"""
+WITH {MONTHLY}, vols AS (
+  SELECT symbol, month, ret, volume, px, stddev_samp(ret) OVER (PARTITION BY symbol ORDER BY month ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING) AS vol, volume / nullif(lag(volume) OVER (PARTITION BY symbol ORDER BY month), 0) - 1 AS share_change FROM monthly
+), cells AS (SELECT symbol, month, round(ret, 9) AS ret, round(volume, 9) AS volume, round(abs(ret) / nullif(vol, 0), 9) AS move, round(px, 9) AS px, round(share_change, 9) AS share_change FROM vols),
+{forest_sql("cells", ("ret", "volume", "move", "px", "share_change"), ("symbol", "month"))}
+SELECT symbol, month, round(anomaly, 6) AS anomaly FROM anomalies""",
     "hac_alpha": f"""
 WITH {DAILY}, t AS (SELECT date, mkt_rf AS x, ret AS y, row_number() OVER (ORDER BY date) AS i FROM a JOIN b USING (date)),
 s AS (SELECT count(*) AS n, sum(x) AS sx, sum(x * x) AS sxx, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM t),

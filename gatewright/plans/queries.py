@@ -17,7 +17,7 @@ from gatewright.operators.audit import gap_rows, twin_audit
 from gatewright.operators.documents import archive_url, first_per, with_gap, with_previous
 from gatewright.operators.lazy_prices import build, diagnostics, flagged, score_filings
 from gatewright.operators import traits as stock_traits
-from gatewright.operators.signals import cosine_distance, novelty, tone
+from gatewright.operators.signals import cosine_distance, hashed_vectors, novelty, tone, vector_distances
 from gatewright.plans import gates, holdings
 from gatewright.plans.ledger import GENESIS, link_check, trial_counts
 from gatewright.plans.verdict import fold, give_ups
@@ -303,6 +303,16 @@ def former_tickers(spark, sf_dir):
     return panel.former_tickers(asked, names)
 
 
+@query
+def names_by_date(spark, sf_dir):
+    """Orders as names that a customer uses for 400 days, many at a time: the last one taken up by a date."""
+    o = table(spark, sf_dir, "orders")
+    day = F.col("o_orderdate").cast("date")
+    names = o.select(F.col("o_custkey").cast("string").alias("ticker"), F.col("o_orderkey").cast("string").alias("cik"), day.alias("valid_from"), F.when(F.col("o_orderkey") % 5 != 0, F.date_add(day, 400)).alias("valid_to"))
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("ticker"), F.explode(F.array(*[F.lit(d).cast("date") for d in ("1995-09-01", "1999-02-28")])).alias("date"))
+    return panel.former_tickers(asked, names)
+
+
 @query
 def wide_to_long(spark, sf_dir):
     wide = table(spark, sf_dir, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("date")).pivot("l_returnflag", ["A", "N", "R"]).agg(F.sum("l_quantity"))
@@ -498,7 +508,8 @@ def integrity_rules(spark, sf_dir):
 def isolation_scores(spark, sf_dir):
     """The tables have no shares outstanding: the quantity of the month stands in for them."""
     cells = monthly(spark, sf_dir).select("symbol", "month", "ret", "volume", "px", F.col("volume").alias("shares"))
-    return gates.isolation_forest(gates.isolation_features(cells), ["ret", "volume", "move", "px", "share_change"], ["symbol", "month"])
+    features = ["ret", "volume", "move", "px", "share_change"]
+    return rounded(gates.isolation_forest(rounded(gates.isolation_features(cells), *features, digits=9), features, ["symbol", "month"]), "anomaly")
 
 
 @query
@@ -567,6 +578,26 @@ def novel_share(spark, sf_dir):
     return rounded(novelty(pairs, turns, "id", "text"), "novel_share")
 
 
+@query
+def text_distance(spark, sf_dir):
+    """Distances of consecutive texts of a source, as hashed vectors of their terms by the weights of their years."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    years = docs.select("doc_id", (F.lit(2012) + F.col("doc_id") % 10).cast("int").alias("year"), F.lit(True).alias("fits"))
+    counts = term_counts(docs, "doc_id", "text")
+    vectors = hashed_vectors(counts.join(years.drop("fits"), "doc_id"), "doc_id", expanding_idf(counts, years, "doc_id"), ("year", "term"))
+    return rounded(vector_distances(document_pairs(spark, sf_dir), vectors, "doc_id"), "distance")
+
+
+@query
+def tfidf_build(spark, sf_dir):
+    """The signal from the texts on, its scores by the terms' weights in strictly earlier years."""
+    docs = table(spark, sf_dir, "documents")
+    texts = docs.select(F.col("doc_id").alias("accession"), F.concat(F.lit("Item 7.\n"), F.col("text"), F.lit("\nItem 8. Statements\n")).alias("text"))
+    rows = document_filings(docs)
+    out = build(rows, texts, calendar(rows), sections=("item_7",), weighting="tfidf").aligned
+    return rounded(out.select("ticker", "accession", "prev_accession", "signal_date", "score", "extraction_failed", "gap_ok"), "score")
+
+
 @query
 def embedding_distance(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")

@@ -43,6 +43,19 @@ def test_idf_needs_enough_earlier_rows_and_ignores_the_future(spark):
     assert idf(60, 7) == idf(60, 7, [(901, "rare rare common", 2002), (902, "rare", 2001)])
 
 
+def test_terms_of_earlier_years_have_weights_in_years_without_them(spark):
+    """What a filing drops still counts against its likeness to the one before."""
+    docs = [(i, "common gone" if i < 30 else "common", 2000) for i in range(60)] + [(900, "common", 2002), (901, "common", 2005)]
+    df = spark.createDataFrame(docs, "id int, text string, year int")
+    counts = term_counts(df, "id", "text")
+    found = expanding_idf(counts, df.select("id", "year", F.lit(True).alias("fits")), "id")
+    assert {(r.year, r.term): r.idf for r in found.collect()} == pytest.approx(
+        {(2002, "common"): 1.0, (2002, "gone"): math.log(61 / 31) + 1, (2005, "common"): 1.0, (2005, "gone"): math.log(62 / 31) + 1}
+    )
+    pair = spark.createDataFrame([(900, 3, 2002)], "a int, b int, year int")
+    assert pair_tfidf(pair, counts, found, "id").first().score == pytest.approx(1 / math.hypot(1, math.log(61 / 31) + 1))
+
+
 def test_tfidf_pair(spark):
     docs = [(i, "common rare" if i % 2 else "common", 2000) for i in range(60)] + [(900, "common rare", 2001), (901, "common", 2001)]
     df = spark.createDataFrame(docs, "id int, text string, year int")

@@ -90,6 +90,31 @@ def test_a_rehashed_entry_breaks_the_next_link(ledger):
         ledger.verify()
 
 
+def test_appends_read_nothing_again_while_nothing_else_writes(ledger, monkeypatch):
+    """Reads and hashes of a thousand appends, by count; another writer and a change of old bytes are both seen."""
+    from gatewright.plans import ledger as module
+
+    hashed, read = [], []
+    plain, entries = module.hash_of, Ledger.entries
+    monkeypatch.setattr(module, "hash_of", lambda e: hashed.append(1) or plain(e))
+    monkeypatch.setattr(Ledger, "entries", lambda self: read.append(1) or entries(self))
+    for i in range(500):
+        k = ledger.record(trial(n=i))
+        ledger.complete(k, {"sharpe": float(i)})
+    assert len(hashed) == 1000 and len(read) <= 2
+    other = Ledger(ledger.path)
+    assert other.complete(0, {"sharpe": 1.0}) == 1000 and ledger.record(trial()) == 1001 and other.record(trial()) == 1002
+    assert len(ledger.verify()) == 1003
+    text = ledger.path.read_text()
+    ledger.path.write_text(text.replace('"sharpe":41.0', '"sharpe":91.0'))
+    with pytest.raises(BrokenChain, match="index 83"):
+        ledger.record(trial())
+    ledger.path.write_text(text)
+    assert ledger.record(trial()) == 1003
+    with pytest.raises(IndexError):
+        ledger.complete(1000, {})
+
+
 def test_ledger_as_a_table(spark, ledger):
     for i in range(3):
         ledger.complete(ledger.record(trial(n=i)), {"sharpe": float(i)})
