@@ -17,7 +17,7 @@ from gatewright.operators.audit import gap_rows, twin_audit
 from gatewright.operators.documents import archive_url, first_per, with_gap, with_previous
 from gatewright.operators.lazy_prices import build, diagnostics, flagged, score_filings
 from gatewright.operators import traits as stock_traits
-from gatewright.operators.signals import cosine_distance, hashed_vectors, novelty, tone, vector_distances
+from gatewright.operators.signals import hashed_vectors, novelty, tone, vector_distances
 from gatewright.plans import gates, holdings
 from gatewright.plans.ledger import GENESIS, link_check, trial_counts
 from gatewright.plans.verdict import fold, give_ups
@@ -601,5 +601,7 @@ def tfidf_build(spark, sf_dir):
 @query
 def embedding_distance(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    before = with_previous(e, "label", ("vec_id",), ("vec_id", "embedding"))
-    return rounded(before.select("vec_id", "prev_vec_id", cosine_distance(F.col("embedding"), F.col("prev_embedding")).alias("distance")), "distance", digits=5)
+    # Ids alone are put in order; vectors meet by id.
+    before = with_previous(e.select("vec_id", "label"), "label", ("vec_id",), ("vec_id",)).select(F.col("vec_id").alias("a"), F.col("prev_vec_id").alias("b"))
+    out = vector_distances(before, e.select("vec_id", F.col("embedding").alias("vector")), "vec_id")
+    return rounded(out.withColumnsRenamed({"a": "vec_id", "b": "prev_vec_id"}), "distance", digits=5)

@@ -67,3 +67,45 @@ def test_build_then_audit(spark, lake, capsys):
 def test_arguments():
     args = corpus.parser().parse_args(["build", "--lake", "a", "--out", "b"])
     assert (args.top_n, args.start, args.end, args.index_name, args.no_text) == (200, "2012-01-01", "2025-12-31", "sp500", False)
+
+
+def test_an_interrupted_fetch_goes_on_where_it_stopped(spark, tmp_path):
+    """One page ends its task for good at first: what earlier rounds wrote stays and is not asked for again."""
+    import os
+    import uuid
+
+    from gatewright.sources.filings import SourceMissing
+    from gatewright.sources.market import read_parquet
+
+    asked, stop, path = tmp_path / "asked", tmp_path / "stop", str(tmp_path / "pages")
+    asked.mkdir()
+    stop.touch()
+
+    def get(url, asked=str(asked), stop=str(stop)):
+        name = url.rsplit("/", 1)[1]
+        open(f"{asked}/{name}-{uuid.uuid4().hex}", "w").close()
+        if name == "d7.htm" and os.path.exists(stop):
+            raise SystemExit(1)
+        if name == "d3.htm":
+            raise OSError("gone")
+        return f"<p>{name} caf\xe9</p>".encode()
+
+    rows = [(str(i % 3).zfill(10), "T", "10-K", f"{i:010}-23-{i:06}", None, None, None, f"d{i}.htm") for i in range(20)]
+    index = spark.createDataFrame(rows, schemas.FILINGS)
+    store = lambda: read_parquet(spark, path, schemas.PAGES)
+    fetch = lambda held: corpus.fetch_pages(spark, index, held, get, path, at_once=2, tasks=2, per_second=1000)
+    with pytest.raises(Exception, match="SystemExit|exited|crashed"):
+        fetch(spark.createDataFrame([], schemas.PAGES))
+    try:
+        kept = {r.accession for r in store().collect()}
+    except SourceMissing:
+        kept = set()
+    stop.unlink()
+    before = {f.split("-")[0] for f in os.listdir(asked)}
+    errors = fetch(store() if kept else spark.createDataFrame([], schemas.PAGES))
+    got = {r.accession: r.html for r in store().collect()}
+    assert len(got) == 19 and store().count() == 19 and got[f"{0:010}-23-{0:06}"] == "<p>d0.htm caf\xe9</p>"
+    assert list(errors.values()) == ["gone"]
+    times = {n: sum(f.startswith(f"{n}-") for f in os.listdir(asked)) for n in before}
+    assert all(times[f"d{int(a[:10])}.htm"] == 1 for a in kept)
+    assert fetch(store()) == {f"{3:010}-23-{3:06}": "gone"} and store().count() == 19

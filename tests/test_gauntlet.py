@@ -87,3 +87,38 @@ def test_neutral_scores_carry_neither_sector_nor_traits(spark):
     signal, market = synthetic(spark)
     scores = market.traits.selectExpr("month", "symbol", "size * 3 + momentum + CASE sector WHEN 'x' THEN 5 ELSE 0 END AS score")
     assert neutral_scores(scores, market.traits).selectExpr("max(abs(score))").first()[0] < 1e-9
+
+
+def test_annual_filings_rank_every_firm_every_month_through_seven_gates(spark, ledger):
+    """One filing a year and firm: its score stands until the next one, so each month's deciles have all firms."""
+    from gatewright.plans.gauntlet import month_scores
+
+    r = np.random.default_rng(4)
+    firms, years = 60, 5
+    rows, held, cells, traits = [], [], [], []
+    months = [datetime(2018 + k // 12, k % 12 + 1, 1).date() for k in range(12 * years)]
+    factors = [(m, float(a), float(b)) for m, (a, b) in zip(months, r.normal(0, 0.03, (len(months), 2)))]
+    for s in range(firms):
+        name, px, known = f"f{s:02}", 40.0, {}
+        for y in range(years):
+            day = datetime(2018 + y, s % 12 + 1, 12)
+            known[day.date().replace(day=1)] = score = float(r.normal())
+            rows.append((name, f"{name}-{y}", day.date(), (day - timedelta(3)).replace(hour=15, tzinfo=timezone.utc), score, False, True))
+        score = None
+        for m in months:
+            score = known.get(m, score)
+            held.append((m, name, float(0.02 * (score or 0.0) + r.normal(0, 0.03)), float(r.uniform(1, 2))))
+            px *= float(np.exp(r.normal(0, 0.05)))
+            cells.append((name, m, px, float(r.uniform(1e5, 2e5)), 1e6))
+            traits.append((m, name, "xyz"[s % 3], float(r.normal()), float(r.normal())))
+    aligned = spark.createDataFrame(rows, "ticker string, accession string, signal_date date, acceptance_datetime timestamp, score double, extraction_failed boolean, gap_ok boolean")
+    market = Market(
+        spark.createDataFrame(held, "month date, symbol string, ret double, weight double"), spark.createDataFrame(cells, "symbol string, month date, px double, volume double, shares double"),
+        spark.createDataFrame(factors, "month date, mkt_rf double, smb double"), spark.createDataFrame(traits, "month date, symbol string, sector string, size double, momentum double"), bands=((0.0, 5.0, 15.0), (5e6, 2.0, 8.0)),
+    )
+    ranked = {x.month: x["count"] for x in month_scores(Signal(aligned)).groupBy("month").count().collect()}
+    assert all(ranked[m] == firms for m in months[11:])
+    v = go(Signal(aligned), market, ledger, {"configs": configs(spark)})
+    assert [s.gate for s in v.steps] == list(GATE_ORDER) and v.survives, v.waterfall()
+    costs = v.steps[4]
+    assert "are plausible for its liquidity" in costs.detail and "turnover 0." in costs.detail, "annual scores trade little"
