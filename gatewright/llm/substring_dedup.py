@@ -24,7 +24,7 @@ RADIUS = 24
 #: Bytes of the shortest run of chunks that is dropped: a passage of fifty words has over twice as many, a stock line fewer.
 SHORTEST = 120
 #: Words of a run that is dropped however few bytes it has: what is left of fifty short words once both ends are lost to cuts that see other bytes.
-FEWEST = 10
+FEWEST = 15
 
 
 def chunk_digests(texts: list[bytes], radius: int = RADIUS) -> list[tuple[list[int], list[bytes]]]:
