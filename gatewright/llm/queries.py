@@ -148,6 +148,35 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), tails=True, with_text=False)
 
 
+#: Pairs of equal six-word strings in a text, by their distance: consecutive ones are a stretch in which words that far apart agree.
+OP11_SQL = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda x, y: list_reduce([xor(x, y), 0, 0, 0, 0, 0, 0, 0, 0], lambda b, z: xor(b >> 1, CASE WHEN b & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END))), 4294967295::BIGINT) AS h
+  FROM documents
+), placed AS (SELECT *, len(w) AS n, (h // 10) % nullif(len(w), 0) AS a FROM split
+), texts AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) + 1] END) ELSE w END AS w FROM placed
+), grams AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 6], ' ') AS g FROM (SELECT doc_id, w, unnest(range(n - 5)) AS i FROM texts WHERE n >= 12)
+), pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM grams x JOIN grams y ON y.doc_id = x.doc_id AND y.g = x.g AND y.i > x.i
+), stretches AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + 5 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs) GROUP BY doc_id, q, island
+), runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(12, 2 * q) GROUP BY doc_id, start, length
+), told AS (
+  SELECT doc_id, count(*) AS n_runs, arg_min({'start': start, 'length': length, 'period': period}, (-length, start, period)) AS best,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed
+  FROM runs GROUP BY doc_id
+), gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+  SELECT t.doc_id, string_agg(t.word, ' ' ORDER BY t.i) AS left_ FROM (SELECT doc_id, unnest(w) AS word, unnest(range(n)) AS i FROM texts) t ANTI JOIN gone g ON g.doc_id = t.doc_id AND g.i = t.i GROUP BY t.doc_id
+)
+SELECT t.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length, best.period::BIGINT AS period, (1000 * best.length // best.period)::BIGINT AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(left_, '')) AS collapsed_sha256
+FROM texts t LEFT JOIN told r ON r.doc_id = t.doc_id LEFT JOIN kept k ON k.doc_id = t.doc_id
+"""
+
+
 #: Weights of documents by the label of their quality; those without a label weigh 1.
 GOOD, BAD = 2.0, 0.25
 
@@ -207,5 +236,6 @@ ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op10_repeats": OP10_SQL,
+    "op11_periodic": OP11_SQL,
     "op12_mixing": OP12_SQL,
 }
