@@ -48,7 +48,7 @@ def score_filings(filings: DataFrame, bodies: DataFrame, weighting: str = "count
     if weighting not in WEIGHTINGS:
         raise ValueError(f"unknown weighting {weighting!r}; known: {WEIGHTINGS}")
     rows = filings.join(bodies.select("accession", "section_failed", "failure_reason"), "accession", "left")
-    rows = with_previous(rows, "ticker", ("acceptance_datetime", "accession"), ("accession", "section_failed", "acceptance_datetime"))
+    rows = with_previous(rows, "ticker", ("acceptance_datetime", "accession"), ("accession", "section_failed", "acceptance_datetime"), F.year("acceptance_datetime"))
     rows = with_gap(rows, "acceptance_datetime", "prev_acceptance_datetime")
     fit = ~F.coalesce("section_failed", F.lit(True)) & ~F.coalesce("prev_section_failed", F.lit(True))
     pairs = rows.where(fit).select(F.col("accession").alias("a"), F.col("prev_accession").alias("b"), F.year("acceptance_datetime").alias("year")).distinct()

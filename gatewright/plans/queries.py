@@ -14,7 +14,7 @@ from gatewright.functions.timeops import align, weekdays
 from gatewright.operators import panel
 from gatewright.operators.asof import scores_as_of, universe_by_date
 from gatewright.operators.audit import gap_rows, twin_audit
-from gatewright.operators.documents import archive_url, first_per, with_gap, with_previous
+from gatewright.operators.documents import archive_url, first_per, numbered, with_gap, with_previous
 from gatewright.operators.lazy_prices import build, diagnostics, flagged, score_filings
 from gatewright.operators import traits as stock_traits
 from gatewright.operators.signals import hashed_vectors, novelty, tone, vector_distances
@@ -98,9 +98,14 @@ def doc_norms(spark, sf_dir):
     return norms(term_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text"), "doc_id")
 
 
+def by_thousands(name: str) -> Column:
+    """Stretches of an id, so that no task orders all rows of a hot source."""
+    return F.floor(F.col(name) / 10_000)
+
+
 def document_pairs(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    before = with_previous(docs, "source", ("doc_id",), ("doc_id",))
+    before = with_previous(docs, "source", ("doc_id",), ("doc_id",), by_thousands("doc_id"))
     return before.where("prev_doc_id IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("prev_doc_id").alias("b"))
 
 
@@ -112,8 +117,8 @@ def lazy_cosine(spark, sf_dir):
 
 def document_filings(docs: DataFrame) -> DataFrame:
     """Documents as filings 300 days apart within a source."""
-    order = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    index = docs.select("source", "doc_id").withColumn("at", F.timestamp_seconds(F.lit(1_000_000_000) + F.pmod(order * 300, F.lit(9000)).cast("long") * 86_400 + order))
+    order = F.col("order")
+    index = numbered(docs.select("source", "doc_id"), "source", ("doc_id",), "order", by_thousands("doc_id")).withColumn("at", F.timestamp_seconds(F.lit(1_000_000_000) + F.pmod(order * 300, F.lit(9000)).cast("long") * 86_400 + order))
     return index.select(F.col("source").alias("ticker"), F.col("doc_id").alias("accession"), F.date_sub(F.col("at").cast("date"), 45).alias("period_end"), F.col("at").alias("acceptance_datetime"))
 
 
@@ -602,6 +607,6 @@ def tfidf_build(spark, sf_dir):
 def embedding_distance(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     # Ids alone are put in order; vectors meet by id.
-    before = with_previous(e.select("vec_id", "label"), "label", ("vec_id",), ("vec_id",)).select(F.col("vec_id").alias("a"), F.col("prev_vec_id").alias("b"))
+    before = with_previous(e.select("vec_id", "label"), "label", ("vec_id",), ("vec_id",), by_thousands("vec_id")).select(F.col("vec_id").alias("a"), F.col("prev_vec_id").alias("b"))
     out = vector_distances(before, e.select("vec_id", F.col("embedding").alias("vector")), "vec_id")
     return rounded(out.withColumnsRenamed({"a": "vec_id", "b": "prev_vec_id"}), "distance", digits=5)

@@ -148,3 +148,23 @@ def test_streams(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert sorted(r.accession for r in spark.table("seen").collect()) == ["1", "2"] and spark.table("late").count() == 3
+
+
+def test_rows_before_and_numbers_by_stretches(spark):
+    """Stretches of any width give what one order gives; null keys and orders, empty stretches, ties by the second column."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from gatewright.operators.documents import numbered, with_previous
+
+    r = random.Random(3)
+    rows = [(r.choice(["a", "b", None]), None if i % 37 == 0 else r.randrange(200), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, o int, v int")
+    want = sorted(map(str, with_previous(df, "k", ("o", "v"), ("v", "o")).collect()))
+    for width in (1, 7, 1000):
+        assert sorted(map(str, with_previous(df, "k", ("o", "v"), ("v", "o"), F.floor(F.col("o") / width)).collect())) == want
+        got = {x.v: x.n for x in numbered(df.where("k IS NOT NULL"), "k", ("o", "v"), "n", F.floor(F.col("o") / width)).collect()}
+        for k in "ab":
+            own = sorted((x for x in rows if x[0] == k), key=lambda x: (-1 if x[1] is None else x[1], x[2]))
+            assert [got[x[2]] for x in own] == [*range(1, len(own) + 1)]
