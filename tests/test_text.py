@@ -132,6 +132,11 @@ PAGE = (
 )
 
 
+def test_cut_references_stay_as_they_stand():
+    assert visible_text("<p>so &amp; &amp;&amp\n<p>and &quo &amp") == "so & &&amp\n\nand &quo &amp"
+    assert visible_text("<p>&notit; &#65; &#x42; &#67 &middot; a&b; &lt;") == "&notit; A B &#67 · a&b; <"
+
+
 def test_visible_text():
     text = visible_text(PAGE)
     lines = text.split("\n")
