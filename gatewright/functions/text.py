@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatewright.session import in_arrow
+
 #: A term: a run of two or more ASCII letters, after lower-casing.
 TERM = "[a-z]{2,}"
 MIN_DOCS, MIN_DF = 50, 5
@@ -25,23 +30,46 @@ def norms(counts: DataFrame, key: str) -> DataFrame:
     return counts.groupBy(key).agg(F.sum(F.col("n") * F.col("n")).alias("norm2"))
 
 
+def term_bags(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, bag): the terms of each document, repeats included, sorted and joined by spaces; rows of one key are one document.
+
+    A bag is made within its row and moves once, as one string: no task holds counts of more than one document.
+    """
+    bag = F.array_join(F.sort_array(tokens(F.col(text))), " ")
+    return docs.select(key, bag.alias("bag")).groupBy(key).agg(F.array_join(F.collect_list(F.when(F.col("bag") != "", F.col("bag"))), " ").alias("bag"))
+
+
+def bags(counts: DataFrame, key: str) -> DataFrame:
+    """(key, bag) of counts (key, term, n), or of bags themselves."""
+    if "bag" in counts.columns:
+        return counts
+    return counts.groupBy(key).agg(F.array_join(F.flatten(F.collect_list(F.array_repeat("term", F.col("n").cast("int")))), " ").alias("bag"))
+
+
+def _products(batches):
+    for batch in batches:
+        at = batch.schema.get_field_index
+        found = []
+        for a, b in zip(batch.column(at("bag_a")), batch.column(at("bag_b"))):
+            x, y = Counter(a.as_py().split()), Counter(b.as_py().split())
+            less, more = (x, y) if len(x) < len(y) else (y, x)
+            found.append((sum(n * more[t] for t, n in less.items() if t in more), sum(n * n for n in x.values()), sum(n * n for n in y.values())))
+        columns = [pa.array([f[i] for f in found], pa.int64()) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([batch.column(at("a")), batch.column(at("b")), *columns], ["a", "b", "dot", "na2", "nb2"])
+
+
 def pair_cosine(pairs: DataFrame, counts: DataFrame, key: str) -> DataFrame:
     """pairs (a, b, ...) with score: the cosine of their counts, null if either has no terms.
 
-    Only counts move, never texts: each pair meets the terms of a, then those of b by (b, term).
+    counts: (key, term, n) or, without a row for each term, (key, bag). Bags meet by id, and what they have in common is
+    counted within the pair, so a bag moves twice and its terms never do.
     """
-    left = counts.select(F.col(key).alias("a"), "term", F.col("n").alias("na"))
-    right = counts.select(F.col(key).alias("b"), "term", F.col("n").alias("nb"))
-    both = pairs.select("a", "b").distinct()
-    dots = both.join(left, "a").join(right, ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"))
-    size = norms(counts, key)
-    out = (
-        pairs.join(dots, ["a", "b"], "left")
-        .join(size.select(F.col(key).alias("a"), F.col("norm2").alias("na2")), "a", "left")
-        .join(size.select(F.col(key).alias("b"), F.col("norm2").alias("nb2")), "b", "left")
-    )
-    score = F.coalesce("dot", F.lit(0)) / (F.sqrt("na2") * F.sqrt("nb2"))
-    return out.withColumn("score", F.when(F.col("na2").isNotNull() & F.col("nb2").isNotNull(), score)).drop("dot", "na2", "nb2")
+    held = bags(counts, key)
+    both = pairs.select("a", "b").distinct().join(held.select(F.col(key).alias("a"), F.col("bag").alias("bag_a")), "a").join(held.select(F.col(key).alias("b"), F.col("bag").alias("bag_b")), "b")
+    kinds = {c: both.schema[c].dataType.simpleString() for c in ("a", "b")}
+    products = in_arrow(both, _products, f"a {kinds['a']}, b {kinds['b']}, dot long, na2 long, nb2 long")
+    score = F.when((F.col("na2") > 0) & (F.col("nb2") > 0), F.col("dot") / (F.sqrt("na2") * F.sqrt("nb2")))
+    return pairs.join(products.select("a", "b", score.alias("score")), ["a", "b"], "left")
 
 
 def expanding_idf(counts: DataFrame, years: DataFrame, key: str, min_docs: int = MIN_DOCS, min_df: int = MIN_DF) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.functions.sections import DEFAULT_SECTIONS, extract_all
-from gatewright.functions.text import expanding_idf, pair_cosine, pair_tfidf, term_counts
+from gatewright.functions.text import expanding_idf, pair_cosine, pair_tfidf, term_bags, term_counts
 from gatewright.functions.timeops import align
 from gatewright.operators.documents import MAX_GAP_DAYS, MIN_GAP_DAYS, with_gap, with_previous
 from gatewright.schemas import require
@@ -43,7 +43,7 @@ def section_bodies(filings: DataFrame, texts: DataFrame, sections: tuple[str, ..
 def score_filings(filings: DataFrame, bodies: DataFrame, weighting: str = "count") -> DataFrame:
     """filings (ticker, accession, period_end, acceptance_datetime) with the previous filing, gaps, flags and score.
 
-    The previous filing is found by id; bodies meet only as counts of terms.
+    The previous filing is found by id; bodies meet only as bags of terms.
     """
     if weighting not in WEIGHTINGS:
         raise ValueError(f"unknown weighting {weighting!r}; known: {WEIGHTINGS}")
@@ -52,11 +52,12 @@ def score_filings(filings: DataFrame, bodies: DataFrame, weighting: str = "count
     rows = with_gap(rows, "acceptance_datetime", "prev_acceptance_datetime")
     fit = ~F.coalesce("section_failed", F.lit(True)) & ~F.coalesce("prev_section_failed", F.lit(True))
     pairs = rows.where(fit).select(F.col("accession").alias("a"), F.col("prev_accession").alias("b"), F.year("acceptance_datetime").alias("year")).distinct()
-    counts = term_counts(bodies.where(~F.col("section_failed")), "accession", "body")
+    read = bodies.where(~F.col("section_failed"))
     if weighting == "count":
-        scored = pair_cosine(pairs.select("a", "b").distinct(), counts, "accession")
+        scored = pair_cosine(pairs.select("a", "b").distinct(), term_bags(read, "accession", "body"), "accession")
         on = (F.col("accession") == F.col("a")) & (F.col("prev_accession") == F.col("b")) & fit
     else:
+        counts = term_counts(read, "accession", "body")
         years = rows.select("accession", F.year("acceptance_datetime").alias("year"), (~F.col("section_failed")).alias("fits"))
         scored = pair_tfidf(pairs, counts, expanding_idf(counts, years, "accession"), "accession")
         on = (F.col("accession") == F.col("a")) & (F.col("prev_accession") == F.col("b")) & (F.year("acceptance_datetime") == F.col("year")) & fit

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gatewright.functions.html import html_to_text
 from gatewright.functions.sections import extract_all
-from gatewright.functions.text import expanding_idf, norms, pair_cosine, pair_tfidf, term_counts
+from gatewright.functions.text import expanding_idf, norms, pair_cosine, pair_tfidf, term_bags, term_counts
 from gatewright.functions.timeops import align, weekdays
 from gatewright.operators import panel
 from gatewright.operators.asof import scores_as_of, universe_by_date
@@ -112,7 +112,7 @@ def document_pairs(spark, sf_dir) -> DataFrame:
 @query
 def lazy_cosine(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return rounded(pair_cosine(document_pairs(spark, sf_dir), term_counts(docs, "doc_id", "text"), "doc_id"), "score", digits=9)
+    return rounded(pair_cosine(document_pairs(spark, sf_dir), term_bags(docs, "doc_id", "text"), "doc_id"), "score", digits=9)
 
 
 def document_filings(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gatewright.functions.html import html_to_text, visible_text
 from gatewright.functions.sections import MIN_SECTION_CHARS, extract_all
-from gatewright.functions.text import expanding_idf, pair_cosine, pair_tfidf, term_counts, tokens
+from gatewright.functions.text import expanding_idf, pair_cosine, pair_tfidf, term_bags, term_counts, tokens
 from gatewright.operators.signals import cosine_distance, novelty, tone
 
 
@@ -125,6 +125,22 @@ def test_edges_are_stripped_of_all_white_space(spark):
     assert bodies(spark, f"Item 7\n   {LONG}  \nItem 8\n").body == LONG.strip()
 
 
+def test_pairs_meet_as_bags_without_a_row_for_each_term(spark):
+    texts = [(1, "a bb bb CC dd"), (1, "bb ee"), (2, "bb cc cc"), (3, None), (4, "1 2"), (5, "zz")]  # two rows of 1 are one document
+    docs = spark.createDataFrame(texts, "id long, text string")
+    pairs = spark.createDataFrame([(1, 2), (1, 2), (2, 1), (2, 3), (4, 2), (5, 2), (6, 1)], "a long, b long")
+    want = 5 / math.sqrt(12) / math.sqrt(5)
+    for counts in (term_bags(docs, "id", "text"), term_counts(docs, "id", "text")):
+        got = sorted((r.a, r.b, r.score) for r in pair_cosine(pairs, counts, "id").collect())
+        assert [g[:2] for g in got] == [(1, 2), (1, 2), (2, 1), (2, 3), (4, 2), (5, 2), (6, 1)]
+        assert [g[2] for g in got] == [pytest.approx(want)] * 3 + [None, None, 0.0, None]
+    for name in ("lazy_cosine", "lazy_build", "signal_build"):
+        from gatewright.plans.queries import QUERIES
+
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "explode(regexp_extract_all" not in plan, name
+
+
 PAGE = (
     "<?xml version='1.0' encoding='ascii'?><html><head><style>p{x:1}</style><title>t</title></head><body><ix:header><ix:hidden>secret</ix:hidden></ix:header>"
     "<div style='Display: None'>gone</div>kept<p hidden>also gone</p><p><b>Item 7.</b> Manag&eacute;ment &amp; more<!-- note --> tail<table><tr><td>Sales</td><td><ix:nonFraction>1,234</ix:nonFraction></td></tr>"
