@@ -29,68 +29,47 @@ def compounded(ret: str, first: int, last: int, by: str = "symbol", month: str =
     return F.when(known >= least, F.when(ruined, -1.0).otherwise(grown))
 
 
-def traits(cells: DataFrame, book: DataFrame | None = None, momentum: int = MOMENTUM, least: int = LEAST) -> DataFrame:
-    """(month, symbol, cap, size, value, mom, str) of cells (month, symbol, px, shares, ret), a row a cell.
+def traits(cells: DataFrame, book: DataFrame | None = None, momentum: int = MOMENTUM, least: int = LEAST, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(month, symbol, cap, size, value, mom, str, keep...) of cells (month, symbol, px, shares, ret), a row a cell.
 
     cap is px * shares, size its logarithm, value the logarithm of the last known book equity (book: symbol,
     month from which it is known, equity) over cap; what is not over 0 has none. mom compounds the returns of
-    `momentum` months before the last one, which is skipped; str is the last month's own return.
+    `momentum` months before the last one, which is skipped; str is the last month's own return. Columns named in `keep` go along.
     """
-    rows = cells.select("month", "symbol", "ret", (F.col("px") * F.col("shares")).alias("cap")).withColumn("mom", compounded("ret", momentum, 1, least=least))
+    rows = cells.select("month", "symbol", "ret", (F.col("px") * F.col("shares")).alias("cap"), *keep).withColumn("mom", compounded("ret", momentum, 1, least=least))
     if book is None:
         valued = rows.withColumn("equity", F.lit(None).cast("double"))
     else:
-        known = book.select(F.col("month").alias("month"), "symbol", F.col("equity").cast("double").alias("equity"), F.lit(None).cast("double").alias("ret"), F.lit(None).cast("double").alias("cap"), F.lit(None).cast("double").alias("mom"), F.lit(False).alias("cell"))
+        known = book.select(F.col("month").alias("month"), "symbol", F.col("equity").cast("double").alias("equity"), F.lit(None).cast("double").alias("ret"), F.lit(None).cast("double").alias("cap"), F.lit(None).cast("double").alias("mom"), F.lit(False).alias("cell"), *[F.lit(None).cast(cells.schema[k].dataType).alias(k) for k in keep])
         both = rows.withColumns({"equity": F.lit(None).cast("double"), "cell": F.lit(True)}).unionByName(known)
         before = Window.partitionBy("symbol").orderBy("month", "cell").rowsBetween(Window.unboundedPreceding, 0)
         valued = both.withColumn("equity", F.last("equity", ignorenulls=True).over(before)).where("cell")
     positive = lambda c: F.when(c > 0, F.log(c))
-    return valued.select("month", "symbol", "cap", positive(F.col("cap")).alias("size"), positive(F.try_divide("equity", "cap")).alias("value"), "mom", F.col("ret").alias("str"))
-
-
-def _corner(size_half: Column, part: Column, big: bool, high: bool) -> Column:
-    return (size_half == (2 if big else 1)) & (part >= 8 if high else part <= 3)
-
-
-def double_sort(given: DataFrame, trait: str) -> DataFrame:
-    """given (month, symbol, cap, <trait>, ...) with half (1 small, 2 big, by cap) and part (deciles of the trait); rows without either are left out. Ties go by symbol."""
-    month = Window.partitionBy("month")
-    return given.where(F.col("cap").isNotNull() & F.col(trait).isNotNull()).withColumns({"half": F.ntile(2).over(month.orderBy("cap", "symbol")), "part": F.ntile(10).over(month.orderBy(trait, "symbol"))})
-
-
-def factor_leg(given: DataFrame, trait: str, out: str) -> DataFrame:
-    """(month, <out>): the return of high less low of a trait, the mean of small and big of each; given: (month, symbol, cap, ret, <trait>).
-
-    High and low are the upper and lower three tenths, small and big the halves by cap; each corner is weighted
-    by cap. An empty corner counts on neither side; without a corner on one side there is no factor.
-    """
-    rows = double_sort(given.where("ret IS NOT NULL AND cap > 0"), trait)
-    corners = {(b, h): _corner(F.col("half"), F.col("part"), b, h) for b in (False, True) for h in (False, True)}
-    legs = rows.groupBy("month").agg(*[F.try_divide(F.sum(F.when(at, F.col("cap") * F.col("ret"))), F.sum(F.when(at, F.col("cap")))).alias(f"_{int(b)}{int(h)}") for (b, h), at in corners.items()])
-    side = lambda h: F.try_divide(sum((F.coalesce(f"_{b}{h}", F.lit(0.0)) for b in (0, 1)), F.lit(0.0)), sum((F.col(f"_{b}{h}").isNotNull().cast("double") for b in (0, 1)), F.lit(0.0)))
-    return legs.select("month", (side(1) - side(0)).alias(out))
-
-
-def size_leg(given: DataFrame, trait: str, out: str = "smb") -> DataFrame:
-    """(month, <out>): small less big, each the mean of its low, middle and high by the trait, weighted by cap within; empty ones don't count."""
-    rows = double_sort(given.where("ret IS NOT NULL AND cap > 0"), trait)
-    third = F.when(F.col("part") <= 3, 0).when(F.col("part") <= 7, 1).otherwise(2)
-    cells = rows.groupBy("month", "half", third.alias("third")).agg(F.try_divide(F.sum(F.col("cap") * F.col("ret")), F.sum("cap")).alias("r"))
-    means = cells.groupBy("month").agg(*[F.avg(F.when(F.col("half") == h, F.col("r"))).alias(f"_{h}") for h in (1, 2)])
-    return means.select("month", (F.col("_1") - F.col("_2")).alias(out))
-
-
-def market_leg(given: DataFrame, out: str = "mkt") -> DataFrame:
-    """(month, <out>): the return of all, weighted by cap."""
-    return given.where("ret IS NOT NULL AND cap > 0").groupBy("month").agg((F.sum(F.col("cap") * F.col("ret")) / F.sum("cap")).alias(out))
+    return valued.select("month", "symbol", "cap", positive(F.col("cap")).alias("size"), positive(F.try_divide("equity", "cap")).alias("value"), "mom", F.col("ret").alias("str"), *keep)
 
 
 def built_factors(given: DataFrame, legs: dict[str, str], size_by: str) -> DataFrame:
     """(month, mkt, smb, one column a leg) of given (month, symbol, cap, ret, traits...): legs name a trait each, size_by is what smb is sorted with.
 
-    ret is the return of the month after a row's month, whose traits it must not contain. One row a month, so the joins are small.
+    ret is the return of the month after a row's month, whose traits it must not contain; rows without it or a cap are left out. mkt is the
+    return of all, weighted by cap. Those with a trait are sorted twice, into halves by cap and into tenths by the trait (ties go by symbol);
+    a corner is weighted by cap. A leg is high (the upper three tenths) less low (the lower three), each the mean of small and big; smb is small
+    less big, each the mean of low, middle and high. An empty corner counts on neither side; without a corner on one side there is no factor.
+
+    given is read once: a row goes on once for each of its traits, and each month of a trait is sorted by itself.
     """
-    out = market_leg(given).join(size_leg(given, size_by), "month", "left")
-    for name, trait in legs.items():
-        out = out.join(factor_leg(given, trait, name), "month", "left")
-    return out
+    traits_ = list(dict.fromkeys([*legs.values(), size_by]))
+    values = [F.struct(F.lit(i).alias("trait"), F.col(t).cast("double").alias("v")) for i, t in enumerate(traits_)]
+    all_ = F.struct(F.lit(-1).alias("trait"), F.lit(None).cast("double").alias("v"))
+    kept = F.filter(F.array(all_, *values), lambda x: (x["trait"] == -1) | x["v"].isNotNull())
+    rows = given.where("ret IS NOT NULL AND cap > 0").select("month", "symbol", F.col("cap").cast("double").alias("cap"), F.col("ret").cast("double").alias("ret"), F.explode(kept).alias("_x")).select("month", "symbol", "cap", "ret", "_x.trait", "_x.v")
+    own = Window.partitionBy("month", "trait")
+    rows = rows.withColumns({"half": F.ntile(2).over(own.orderBy("cap", "symbol")), "part": F.ntile(10).over(own.orderBy("v", "symbol"))})
+    third = F.when(F.col("part") <= 3, 0).when(F.col("part") <= 7, 1).otherwise(2)
+    corners = rows.groupBy("month", "trait", "half", third.alias("third")).agg(F.sum(F.col("cap") * F.col("ret")).alias("s"), F.sum("cap").alias("c"))
+    r = F.try_divide("s", "c")
+    mean = lambda at: F.avg(F.when(at, r))
+    total = lambda c: F.sum(F.when(F.col("trait") == -1, F.col(c)))
+    side = lambda t, third: mean((F.col("trait") == traits_.index(t)) & (F.col("third") == third))
+    size = lambda half: mean((F.col("trait") == traits_.index(size_by)) & (F.col("half") == half))
+    return corners.groupBy("month").agg((total("s") / total("c")).alias("mkt"), (size(1) - size(2)).alias("smb"), *[(side(t, 2) - side(t, 0)).alias(name) for name, t in legs.items()])

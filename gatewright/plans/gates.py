@@ -165,10 +165,17 @@ def hac_regression(series: DataFrame, y: str, xs: list[str], lags: int = 5, date
     """name -> (coefficient, Newey-West error, t) for alpha and xs: y on a constant and xs over a dated series.
 
     Sums of products are aggregated in Spark; the driver solves a system of len(xs) + 1. The
-    series is one row a date, so its lags need one window.
+    series is one row a date, so its lags need one window; it is kept for the second pass, not built again.
     """
     names = ["alpha", *xs]
-    rows = series.dropna(subset=[y, *xs]).select(date, F.col(y).cast("double").alias("_y"), F.lit(1.0).alias("alpha"), *[F.col(x).cast("double").alias(x) for x in xs])
+    rows = series.dropna(subset=[y, *xs]).select(date, F.col(y).cast("double").alias("_y"), F.lit(1.0).alias("alpha"), *[F.col(x).cast("double").alias(x) for x in xs]).persist()
+    try:
+        return _hac(rows, names, xs, lags, date)
+    finally:
+        rows.unpersist()
+
+
+def _hac(rows: DataFrame, names: list[str], xs: list[str], lags: int, date: str) -> dict[str, tuple[float, float, float]]:
     k = len(names)
     sums = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(a) * F.col(b)).alias(f"x{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names)], *[F.sum(F.col(a) * F.col("_y")).alias(f"y{i}") for i, a in enumerate(names)]).first()
     if sums["n"] <= k:

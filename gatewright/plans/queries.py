@@ -528,10 +528,10 @@ def characteristics(spark, sf_dir) -> DataFrame:
     """Traits of suppliers by month with the return of the next row: account balances are book equity from 1995 on, discounts stand for profits, growing quantities for investment."""
     m = monthly(spark, sf_dir)
     book = table(spark, sf_dir, "supplier").select(F.lit("1995-01-01").cast("date").alias("month"), F.col("s_suppkey").cast("string").alias("symbol"), F.col("s_acctbal").alias("equity"))
-    own = stock_traits.traits(m.select("month", "symbol", "px", F.col("volume").alias("shares"), "ret"), book)
     w = Window.partitionBy("symbol").orderBy("month")
-    more = m.select("month", "symbol", F.lead("ret").over(w).alias("ret"), "discount", (1 - F.col("volume") / F.lag("volume").over(w)).alias("restraint"))
-    return own.join(more, ["month", "symbol"])
+    more = m.select("month", "symbol", "px", F.col("volume").alias("shares"), "ret", F.lead("ret").over(w).alias("next"), "discount", (1 - F.col("volume") / F.lag("volume").over(w)).alias("restraint"))
+    own = stock_traits.traits(more.where("month IS NOT NULL AND symbol IS NOT NULL"), book, keep=("next", "discount", "restraint"))
+    return own.withColumnRenamed("next", "ret")
 
 
 def seven_factors(spark, sf_dir) -> DataFrame:

@@ -63,3 +63,11 @@ def test_factors_equal_a_plain_sort(spark):
             if name == "hml":
                 each = [mean([by_cap(c) for low, high in ((1, 3), (4, 7), (8, 10)) if (c := cell(h, low, high))]) for h in (1, 2)]
                 assert got[m].smb == pytest.approx(each[0] - each[1], abs=1e-12)
+
+
+def test_factors_read_their_cells_once(spark):
+    given = spark.range(50).selectExpr("DATE'2020-01-01' AS month", "CAST(id AS STRING) AS symbol", "id + 1.0D AS cap", "id / 100 AS ret", "-id + 0.0D AS value", "id % 7 + 0.0D AS str")
+    out = built_factors(given, {"hml": "value", "rev": "str", "again": "value"}, "value")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    row = out.first()
+    assert out.columns == ["month", "mkt", "smb", "hml", "rev", "again"] and row.hml == row.again and row.hml < 0
