@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import math
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatewright.session import in_arrow
+from gatewright.session import in_arrow, ship
 
 #: A term: a run of two or more ASCII letters, after lower-casing.
 TERM = "[a-z]{2,}"
 MIN_DOCS, MIN_DF = 50, 5
+#: Blocks of documents that get the weights of their terms together.
+BLOCKS = 128
 
 
 def tokens(text: Column) -> Column:
@@ -83,8 +86,8 @@ def expanding_idf(counts: DataFrame, years: DataFrame, key: str, min_docs: int =
     every = years.select("year").distinct().join(base, "year", "left")
     before = Window.orderBy("year").rowsBetween(Window.unboundedPreceding, -1)  # one row a year
     sizes = every.select("year", F.sum(F.coalesce("c", F.lit(0))).over(before).alias("n_docs")).where(F.col("n_docs") >= min_docs)
-    # n is read so that this is the exchange of counts which the pairs use as well.
-    by_year = years.join(counts, key).groupBy("term", "year").agg(F.count_if(F.col("fits") & (F.col("n") > 0)).alias("df")).where("df > 0")
+    held = years.join(bags(counts, key).where("bag <> ''"), key).select("year", "fits", F.explode(F.array_distinct(F.split("bag", " "))).alias("term"))
+    by_year = held.groupBy("term", "year").agg(F.count_if("fits").alias("df")).where("df > 0")
     own = Window.partitionBy("term").orderBy("year")
     # A sum holds from the year after its own to the next year that has the term, whether or not the years between have it.
     summed = by_year.select("term", (F.col("year") + 1).alias("first"), F.lead("year").over(own).alias("next"), F.sum("df").over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("df"))
@@ -94,13 +97,58 @@ def expanding_idf(counts: DataFrame, years: DataFrame, key: str, min_docs: int =
     return known.join(sizes, "year").select("year", "term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
+def _terms(batches):
+    for batch in batches:
+        found = defaultdict(set)
+        column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731, B023
+        places = list(zip(column("block").to_pylist(), column("year").to_pylist()))
+        for name in batch.schema.names:
+            if name.startswith("bag"):
+                for place, bag in zip(places, column(name)):
+                    found[place].update(bag.as_py().split())
+        rows = [(block, year, term) for (block, year), terms in found.items() for term in terms]
+        kinds = {"block": pa.int32(), "year": batch.schema.field("year").type, "term": pa.string()}
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], list(kinds))
+
+
+def weighed(rows: DataFrame, idf: DataFrame, by: str, function, schema: str) -> DataFrame:
+    """What `function(rows, weights)` gives for each block of rows (year, bag..., ...) and the weights {year: {term: idf}} of its terms.
+
+    Blocks are dealt by the column `by`. Only the distinct terms of a block and year meet the weights, and only these go back to
+    it; entries of single documents never move. A block is one group in Python, 1 / BLOCKS of the bags.
+    """
+    ship(rows.sparkSession)
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(by), F.lit(BLOCKS)).cast("int")).repartition("block")
+    # All columns are read, so that this is the exchange which the blocks use as well.
+    needed = in_arrow(dealt, _terms, f"block int, year {rows.schema['year'].dataType.simpleString()}, term string").distinct()
+    known = needed.join(idf, ["year", "term"]).select("block", "year", "term", "idf")
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        weights = defaultdict(dict)
+        for year, term, w in zip(*(right.column(c).to_pylist() for c in ("year", "term", "idf"))):
+            weights[year][term] = w
+        return function(left, weights)
+
+    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(both, schema)
+
+
+def _tfidf(pairs: pa.Table, weights: dict) -> pa.Table:
+    scores = []
+    for year, a, b in zip(*(pairs.column(c) for c in ("year", "bag_a", "bag_b"))):
+        w = weights.get(year.as_py(), {})
+        x, y = ({t: n * w[t] for t, n in Counter(bag.as_py().split()).items() if t in w} for bag in (a, b))
+        score = sum(v * y[t] for t, v in x.items() if t in y) / (math.sqrt(sum(v * v for v in x.values())) * math.sqrt(sum(v * v for v in y.values()))) if x and y else None
+        scores.append(score)
+    return pa.table({"a": pairs.column("a"), "b": pairs.column("b"), "year": pairs.column("year"), "score": pa.array(scores, pa.float64())})
+
+
 def pair_tfidf(pairs: DataFrame, counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """pairs (a, b, year, ...) with score: the cosine of their TF-IDF vectors under the idf of the pair's year; null if either is empty."""
+    """pairs (a, b, year, ...) with score: the cosine of their TF-IDF vectors under the idf of the pair's year; null if either is empty.
+
+    counts: (key, term, n) or (key, bag), as for pair_cosine.
+    """
+    held = bags(counts, key)
     ids = pairs.select("a", "b", "year").distinct()
-    sides = ids.select("a", "b", "year", F.explode(F.array(F.struct(F.col("a").alias("doc"), F.lit(True).alias("first")), F.struct(F.col("b").alias("doc"), F.lit(False).alias("first")))).alias("s"))
-    terms = sides.select("a", "b", "year", F.col("s.doc").alias(key), F.col("s.first").alias("first")).join(counts, key).join(idf, ["year", "term"])
-    w = F.col("n") * F.col("idf")
-    per_term = terms.groupBy("a", "b", "year", "term").agg(F.sum(F.when(F.col("first"), w)).alias("wa"), F.sum(F.when(~F.col("first"), w)).alias("wb"))
-    sums = per_term.groupBy("a", "b", "year").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"), F.sum(F.col("wa") ** 2).alias("na2"), F.sum(F.col("wb") ** 2).alias("nb2"))
-    score = F.when((F.col("na2") > 0) & (F.col("nb2") > 0), F.coalesce("dot", F.lit(0.0)) / (F.sqrt("na2") * F.sqrt("nb2")))
-    return pairs.join(sums.select("a", "b", "year", score.alias("score")), ["a", "b", "year"], "left")
+    met = ids.join(held.select(F.col(key).alias("a"), F.col("bag").alias("bag_a")), "a").join(held.select(F.col(key).alias("b"), F.col("bag").alias("bag_b")), "b")
+    kinds = ", ".join(f"{c} {met.schema[c].dataType.simpleString()}" for c in ("a", "b", "year"))
+    return pairs.join(weighed(met, idf, "b", _tfidf, f"{kinds}, score double"), ["a", "b", "year"], "left")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewright.functions.sections import DEFAULT_SECTIONS, extract_all
-from gatewright.functions.text import expanding_idf, pair_cosine, pair_tfidf, term_bags, term_counts
+from gatewright.functions.text import expanding_idf, pair_cosine, pair_tfidf, term_bags
 from gatewright.functions.timeops import align
 from gatewright.operators.documents import MAX_GAP_DAYS, MIN_GAP_DAYS, with_gap, with_previous
 from gatewright.schemas import require
@@ -57,7 +57,7 @@ def score_filings(filings: DataFrame, bodies: DataFrame, weighting: str = "count
         scored = pair_cosine(pairs.select("a", "b").distinct(), term_bags(read, "accession", "body"), "accession")
         on = (F.col("accession") == F.col("a")) & (F.col("prev_accession") == F.col("b")) & fit
     else:
-        counts = term_counts(read, "accession", "body")
+        counts = term_bags(read, "accession", "body")
         years = rows.select("accession", F.year("acceptance_datetime").alias("year"), (~F.col("section_failed")).alias("fits"))
         scored = pair_tfidf(pairs, counts, expanding_idf(counts, years, "accession"), "accession")
         on = (F.col("accession") == F.col("a")) & (F.col("prev_accession") == F.col("b")) & (F.year("acceptance_datetime") == F.col("year")) & fit

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatewright.functions.text import term_counts
+from gatewright.functions.text import term_counts, weighed
 
 
 def tone(docs: DataFrame, lexicon: DataFrame, key: str, text: str) -> DataFrame:
@@ -51,21 +55,38 @@ def cosine_distance(a: Column, b: Column) -> Column:
 WIDTH = 256
 
 
-def hashed_vectors(counts: DataFrame, key: str, weights: DataFrame | None = None, on: tuple[str, ...] = ("term",), width: int = WIDTH) -> DataFrame:
+def _hashed(key: str, width: int):
+    def vectors(docs: pa.Table, weights: dict) -> pa.Table:
+        places, keys, found = {}, [], []
+        for k, year, bag in zip(*(docs.column(c) for c in (key, "year", "bag"))):
+            w = weights.get(year.as_py(), {})
+            counts = {t: n for t, n in Counter(bag.as_py().split()).items() if t in w}
+            if counts:
+                vector = [0.0] * width
+                for t, n in counts.items():
+                    if t not in places:
+                        digest = hashlib.md5(t.encode()).hexdigest()
+                        places[t] = int(digest[:8], 16) % width, 1.0 if digest[8] < "8" else -1.0
+                    entry, sign = places[t]
+                    vector[entry] += sign * n * w[t]
+                keys.append(k)
+                found.append(vector)
+        column = pa.array([k.as_py() for k in keys], docs.schema.field(key).type)
+        return pa.table({key: column, "vector": pa.array(found, pa.list_(pa.float64()))})
+
+    return vectors
+
+
+def hashed_vectors(held: DataFrame, key: str, weights: DataFrame, width: int = WIDTH) -> DataFrame:
     """(key, vector): documents as arrays of `width` entries, by signed feature hashing of their terms.
 
-    counts: (key, term, n, ...); weights: (on..., idf), by which counts are multiplied, 1 without. A term
+    held: (key, year, bag), a row a document, see term_bags; weights: (year, term, idf), by which counts are multiplied. A term
     without a weight is left out, a document without terms has no row. The MD5 of a term gives its entry and
     its sign, so the dot product of two vectors is that of their terms, give or take collisions that cancel
-    on average. Entries are summed before they meet in a row, so a document moves as at most `width` numbers.
+    on average. A document moves as one bag and goes on as `width` numbers.
     """
-    weighed = counts.withColumn("idf", F.lit(1.0)) if weights is None else counts.join(weights, list(on))
-    digest = F.md5("term")
-    entry = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % width).cast("int")
-    sign = F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") < 8, 1.0).otherwise(-1.0)
-    entries = weighed.select(key, entry.alias("entry"), (sign * F.col("n") * F.col("idf")).alias("v")).groupBy(key, "entry").agg(F.sum("v").alias("v"))
-    rows = entries.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("entry", "v"))).alias("m"))
-    return rows.select(key, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vector"))
+    kind = held.schema[key].dataType.simpleString()
+    return weighed(held.select(key, "year", "bag"), weights, key, _hashed(key, width), f"{key} {kind}, vector array<double>")
 
 
 def vector_distances(pairs: DataFrame, vectors: DataFrame, key: str) -> DataFrame:

@@ -164,7 +164,7 @@ def signal_diagnostics(spark, sf_dir):
 def tfidf_expanding(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     years = docs.select("doc_id", (F.lit(2012) + F.col("doc_id") % 10).cast("int").alias("year"), F.lit(True).alias("fits"))
-    counts = term_counts(docs, "doc_id", "text")
+    counts = term_bags(docs, "doc_id", "text")
     pairs = document_pairs(spark, sf_dir).withColumn("year", (F.lit(2012) + F.col("a") % 10).cast("int"))
     return rounded(pair_tfidf(pairs, counts, expanding_idf(counts, years, "doc_id"), "doc_id"), "score")
 
@@ -588,8 +588,8 @@ def text_distance(spark, sf_dir):
     """Distances of consecutive texts of a source, as hashed vectors of their terms by the weights of their years."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     years = docs.select("doc_id", (F.lit(2012) + F.col("doc_id") % 10).cast("int").alias("year"), F.lit(True).alias("fits"))
-    counts = term_counts(docs, "doc_id", "text")
-    vectors = hashed_vectors(counts.join(years.drop("fits"), "doc_id"), "doc_id", expanding_idf(counts, years, "doc_id"), ("year", "term"))
+    held = term_bags(docs, "doc_id", "text")
+    vectors = hashed_vectors(held.join(years.select("doc_id", "year").distinct(), "doc_id"), "doc_id", expanding_idf(held, years, "doc_id"))
     return rounded(vector_distances(document_pairs(spark, sf_dir), vectors, "doc_id"), "distance")
 
 

@@ -141,6 +141,17 @@ def test_pairs_meet_as_bags_without_a_row_for_each_term(spark):
         assert "explode(regexp_extract_all" not in plan, name
 
 
+def test_weights_meet_the_distinct_terms_of_blocks(spark):
+    """200 equal texts: their entries, 30 for each, never move, only the 30 terms of a block and year do."""
+    from gatewright.functions.text import weighed
+
+    seen = lambda rows, weights: rows.select(["id", "year"]).append_column("n", [[len(weights.get(y.as_py(), {})) for y in rows.column("year")]])
+    docs = spark.range(200).selectExpr("id", "CAST(2000 + id % 2 AS INT) AS year", "array_join(transform(sequence(1, 30), i -> concat('t', char(96 + i % 26 + 1), char(96 + CAST(i / 26 AS INT) + 1))), ' ') AS bag")
+    idf = docs.where("id < 1").selectExpr("2001 AS year", "explode(split(bag, ' ')) AS term", "1.5D AS idf")
+    got = weighed(docs, idf, "id", seen, "id long, year int, n long").collect()
+    assert len(got) == 200 and {(r.year, r.n) for r in got} == {(2000, 0), (2001, 30)}
+
+
 PAGE = (
     "<?xml version='1.0' encoding='ascii'?><html><head><style>p{x:1}</style><title>t</title></head><body><ix:header><ix:hidden>secret</ix:hidden></ix:header>"
     "<div style='Display: None'>gone</div>kept<p hidden>also gone</p><p><b>Item 7.</b> Manag&eacute;ment &amp; more<!-- note --> tail<table><tr><td>Sales</td><td><ix:nonFraction>1,234</ix:nonFraction></td></tr>"
