@@ -423,10 +423,18 @@ def verdict_give_up(spark, sf_dir):
 # Gates, on suppliers by month: scores are last month's dollar volume, weights this month's.
 
 
-def monthly(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("symbol"), F.trunc("l_shipdate", "month").alias("month")).agg(
-        F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("px"), F.sum("l_extendedprice").alias("dollars"), F.sum("l_quantity").alias("volume"), F.avg("l_discount").alias("discount")
-    )
+def monthly(spark, sf_dir, ordered: bool = False) -> DataFrame:
+    """Suppliers by month. With `ordered`, sums are taken in the order of the table's rows, so that their last digits don't hang on how files are cut into tasks."""
+    of = {"px": F.avg(F.col("l_extendedprice") / F.col("l_quantity")), "dollars": F.sum("l_extendedprice"), "volume": F.sum("l_quantity"), "discount": F.avg("l_discount")}
+    month = F.trunc("l_shipdate", "month").alias("month")
+    if ordered:
+        lines = table(spark, sf_dir, "lineitem").select("l_suppkey", month, "l_extendedprice", "l_quantity", "l_discount", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        w = Window.partitionBy("l_suppkey", "month").orderBy("_file", "_row")
+        so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+        ends = lines.select("l_suppkey", "month", *[c.over(so_far).alias(n) for n, c in of.items()], F.lead(F.lit(True)).over(w).isNull().alias("last")).where("last")
+        rows = ends.select(F.col("l_suppkey").cast("string").alias("symbol"), "month", *of)
+    else:
+        rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("symbol"), month).agg(*[c.alias(n) for n, c in of.items()])
     w = Window.partitionBy("symbol").orderBy("month")
     return rows.withColumn("ret", F.col("px") / F.lag("px").over(w) - 1).withColumn("score", F.lag("dollars").over(w))
 
@@ -524,9 +532,9 @@ def neutral_residuals(spark, sf_dir):
     return out.withColumn("score", F.round("score", 5) + 0.0)
 
 
-def characteristics(spark, sf_dir) -> DataFrame:
+def characteristics(spark, sf_dir, ordered: bool = False) -> DataFrame:
     """Traits of suppliers by month with the return of the next row: account balances are book equity from 1995 on, discounts stand for profits, growing quantities for investment."""
-    m = monthly(spark, sf_dir)
+    m = monthly(spark, sf_dir, ordered)
     book = table(spark, sf_dir, "supplier").select(F.lit("1995-01-01").cast("date").alias("month"), F.col("s_suppkey").cast("string").alias("symbol"), F.col("s_acctbal").alias("equity"))
     w = Window.partitionBy("symbol").orderBy("month")
     more = m.select("month", "symbol", "px", F.col("volume").alias("shares"), "ret", F.lead("ret").over(w).alias("next"), "discount", (1 - F.col("volume") / F.lag("volume").over(w)).alias("restraint"))
@@ -535,8 +543,9 @@ def characteristics(spark, sf_dir) -> DataFrame:
 
 
 def seven_factors(spark, sf_dir) -> DataFrame:
+    """Many suppliers have one mean discount in a month: summed in doubles, its last digit sorts them before the symbol does, in SQL too, so sums keep the table's order."""
     legs = {"hml": "value", "rmw": "discount", "cma": "restraint", "mom": "mom", "str": "str"}
-    return stock_traits.built_factors(characteristics(spark, sf_dir), legs, "value")
+    return stock_traits.built_factors(characteristics(spark, sf_dir, ordered=True), legs, "value")
 
 
 @query
